@@ -6,6 +6,8 @@ from .registry import ORACLES, QUERIES
 
 for _module in (
     "text_queries",
+    "style_queries",
+    "ailike_queries",
 ):
     import_module(f"{__name__}.{_module}")
 
