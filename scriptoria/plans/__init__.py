@@ -8,6 +8,7 @@ for _module in (
     "text_queries",
     "style_queries",
     "ailike_queries",
+    "similarity_queries",
 ):
     import_module(f"{__name__}.{_module}")
 

@@ -15,6 +15,9 @@ TABLES = (
 ).split()
 
 
+LAST = {"spark": 0.0}
+
+
 def connect(folder: str) -> duckdb.DuckDBPyConnection:
     con = duckdb.connect()
     for name in TABLES:
@@ -47,7 +50,9 @@ def sql_rows(con, sql):
 
 def compare(spark, con, folder, fn, sql):
     """Empty string when equal, else what differs."""
+    start = time.time()
     names, got = spark_rows(fn(spark, folder))
+    LAST["spark"] = time.time() - start
     expected_names, expected = sql_rows(con, sql)
     if names != expected_names:
         return f"columns {names} != {expected_names}"
@@ -70,14 +75,14 @@ def main(argv):
     folder = argv[1]
     prefixes = argv[2:]
     spark = build_session(master="local[8]", **{"spark.sql.shuffle.partitions": "8", "spark.driver.memory": "16g",
-                                                "spark.log.level": "ERROR"})
+                                                "spark.log.level": "ERROR", "spark.ui.showConsoleProgress": "false"})
     con = connect(folder)
     queries, oracles = entry.queries(), entry.oracle_sql()
     bad = 0
     for name, fn in queries.items():
         if prefixes and not any(name.startswith(p) for p in prefixes):
             continue
-        start = time.time()
+        start, LAST["spark"] = time.time(), 0.0
         try:
             if name in oracles:
                 verdict = compare(spark, con, folder, fn, oracles[name])
@@ -87,7 +92,7 @@ def main(argv):
             verdict = f"ERROR {str(error)[:1500]}"
         seconds = time.time() - start
         bad += bool(verdict) and not verdict.startswith("rows only")
-        print(f"{'ok ' if not verdict else '** '} {name} {seconds:.1f}s {verdict}", flush=True)
+        print(f"{'ok ' if not verdict else '** '} {name} {LAST["spark"]:.1f}/{seconds:.1f}s {verdict}", flush=True)
     print("different:", bad)
 
 
