@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from ..functions import fixed_values as fixed
 from ..functions import ladders
+from ..session import stage
 from . import lexical as lx
 from . import vector_join as vj
 
@@ -116,7 +117,7 @@ def detect(
     units = None
     if vectors is not None:
         held = vectors.select(F.col(vectors.columns[0]).alias("rep"), F.col(vectors.columns[1]).alias("v"))
-        held = held.join(texts.select("rep"), "rep", "left_semi")
+        held = stage(held.join(grams.select("rep"), "rep", "left_semi"), "text_vectors")
         units = vj.unit_rows(held, "rep", "v")
         close = _semantic_pairs(held, t.lowest_semantic)
         pairs = close if pairs is None else pairs.unionByName(close).distinct()
@@ -171,9 +172,9 @@ def against_others(pairs: DataFrame, held: DataFrame) -> DataFrame:
     that do not belong to the owner, ``own`` the number of the owner's copies.
     """
     rest = [c for c in pairs.columns if c not in ("a", "b")]
-    directed = pairs.select(F.col("a").alias("rep"), F.col("b").alias("matched"), *rest).unionByName(
-        pairs.filter("a <> b").select(F.col("b").alias("rep"), F.col("a").alias("matched"), *rest)
-    )
+    way = lambda x, y: F.struct(F.col(x).alias("rep"), F.col(y).alias("matched"))
+    both = F.when(F.col("a") == F.col("b"), F.array(way("a", "b"))).otherwise(F.array(way("a", "b"), way("b", "a")))
+    directed = pairs.select(F.inline(both), *rest)
     totals = held.groupBy("rep").agg(F.sum("n").alias("held")).withColumnRenamed("rep", "matched")
     own = held.select("rep", "owner", F.col("n").alias("own"))
     theirs = held.select(F.col("rep").alias("matched"), "owner", F.col("n").alias("same_owner"))

@@ -16,10 +16,12 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import vectors as vx
+from ..session import stage
 
 BLOCK_ROWS = 2048
 MAX_PIVOTS = 2048
@@ -225,7 +227,7 @@ def nearest(
         return pd.DataFrame({"id": [q for q, _ in found], "reach": reach})
 
     own = place(queries, cells.pivots).withColumn("target", F.col("cell")).drop("angle")
-    bounds = _meet(home, own, cells, bound, f"id {id_type}, reach double", one_block=True)
+    bounds = stage(_meet(home, own, cells, bound, f"id {id_type}, reach double", one_block=True), "reach")
     widest = float(np.arccos(np.clip(threshold, -1.0, 1.0)))
     guests = visits(
         queries.join(bounds, "id", "left").withColumn("reach", F.coalesce("reach", F.lit(widest))).select("id", "u", "reach"),
@@ -243,8 +245,6 @@ def nearest(
 
     schema = f"query {id_type}, neighbour {id_type}, score double"
     candidates = _meet(home, guests, cells, partial, schema)
-    from pyspark.sql import Window as W
-
     ranked = candidates.withColumn("rank", F.row_number().over(W.partitionBy("query").orderBy(F.desc("score"), "neighbour")))
     return ranked.filter(F.col("rank") <= k)
 
@@ -252,5 +252,5 @@ def nearest(
 def distinct_vectors(vectors: DataFrame, key: str, vector: str) -> tuple[DataFrame, DataFrame]:
     """Collapse equal vectors: (rep, vector, copies) and (key, rep)."""
     v = vectors.select(F.col(key), F.col(vector).alias("vector"))
-    groups = v.groupBy("vector").agg(F.min(key).alias("rep"), F.count("*").alias("copies"))
+    groups = stage(v.groupBy("vector").agg(F.min(key).alias("rep"), F.count("*").alias("copies")), "vector_groups")
     return groups.select("rep", "vector", "copies"), v.join(groups, "vector").select(key, "rep")
