@@ -9,6 +9,7 @@ for _module in (
     "style_queries",
     "ailike_queries",
     "similarity_queries",
+    "authorship_queries",
 ):
     import_module(f"{__name__}.{_module}")
 
