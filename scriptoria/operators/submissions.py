@@ -12,3 +12,116 @@ def search(rows: DataFrame, needle: str, columns: tuple[str, ...] = ("title", "c
     for name in columns:
         hit = hit | F.contains(F.lower(name), F.lit(needle.lower()))
     return rows.filter(hit)
+
+
+def page(
+    rows: DataFrame, order: list[Column], number: int = 1, size: int = 20, owner: tuple[str, object] | None = None,
+    status: tuple[str, str] | None = None,
+) -> tuple[DataFrame, DataFrame]:
+    """One page of a filtered listing, and a row with its total and page count.
+
+    Filters are (column, value). The total follows the filters.
+    """
+    for condition in (owner, status):
+        if condition is not None:
+            rows = rows.filter(F.col(condition[0]) == condition[1])
+    total = rows.agg(F.count("*").alias("total")).select("total", F.ceil(F.col("total") / size).alias("pages"))
+    return rows.orderBy(*order).offset((number - 1) * size).limit(size), total
+
+
+def enriched(submissions: DataFrame, verification: DataFrame, ledger: DataFrame, key: str, content: str | None = None) -> DataFrame:
+    """Listing with verification and ledger columns, defaults where there is none.
+
+    ``verification`` has authorship_score and ai_probability, ``ledger`` has ledger_status. The
+    content becomes a preview of 500 characters.
+    """
+    out = submissions.join(verification, key, "left").join(ledger, key, "left").withColumns(
+        {
+            "authorship_score": F.coalesce("authorship_score", F.lit(0.65)),
+            "ai_probability": F.coalesce("ai_probability", F.lit(0.0)),
+            "ledger_status": F.coalesce("ledger_status", F.lit("PENDING")),
+        }
+    )
+    return out.withColumn(content, F.left(content, F.lit(500))) if content else out
+
+
+# Stage and progress by submission status.
+PROGRESS = {
+    "UPLOADED": ("UPLOADING", 10),
+    "PROCESSING": ("PROCESSING", 50),
+    "VERIFIED": ("COMPLETED", 100),
+    "FLAGGED": ("COMPLETED", 100),
+    "REJECTED": ("COMPLETED", 100),
+    "ERROR": ("ERROR", 0),
+}
+
+
+def with_progress(rows: DataFrame, status: str = "status") -> DataFrame:
+    """Add ``stage`` and ``progress``; UNKNOWN and 0 for other statuses."""
+    table = F.create_map(
+        *[x for s, (st, p) in PROGRESS.items() for x in (F.lit(s), F.struct(F.lit(st).alias("stage"), F.lit(p).alias("progress")))]
+    )
+    hit = F.try_element_at(table, F.col(status))
+    return rows.withColumns({"stage": F.coalesce(hit["stage"], F.lit("UNKNOWN")), "progress": F.coalesce(hit["progress"], F.lit(0))})
+
+
+def status_counts(rows: DataFrame, status: str = "status") -> DataFrame:
+    s = F.col(status)
+    return rows.agg(
+        F.count_if(s.isin("VERIFIED", "FLAGGED", "REJECTED")).alias("completed"),
+        F.count_if(s.isin("UPLOADED", "PROCESSING")).alias("processing"),
+        F.count_if(s == "ERROR").alias("failed"),
+        F.count("*").alias("total"),
+    )
+
+
+def cascade_delete(tables: dict[str, DataFrame], ids: DataFrame, key: str) -> dict[str, DataFrame]:
+    """Every table without the rows of the given submissions."""
+    gone = ids.select(key).distinct()
+    return {name: df.join(gone, key, "left_anti") for name, df in tables.items()}
+
+
+def bulk_review(rows: DataFrame, ids: DataFrame, key: str, action: str, notes: str, status: str = "status") -> DataFrame:
+    """Apply approve/reject to the listed submissions."""
+    decision = {"approve": "VERIFIED", "reject": "REJECTED"}[action]
+    marked = rows.join(ids.select(key).distinct().withColumn("__hit", F.lit(True)), key, "left")
+    hit = F.coalesce("__hit", F.lit(False))
+    return marked.withColumns(
+        {status: F.when(hit, decision).otherwise(F.col(status)), "review_notes": F.when(hit, notes)}
+    ).drop("__hit")
+
+
+def bulk_verify(rows: DataFrame, ids: DataFrame, key: str, force: bool = False, status: str = "status") -> DataFrame:
+    """Set listed submissions back to PROCESSING; finished ones only when forced."""
+    marked = rows.join(ids.select(key).distinct().withColumn("__hit", F.lit(True)), key, "left")
+    again = F.coalesce("__hit", F.lit(False)) & (F.lit(force) | ~F.col(status).isin("VERIFIED", "FLAGGED", "REJECTED"))
+    return marked.withColumn(status, F.when(again, "PROCESSING").otherwise(F.col(status))).drop("__hit")
+
+
+def awaiting_verification(
+    submissions: DataFrame, verification: DataFrame, key: str, content_length: Column, status: str = "status", longer_than: int = 50
+) -> DataFrame:
+    """Submissions without a result that are not being processed and have enough content."""
+    rows = submissions.filter((F.col(status) != "PROCESSING") & (content_length > longer_than))
+    return rows.join(verification.select(key), key, "left_anti")
+
+
+def severity(score: Column, ai: Column, duplicates: Column) -> Column:
+    """HIGH, MEDIUM or LOW from percentages and the number of duplicates."""
+    return (
+        F.when((score < 50) | (ai > 80) | (duplicates > 2), "HIGH")
+        .when((score < 70) | (ai > 50) | (duplicates > 0), "MEDIUM")
+        .otherwise("LOW")
+    )
+
+
+def flagged_queue(
+    rows: DataFrame, sort_by: str, key: str, status: str | None = None, date: str = "submitted_at", name: str = "owner"
+) -> DataFrame:
+    """Rows with ``severity``, filtered by status and sorted by date, severity or name."""
+    out = rows.withColumn("severity", severity(F.col("authorship_score"), F.col("ai_probability"), F.col("duplicates")))
+    if status is not None:
+        out = out.filter(F.col("status") == status)
+    rank = F.when(F.col("severity") == "HIGH", 3).when(F.col("severity") == "MEDIUM", 2).otherwise(1)
+    order = {"date": F.desc(date), "severity": rank.desc(), "name": F.asc(name)}[sort_by]
+    return out.orderBy(order, key)

@@ -10,6 +10,7 @@ for _module in (
     "ailike_queries",
     "similarity_queries",
     "authorship_queries",
+    "record_queries",
 ):
     import_module(f"{__name__}.{_module}")
 
