@@ -11,6 +11,7 @@ for _module in (
     "similarity_queries",
     "authorship_queries",
     "record_queries",
+    "event_queries",
 ):
     import_module(f"{__name__}.{_module}")
 
