@@ -440,7 +440,7 @@ rates AS (SELECT "at", sum(n) / 300.0::DOUBLE AS total, sum(c) / 300.0::DOUBLE A
   FROM (SELECT slot + 60 * unnest([1, 2, 3, 4, 5]) AS "at", n, c, s FROM slots) GROUP BY "at")"""
 
 
-@query("O3_rate_series", f"WITH {RATES} SELECT "at"::BIGINT AS "at", round(total, 8) AS total, round(client_errors, 8) AS client_errors, round(server_errors, 8) AS server_errors FROM rates")
+@query("O3_rate_series", f'''WITH {RATES} SELECT "at"::BIGINT AS "at", round(total, 8) AS total, round(client_errors, 8) AS client_errors, round(server_errors, 8) AS server_errors FROM rates''')
 def rate_series(spark, d):
     out = mt.rate_series(http(spark, d), "ts", "status")
     return out.select("at", *[F.round(c, 8).alias(c) for c in ("total", "client_errors", "server_errors")])
