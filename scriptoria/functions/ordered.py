@@ -33,38 +33,68 @@ def with_previous(df: DataFrame, keys: list[str], order: list[str], bucket: Colu
     ).drop("__b", "__first", "__carried")
 
 
-def sessions(
-    df: DataFrame, keys: list[str], ts: str, tie: str, gap_seconds: int, bucket: Column, extra: dict[str, Column] | None = None
-) -> DataFrame:
-    """(keys, start, end, n): runs of rows no further apart than the gap.
+def _pieces(rows: DataFrame, keys: list[str], ts: str, tie: str, extra: dict[str, Column]) -> tuple[DataFrame, DataFrame]:
+    """Rows with ``__local`` run numbers per bucket, and one row per piece of a run inside a bucket.
 
-    ``extra`` adds (min, max, sum)-style aggregates as ``{name: sum-able column}``. Sessions that
-    lie inside one bucket are final; only the pieces that touch a bucket border, at most two per
-    bucket, are put together in a second step.
+    ``rows`` has the bucket ``__day`` and the flag ``__opens``.
     """
-    extra = extra or {}
-    gap = F.make_dt_interval(secs=F.lit(gap_seconds))
-    rows = df.withColumns({"__day": bucket} | {f"__x_{n}": c for n, c in extra.items()})
-    rows = with_previous(rows, keys, [ts, tie], F.col("__day"), [ts])
-    rows = rows.withColumn("__opens", F.col(f"prev_{ts}").isNull() | (F.col(ts) > F.col(f"prev_{ts}") + gap))
     inside = W.partitionBy(*keys, "__day").orderBy(ts, tie)
     rows = rows.withColumn("__local", F.sum(F.col("__opens").cast("int")).over(inside.rowsBetween(W.unboundedPreceding, 0)))
     pieces = rows.groupBy(*keys, "__day", "__local").agg(
         F.min(ts).alias("start"), F.max(ts).alias("end"), F.count("*").alias("n"), F.max("__opens").alias("opens"),
-        *[F.sum(f"__x_{n}").alias(n) for n in extra],
+        *[F.sum(c).alias(n) for n, c in extra.items()],
     )
     latest = F.max("__local").over(W.partitionBy(*keys, "__day"))
-    pieces = pieces.withColumn("__border", (F.col("__local") == latest) | ~F.col("opens"))
-    names = [*keys, "start", "end", "n", *extra]
-    closed = pieces.filter(~F.col("__border")).select(*names)
+    return rows, pieces.withColumn("__border", (F.col("__local") == latest) | ~F.col("opens"))
+
+
+def _chained(pieces: DataFrame, keys: list[str]) -> DataFrame:
+    """Pieces at a bucket border, numbered by the run they belong to; at most two per bucket."""
     chain = W.partitionBy(*keys).orderBy("start").rowsBetween(W.unboundedPreceding, 0)
-    merged = (
-        pieces.filter("__border")
-        .withColumn("__group", F.sum(F.col("opens").cast("int")).over(chain))
-        .groupBy(*keys, "__group")
-        .agg(F.min("start").alias("start"), F.max("end").alias("end"), F.sum("n").alias("n"), *[F.sum(n).alias(n) for n in extra])
+    return pieces.filter("__border").withColumn("__group", F.sum(F.col("opens").cast("int")).over(chain))
+
+
+def runs(
+    df: DataFrame, keys: list[str], ts: str, tie: str, opens: Column, bucket: Column, previous: list[str],
+    extra: dict[str, Column] | None = None,
+) -> DataFrame:
+    """(keys, start, end, n): stretches of rows, a new one wherever ``opens`` holds.
+
+    ``opens`` may read ``prev_<column>`` of the ``previous`` columns and must hold in a key's first
+    row. ``extra`` adds sums per run. Runs inside one bucket are final; only the pieces that touch
+    a bucket border are put together in a second step.
+    """
+    extra = extra or {}
+    rows = with_previous(df.withColumn("__day", bucket), keys, [ts, tie], F.col("__day"), previous).withColumn("__opens", opens)
+    _, pieces = _pieces(rows, keys, ts, tie, extra)
+    names = [*keys, "start", "end", "n", *extra]
+    merged = _chained(pieces, keys).groupBy(*keys, "__group").agg(
+        F.min("start").alias("start"), F.max("end").alias("end"), F.sum("n").alias("n"), *[F.sum(n).alias(n) for n in extra]
     )
-    return closed.unionByName(merged.select(*names))
+    return pieces.filter(~F.col("__border")).select(*names).unionByName(merged.select(*names))
+
+
+def gap_opens(ts: str, gap_seconds: int) -> Column:
+    """A row more than the gap after the preceding one."""
+    return F.col(f"prev_{ts}").isNull() | (F.col(ts) > F.col(f"prev_{ts}") + F.make_dt_interval(secs=F.lit(gap_seconds)))
+
+
+def sessions(
+    df: DataFrame, keys: list[str], ts: str, tie: str, gap_seconds: int, bucket: Column, extra: dict[str, Column] | None = None
+) -> DataFrame:
+    """(keys, start, end, n): runs of rows no further apart than the gap."""
+    return runs(df, keys, ts, tie, gap_opens(ts, gap_seconds), bucket, [ts], extra)
+
+
+def with_session(df: DataFrame, keys: list[str], ts: str, tie: str, gap_seconds: int, bucket: Column) -> DataFrame:
+    """Add ``session_start`` to every row."""
+    rows = with_previous(df.withColumn("__day", bucket), keys, [ts, tie], F.col("__day"), [ts])
+    rows, pieces = _pieces(rows.withColumn("__opens", gap_opens(ts, gap_seconds)), keys, ts, tie, {})
+    at = [*keys, "__day", "__local"]
+    first = F.min("start").over(W.partitionBy(*keys, "__group"))
+    border = _chained(pieces, keys).select(*at, first.alias("session_start"))
+    closed = pieces.filter(~F.col("__border")).select(*at, F.col("start").alias("session_start"))
+    return rows.join(closed.unionByName(border), at).select(*df.columns, "session_start")
 
 
 def newest(df: DataFrame, keys: list[str], order: list[Column], k: int) -> DataFrame:

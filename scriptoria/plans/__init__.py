@@ -12,6 +12,7 @@ for _module in (
     "authorship_queries",
     "record_queries",
     "event_queries",
+    "stream_queries",
 ):
     import_module(f"{__name__}.{_module}")
 
