@@ -13,6 +13,7 @@ for _module in (
     "record_queries",
     "event_queries",
     "stream_queries",
+    "ml_queries",
 ):
     import_module(f"{__name__}.{_module}")
 
