@@ -142,7 +142,8 @@ def detect(
         }
     )
     flagged = flag(scored.select("a", "b", "lexical", "semantic").unionByName(same), t)
-    return flagged.filter("is_duplicate or is_potential"), members
+    # The flagged pairs are few and every report reads them, some through a sort that samples them first.
+    return stage(flagged.filter("is_duplicate or is_potential"), "flagged_pairs"), members
 
 
 def _semantic_pairs(held: DataFrame, threshold: float) -> DataFrame:
