@@ -9,6 +9,7 @@ from ..functions import arrays as ar
 from ..functions import fixed_values as fixed
 from ..functions import ladders
 from ..functions import text as tx
+from ..session import stage
 
 
 def _capped(count: Column, per: Column) -> Column:
@@ -120,7 +121,8 @@ def bigram_model(counts: DataFrame, add: float = 1.0) -> DataFrame:
 
 def perplexity(docs: DataFrame, key: str = "doc_id", text: str = "text", add: float = 1.0, default: float = 50.0) -> DataFrame:
     """(key, perplexity) under the model of the same corpus; ``default`` for texts of fewer than two words."""
-    counts = bigram_counts(docs, key, text)
+    # The model and the scoring both read the counts: tokenise and group once.
+    counts = stage(bigram_counts(docs, key, text), "bigrams")
     scored = counts.join(bigram_model(counts, add), ["w1", "w2"]).groupBy(key).agg(
         F.exp(-F.sum(F.col("n") * F.col("log_p")) / F.sum("n")).alias("perplexity")
     )

@@ -312,10 +312,10 @@ def submission_trend(spark, d):
     return t.select(F.col("day").cast("string").alias("day"), "n", F.round("pass_rate", 6).alias("pass_rate"), F.round("fail_rate", 6).alias("fail_rate"))
 
 
-@query("K2_ai_usage_trend", f"{AI_TREND} SELECT CAST(day AS VARCHAR) AS day, round(ai_probability, 5) AS ai_probability, flagged, round(100 - ai_probability, 5) AS human_probability FROM ai")
+@query("K2_ai_usage_trend", f"{AI_TREND} SELECT CAST(day AS VARCHAR) AS day, round(ai_probability, 8) AS ai_probability, flagged, round(100 - ai_probability, 8) AS human_probability FROM ai")
 def ai_usage_trend(spark, d):
     t = ai_rows(spark, d)
-    return t.select(F.col("day").cast("string").alias("day"), F.round("ai_probability", 5).alias("ai_probability"), "flagged", F.round("human_probability", 5).alias("human_probability"))
+    return t.select(F.col("day").cast("string").alias("day"), F.round("ai_probability", 8).alias("ai_probability"), "flagged", F.round("human_probability", 8).alias("human_probability"))
 
 
 @query("K3_duplicate_shares", "SELECT event_type, count(*) AS n, round(count(*) * 100.0::DOUBLE / (SELECT count(*) FROM events), 6) AS percentage FROM events GROUP BY 1")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import fixed_values as fixed
 from ..functions import text as tx
 from ..operators import stylometry as st
-from ..session import spread
+from ..session import spread, stage
 from ..sources.tables import table
 from . import sqltext as q
 from .registry import query
@@ -218,7 +218,7 @@ c AS (SELECT doc_id, avg(abs(x - y) / greatest(abs(x), abs(y), 1e-10)) AS m, cou
 SELECT doc_id, round(m, 5) AS avg_difference, round(greatest(0, 1 - m), 5) AS similarity_score, n AS feature_count FROM c""")
 def profile_comparison(spark, d):
     """Each document against the mean profile of its owner."""
-    feats = st.extract_features(documents(spark, d))
+    feats = stage(st.extract_features(documents(spark, d).select("doc_id", "source", "text")).drop("text"), "features")
     profiles = feats.groupBy("source").agg(*[F.avg(n).alias(n) for n in st.FEATURES])
     profiles = profiles.select("source", st.feature_map(st.FEATURES).alias("owner_profile"))
     own = feats.select("doc_id", "source", st.feature_map(st.FEATURES).alias("profile"))
