@@ -398,12 +398,12 @@ def unsynced_events(spark, d):
 
 
 @query("N10_token_metadata", f"""WITH {rec.SUBMISSIONS}, {rec.LEDGER}, {rec.VERIFICATION}
-SELECT submission_id, 'Proof of Authorship - Essay ' || submission_id AS name, round(coalesce(authorship_score, 85), 6) AS score, round(greatest(0.0, 100 - coalesce(authorship_score, 85)), 6) AS ai,
+SELECT submission_id, 'Authorship record - Essay ' || submission_id AS name, round(coalesce(authorship_score, 85), 6) AS score, round(greatest(0.0, 100 - coalesce(authorship_score, 85)), 6) AS ai,
   strftime(recorded_at, '%Y-%m-%d') AS verified_on FROM ledg LEFT JOIN verif USING (submission_id) WHERE ledger_status = 'CONFIRMED'""")
 def token_metadata(spark, d):
     rows = rec.ledger(spark, d).join(rec.verification(spark, d), "submission_id", "left").withColumn(
         "title", F.concat(F.lit("Essay "), F.col("submission_id").cast("string")))
-    out = lg.token_metadata(rows, "Institution")
+    out = lg.token_metadata(rows, "Institution", "Authorship record - ")
     return out.select("submission_id", F.col("metadata.name").alias("name"), F.round("proof.authorship_score", 6).alias("score"),
                       F.round("proof.ai_probability", 6).alias("ai"), F.get("metadata.attributes", F.lit(2))["value"].alias("verified_on"))
 
