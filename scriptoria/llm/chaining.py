@@ -202,6 +202,7 @@ def repeated_passages(
     seeds = rows.mapInArrow(find_seeds, seeds_type)
     place = F.struct("key", "print", "pos")
     first = seeds.groupBy("seed").agg(F.min(place).alias("first"), F.count("*").alias("n")).filter("n > 1").drop("n")
+    first = stage(first, "first-seeds")  # read again, it has an exchange of its own, so that the join can split a hot seed
     anchors = seeds.join(first, "seed").filter(F.struct("key", "print") > F.struct("first.key", "first.print"))
     # a document's links are no more than its own seeds
     linked = anchors.groupBy("key", "print").agg(F.collect_list(F.struct(
