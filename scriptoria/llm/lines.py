@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import fresh, let
+from .common import fresh, let, stage
 
 
 def _windows(docs: DataFrame, key: str, text: str, size: int) -> DataFrame:
@@ -50,6 +50,7 @@ def remove_repeated_lines(docs: DataFrame, key: str = "doc_id", text: str = "tex
     windows = _windows(docs, key, text, size)
     place = F.struct("key", "print", "pos")
     first = windows.groupBy("h1", "h2").agg(F.count("*").alias("n"), F.min(place).alias("first")).filter("n > 1").drop("n")
+    first = stage(first, "first-windows")  # read again, it has an exchange of its own, so that the join can split a hot window
     later = windows.join(first, ["h1", "h2"]).filter(place > F.col("first")).select("key", "print", "pos")
     covered = later.groupBy("key", "print").agg(F.collect_set("pos").alias("starts"))
     names = {n: fresh(n, docs) for n in ("key__", "print__", "covered__", "result__", "n_lines", "n_removed")}
