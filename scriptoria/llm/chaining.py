@@ -320,7 +320,7 @@ def remove_passages(docs: DataFrame, passages: DataFrame, key: str = "doc_id", t
     spans = passages.groupBy(F.col("key").alias(k), F.col("print").alias(p)).agg(F.collect_set(F.struct("start", "end")).alias(s))
     joined = docs.join(spans, [docs[key].eqNullSafe(spans[k]), F.hash(docs[text]) == spans[p]], "left").drop(k, p)
     schema = T.StructType([*docs.schema.fields, T.StructField(n, T.LongType())])
-    at = docs.columns.index(text)
+    at, width = docs.columns.index(text), len(docs.columns)
 
     def cut(batches):
         for batch in batches:
@@ -339,7 +339,7 @@ def remove_passages(docs: DataFrame, passages: DataFrame, key: str = "doc_id", t
                     t = "".join(out)
                 texts.append(t)
                 removed.append(gone)
-            columns = [pa.array(texts, pa.string()) if i == at else batch.column(i) for i in range(len(docs.columns))]
+            columns = [pa.array(texts, pa.string()) if i == at else batch.column(i) for i in range(width)]
             yield pa.RecordBatch.from_arrays([*columns, pa.array(removed, pa.int64())], names=schema.names)
 
     return joined.mapInArrow(cut, schema)
