@@ -25,7 +25,7 @@ def main() -> None:
     here = os.path.dirname(os.path.abspath(__file__))
     sys.path.insert(0, here)
     from scriptoria.plans import QUERIES
-    from scriptoria.session import build_session
+    from scriptoria.session import build_session, drop_staged
 
     folder = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
     cpus = os.environ.get("BENCH_CPUS", "8")
@@ -44,6 +44,7 @@ def main() -> None:
             start = time.perf_counter()
             run(name)
             times.append(time.perf_counter() - start)
+        drop_staged(spark)
         seconds[name] = round(statistics.median(times), 3)
         print(f"{name} {seconds[name]}", file=sys.stderr, flush=True)
     spark_version, partitions = spark.version, spark.conf.get("spark.sql.shuffle.partitions")

@@ -124,15 +124,16 @@ T_QUANTILES_95 = [
 ]
 NORMAL_QUANTILE_95 = 1.959964
 
-# English stop words dropped by the lexical similarity.
+# The English stop words that Spark ships (StopWordsRemover), for SQL that is made without a session.
 STOP_WORDS = (
-    "a about above across after afterwards again against all almost alone along already also although "
-    "always am among an and another any are around as at be because been before being below between "
-    "both but by can could did do does down during each either else every few for from further had has "
-    "have he hence her here hers herself him himself his how however i if in into is it its itself just "
-    "less many may me might more most much must my myself neither never no nor not nothing now of off "
-    "often on once one only or other others our ours out over own per perhaps please rather same she "
-    "should since so some still such than that the their them then there therefore these they this "
-    "those though through thus to too toward towards under until up upon us very was we well were what "
-    "when where whether which while who whom why will with within without would yet you your yours"
+    "i me my myself we our ours ourselves you your yours yourself yourselves he him his himself she her hers "
+    "herself it its itself they them their theirs themselves what which who whom this that these those am is "
+    "are was were be been being have has had having do does did doing a an the and but if or because as until "
+    "while of at by for with about against between into through during before after above below to from up "
+    "down in out on off over under again further then once here there when where why how all any both each few "
+    "more most other some such no nor not only own same so than too very s t can will just don should now i'll "
+    "you'll he'll she'll we'll they'll i'd you'd he'd she'd we'd they'd i'm you're he's she's it's we're "
+    "they're i've we've you've they've isn't aren't wasn't weren't haven't hasn't hadn't don't doesn't didn't "
+    "won't wouldn't shan't shouldn't mustn't can't couldn't cannot could here's how's let's ought that's "
+    "there's what's when's where's who's why's would"
 ).split()

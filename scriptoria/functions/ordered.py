@@ -11,6 +11,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..session import stage
+
 
 def with_previous(df: DataFrame, keys: list[str], order: list[str], bucket: Column, columns: list[str]) -> DataFrame:
     """Add ``prev_<column>``: the value in the key's preceding row by ``order`` (a total order).
@@ -103,28 +105,16 @@ def newest(df: DataFrame, keys: list[str], order: list[Column], k: int) -> DataF
     return df.withColumn("__rank", rank).filter(F.col("__rank") <= k).withColumnRenamed("__rank", "rank")
 
 
-def order_statistic(df: DataFrame, column: str, rank: int, few: int = 100_000) -> float:
-    """Exact value at a 0-based rank of the sorted column, without a global sort.
+def order_statistic(df: DataFrame, column: str, rank: int) -> float:
+    """Exact value at a 0-based rank of the sorted column, without sorting it in one task.
 
-    Approximate quantiles bracket the rank and counting narrows the bracket, a thousandth either
-    side, until few rows are left; two or three passes do for any size.
+    Values are counted, the counts dealt out by ranges of the value and summed per range; the sums before each
+    range are a row per range, and only within a range is a running sum taken.
     """
-    rows, left = df.select(F.col(column).alias("v")).filter("v is not null"), rank
-    n = rows.count()
-    while n > few:
-        q = left / n
-        lo, hi = rows.agg(F.percentile_approx("v", [max(0.0, q - 1e-3), min(1.0, q + 1e-3)], 10_000)).head()[0]
-        below, inside = rows.agg(F.count_if(F.col("v") < lo), F.count_if(F.col("v").between(lo, hi))).head()
-        if left < below:
-            rows, n = rows.filter(F.col("v") < lo), below
-        elif left >= below + inside:
-            rows, left, n = rows.filter(F.col("v") > hi), left - below - inside, n - below - inside
-        elif lo == hi:
-            return lo
-        elif inside == n:
-            break
-        else:
-            rows, left, n = rows.filter(F.col("v").between(lo, hi)), left - below, inside
-    counts = rows.groupBy("v").agg(F.count("*").alias("n"))
-    reached = counts.withColumn("c", F.sum("n").over(W.orderBy("v"))).filter(F.col("c") > left)
-    return reached.agg(F.min("v")).head()[0]
+    counts = df.select(F.col(column).alias("v")).filter("v is not null").groupBy("v").agg(F.count("*").alias("n"))
+    dealt = stage(counts.repartitionByRange("v").withColumn("range", F.spark_partition_id()), "ranges")
+    totals = dealt.groupBy("range").agg(F.sum("n").alias("total"))
+    before = totals.select("range", (F.sum("total").over(W.orderBy("range")) - F.col("total")).alias("before"), "total")
+    hit = before.filter((F.col("before") <= rank) & (F.col("before") + F.col("total") > rank))
+    running = F.sum("n").over(W.partitionBy("range").orderBy("v")) + F.col("before")
+    return dealt.join(hit, "range").withColumn("c", running).filter(F.col("c") > rank).agg(F.min("v")).head()[0]

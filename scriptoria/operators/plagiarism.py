@@ -106,10 +106,11 @@ def detect(
 ) -> tuple[DataFrame, DataFrame]:
     """Flagged pairs of distinct texts, and (key, rep) members.
 
-    ``vectors`` has (key, embedding); a text's embedding is that of its first copy. Pairs are
-    (a, b, semantic, lexical, score, flags) with a < b, and a = b for a text with several copies.
+    ``vectors`` has (key, embedding). Documents are one text when their tokens and their embeddings agree; every
+    embedding is compared. Pairs are (a, b, semantic, lexical, score, flags) with a < b, and a = b for a text with several
+    copies. Texts without content words have no lexical score above 0, and without an embedding match nothing.
     """
-    members, texts = lx.collapse(docs, key, text, stop_words)
+    members, texts = lx.collapse(docs, key, text, stop_words, vectors)
     grams = lx.gram_vectors(texts)
     pairs = None
     if use_lexical:
@@ -135,13 +136,14 @@ def detect(
         )
     else:
         scored = scored.withColumn("semantic", F.lit(None).cast("double"))
-    same = copied.withColumns(
-        {
-            "lexical": F.lit(1.0) if use_lexical else F.lit(None).cast("double"),
-            "semantic": F.lit(1.0) if vectors is not None else F.lit(None).cast("double"),
-        }
-    )
-    flagged = flag(scored.select("a", "b", "lexical", "semantic").unionByName(same), t)
+    # copies agree in what they have: content words, an embedding, or neither
+    worded = grams.select(F.col("rep").alias("a"), (F.size("grams") > 0).alias("worded"))
+    same = copied.join(worded, "a").withColumn("lexical", F.when(F.col("worded"), 1.0).otherwise(0.0) if use_lexical else F.lit(None).cast("double"))
+    if units is not None:
+        same = same.join(units.select(F.col("id").alias("a"), F.lit(1.0).alias("semantic")), "a", "left")
+    else:
+        same = same.withColumn("semantic", F.lit(None).cast("double"))
+    flagged = flag(scored.select("a", "b", "lexical", "semantic").unionByName(same.drop("worded")), t)
     # The flagged pairs are few and every report reads them, some through a sort that samples them first.
     return stage(flagged.filter("is_duplicate or is_potential"), "flagged_pairs"), members
 

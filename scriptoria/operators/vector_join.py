@@ -62,7 +62,7 @@ def build_cells(units: DataFrame, n_pivots: int | None = None) -> Cells:
     """
     n_pivots = n_pivots or _pivot_count(units.count())
     chosen = units.orderBy(F.xxhash64("id"), "id").limit(n_pivots).collect()
-    pivots = np.array([r.u for r in chosen], dtype="float64").reshape(len(chosen), -1)
+    pivots = np.array([r.u for r in chosen], dtype="float64").reshape(len(chosen), len(chosen[0].u) if chosen else 0)
     stats = {}
     if len(pivots):
         placed = place(units, pivots).groupBy("cell").agg(

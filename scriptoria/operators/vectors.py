@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import vectors as vx
+from ..session import stage
 from . import vector_join as vj
 
 
@@ -100,21 +101,26 @@ def statistics(store: DataFrame, vector: str, by: str) -> DataFrame:
 
 
 def duplicate_vectors(
-    store: DataFrame, key: str, vector: str, threshold: float = 0.85, exclude_same: str | None = None, k: int = 20
+    store: DataFrame, key: str, vector: str, threshold: float = 0.85, exclude_same: str | None = None
 ) -> DataFrame:
-    """(a, b, score) once per unordered pair among each vector's k nearest (itself included).
+    """(a, b, copies_a, copies_b, score) of every pair of distinct vectors, a < b, and of a vector held more than once with itself.
 
-    ``exclude_same`` drops pairs that agree in a metadata column.
+    ``exclude_same`` leaves out pairs that agree in a metadata column; equal vectors then count as distinct where that differs,
+    and null differs from everything.
     """
-    found = batch_search(store, store, key, vector, k, threshold).filter("query <> neighbour")
-    pairs = found.groupBy(F.least("query", "neighbour").alias("a"), F.greatest("query", "neighbour").alias("b")).agg(
-        F.max("score").alias("score")
+    meta = F.col(exclude_same) if exclude_same else F.lit(1)
+    v = store.select(F.col(key).alias("key"), F.col(vector).alias("vector"), meta.alias("meta"))
+    groups = stage(v.groupBy("vector", "meta").agg(F.min("key").alias("rep"), F.count("*").alias("copies")), "vector_groups")
+    side = lambda n: groups.select(F.col("rep").alias(n), F.col("meta").alias(f"meta_{n}"), F.col("copies").alias(f"copies_{n}"))
+    met = vj.pairs_above(vj.unit_rows(groups, "rep", "vector"), threshold).join(side("a"), "a").join(side("b"), "b")
+    own = groups.filter("copies > 1").select(
+        F.col("rep").alias("a"), F.col("rep").alias("b"), F.lit(1.0).alias("score"), F.col("meta").alias("meta_a"), F.col("copies").alias("copies_a"),
+        F.col("meta").alias("meta_b"), F.col("copies").alias("copies_b"),
     )
-    if exclude_same is None:
-        return pairs
-    side = lambda name: store.select(F.col(key).alias(name), F.col(exclude_same).alias(f"{name}_meta"))
-    joined = pairs.join(side("a"), "a").join(side("b"), "b")
-    return joined.filter(F.coalesce(F.col("a_meta") != F.col("b_meta"), F.lit(True))).select("a", "b", "score")
+    pairs = met.unionByName(own)
+    if exclude_same is not None:
+        pairs = pairs.filter(F.coalesce(F.col("meta_a") != F.col("meta_b"), F.lit(True)))
+    return pairs.select("a", "b", "copies_a", "copies_b", "score")
 
 
 # -- embeddings of texts --------------------------------------------------------------------

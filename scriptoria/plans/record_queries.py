@@ -54,10 +54,10 @@ def profile_initialisation(spark, d):
                       F.round("avg_word_length", 6).alias("avg_word_length"), F.round("vocabulary_richness", 5).alias("vocabulary_richness"))
 
 
-PROFILES = f"""{PROFILE_LEX_SQL}, {PROFILE_SYN_SQL},
-prof AS (SELECT a.source, count(*) AS total_submissions, sum(total_words)::BIGINT AS total_words, sum(total_sentences)::BIGINT AS total_sentences,
-  sum(type_token_ratio * total_words) / sum(total_words) AS type_token_ratio, sum(avg_sentence_length * total_words) / sum(total_words) AS avg_sentence_length
-  FROM plex a JOIN psyn b USING (doc_id) GROUP BY a.source),
+PROFILES = f"""{PROFILE_LEX_SQL}, {PROFILE_SYN_SQL}, {OWNER_LEX},
+psum AS (SELECT a.source, count(*) AS total_submissions, sum(total_sentences)::BIGINT AS total_sentences FROM plex a JOIN psyn b USING (doc_id) GROUP BY a.source),
+prof AS (SELECT source, total_submissions, o.total_words, total_sentences, o.type_token_ratio, o.total_words / total_sentences::DOUBLE AS avg_sentence_length
+  FROM psum JOIN olex o USING (source)),
 conf AS (SELECT *, least(100, CASE WHEN total_submissions >= 5 THEN 40 WHEN total_submissions >= 3 THEN 30 WHEN total_submissions >= 2 THEN 20 ELSE 10 END
   + CASE WHEN total_words >= 5000 THEN 30 WHEN total_words >= 2000 THEN 25 WHEN total_words >= 1000 THEN 20 ELSE 10 END
   + CASE WHEN type_token_ratio BETWEEN 0.3 AND 0.8 THEN 30 ELSE 15 END)::BIGINT AS confidence FROM prof)"""

@@ -66,9 +66,9 @@ def pair_similarity(spark, d):
 TOKENS = rf"list_filter(regexp_extract_all(lower(text), '[\p{{L}}\p{{N}}_]{{2,}}'), lambda w: w NOT IN {q.in_list(fixed.STOP_WORDS)})"
 
 
-def lexical_sql(pair_filter):
-    return rf"""tok AS (SELECT doc_id, source, {TOKENS} AS t FROM documents),
-prints AS (SELECT doc_id, source, t, min(doc_id) OVER (PARTITION BY array_to_string(t, ' ')) AS rep FROM tok),
+def lexical_sql(pair_filter, vector="NULL"):
+    return rf"""tok AS (SELECT doc_id, source, {TOKENS} AS t, {vector} AS v FROM documents),
+prints AS (SELECT doc_id, source, t, v, min(doc_id) OVER (PARTITION BY array_to_string(t, ' '), v) AS rep FROM tok),
 reps AS (SELECT doc_id, t FROM prints WHERE doc_id = rep),
 gram AS (SELECT doc_id, g, count(*)::BIGINT AS c FROM (
    SELECT doc_id, unnest(list_concat(t, list_transform(range(1, greatest(len(t) - 1, 0) + 1), lambda i: t[i] || ' ' || t[i + 1]),
@@ -163,11 +163,10 @@ def vector_statistics(spark, d):
     return vs.statistics(embeddings(spark, d), "embedding", "label")
 
 
-NEAREST20 = f"""{ALL}, r AS (SELECT *, row_number() OVER (PARTITION BY a ORDER BY score DESC, b) AS rank FROM allp WHERE score >= 0.3),
-dup AS (SELECT DISTINCT least(a, b) AS a, greatest(a, b) AS b, round(score, 6) AS score FROM r WHERE rank <= 20 AND a <> b AND la <> lb)"""
+ACROSS = f"""{ALL}, dup AS (SELECT a, b, 1::BIGINT AS copies_a, 1::BIGINT AS copies_b, round(score, 6) AS score FROM allp WHERE score >= 0.3 AND a < b AND la <> lb)"""
 
 
-@query("E13_duplicate_vectors", f"WITH {NEAREST20} SELECT * FROM dup")
+@query("E13_duplicate_vectors", f"WITH {ACROSS} SELECT * FROM dup")
 def duplicate_vectors(spark, d):
     out = vs.duplicate_vectors(embeddings(spark, d), "vec_id", "embedding", 0.3, exclude_same="label")
     return out.withColumn("score", F.round("score", 6))
@@ -219,12 +218,13 @@ def detected(spark, d, t=pl.Thresholds()):
 
 
 def pairs_sql(duplicate=0.8, potential=0.5, semantic=0.8, lexical=0.75):
-    """Flagged pairs of distinct texts, with a = b for texts held more than once."""
-    return f"""{lexical_sql('x.doc_id < y.doc_id')},
+    """Flagged pairs of distinct (text, embedding), with a = b for those held more than once."""
+    return f"""{lexical_sql('x.doc_id < y.doc_id', '(SELECT embedding FROM embeddings WHERE vec_id = doc_id)')},
 vec AS (SELECT vec_id, embedding FROM embeddings JOIN reps ON doc_id = vec_id),
 sem AS (SELECT x.vec_id AS a, y.vec_id AS b, {COS} AS semantic FROM vec x JOIN vec y ON x.vec_id < y.vec_id),
 both_scores AS (SELECT a, b, coalesce(lexical, 0.0) AS lexical, semantic FROM lexical FULL JOIN sem USING (a, b)
-   UNION ALL SELECT rep, rep, 1.0, 1.0 FROM prints GROUP BY rep HAVING count(*) > 1),
+   UNION ALL SELECT rep, rep, CASE WHEN len(any_value(t)) > 0 THEN 1.0 ELSE 0.0 END, CASE WHEN count(v) > 0 THEN 1.0 END
+   FROM prints GROUP BY rep HAVING count(*) > 1),
 scored AS (SELECT *, greatest(lexical, coalesce(semantic, 0.0)) AS score FROM both_scores),
 flags AS (SELECT *, coalesce(semantic >= {semantic}, false) OR lexical >= {lexical} OR score >= {duplicate} AS is_duplicate FROM scored),
 flagged AS (SELECT *, NOT is_duplicate AS is_potential FROM flags WHERE is_duplicate OR score >= {potential})"""
@@ -359,7 +359,7 @@ def owner_rollup_vectors(spark, d):
 
 
 @query("F14_cross_owner_duplicates", f"""
-WITH {NEAREST20} SELECT a, b, score, x.label AS label_a, y.label AS label_b FROM dup JOIN embeddings x ON x.vec_id = a JOIN embeddings y ON y.vec_id = b""")
+WITH {ACROSS} SELECT a, b, copies_a, copies_b, score, x.label AS label_a, y.label AS label_b FROM dup JOIN embeddings x ON x.vec_id = a JOIN embeddings y ON y.vec_id = b""")
 def cross_owner_duplicates(spark, d):
     e = embeddings(spark, d)
     pairs = vs.duplicate_vectors(e, "vec_id", "embedding", 0.3, exclude_same="label")

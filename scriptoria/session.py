@@ -46,6 +46,21 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return configured
 
 
+_STAGED: list[str] = []
+
+
+def drop_staged(spark: SparkSession) -> int:
+    """Delete every table that `stage` has written in this process; returns their number.
+
+    Results built on them can't be read afterwards, so call it when the results are stored.
+    """
+    jvm, conf, n = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration(), len(_STAGED)
+    while _STAGED:
+        path = jvm.org.apache.hadoop.fs.Path(_STAGED.pop())
+        path.getFileSystem(conf).delete(path, True)
+    return n
+
+
 def stage(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as a Parquet table in the checkpoint folder and read it back.
 
@@ -54,6 +69,7 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     """
     path = f"{ensure_checkpoint_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    _STAGED.append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

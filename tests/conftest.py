@@ -5,7 +5,7 @@ import pytest
 
 sys.path.insert(0, str(Path(__file__).resolve().parents[1]))
 
-from scriptoria.session import build_session  # noqa: E402
+from scriptoria.session import build_session, drop_staged  # noqa: E402
 
 
 @pytest.fixture(scope="session")
@@ -15,4 +15,5 @@ def spark():
         **{"spark.sql.shuffle.partitions": "8", "spark.driver.memory": "8g", "spark.ui.showConsoleProgress": "false", "spark.log.level": "ERROR"},
     )
     yield session
+    drop_staged(session)
     session.stop()

@@ -2,6 +2,7 @@
 
 import math
 
+from pyspark.ml.feature import StopWordsRemover
 from pyspark.sql import functions as F
 
 from scriptoria.functions import fixed_values as fixed
@@ -122,5 +123,5 @@ def test_small_rules(spark):
     assert merged == {"p": {"a": 0.75, "b": 1.0}}
 
 
-def test_stop_words_are_a_parameter():
-    assert len(fixed.STOP_WORDS) < 200 and len(set(fixed.STOP_WORDS)) == len(fixed.STOP_WORDS)
+def test_stop_words_are_those_of_spark(spark):
+    assert fixed.STOP_WORDS == StopWordsRemover.loadDefaultStopWords("english")

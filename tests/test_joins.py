@@ -163,10 +163,35 @@ def test_order_statistic_is_exact(spark):
         spark.range(20_000).select(F.lit(11.0).alias("v")))
     values = sorted(r.v for r in df.collect())
     for rank in (0, 100, 35_000, 69_299, 69_999):
-        assert ordered.order_statistic(df, "v", rank, few=500) == values[rank]
+        assert ordered.order_statistic(df, "v", rank) == values[rank]
 
 
 def test_quantiles_from_buckets(spark):
     df = spark.createDataFrame([("k", x / 10) for x in range(1, 41)], "k string, s double")
     row = mt.quantile_series(df, ["k"], "s", {"p50": 0.5}, [1.0, 2.0, 4.0]).head()
     assert math.isclose(row.p50, 2.0)
+
+
+def test_embeddings_of_copies_are_compared(spark):
+    """Texts 4 and 5 agree in their words and not in their vectors; 6 has the vector of 5."""
+    docs = spark.createDataFrame([(4, "silver rivers cross plains"), (5, "silver rivers cross plains"), (6, "quite another essay entirely")], "id long, text string")
+    vectors = spark.createDataFrame([(4, [1.0, 0.0]), (5, [0.0, 1.0]), (6, [0.0, 1.0])], "id long, v array<double>")
+    pairs, _ = pl.detect(docs, "id", "text", vectors)
+    got = {(r.a, r.b): (r.lexical, r.semantic) for r in pairs.collect()}
+    assert got == {(4, 5): (1.0, 0.0), (5, 6): (0.0, 1.0)}
+
+
+def test_blank_texts_match_nothing(spark):
+    docs = spark.createDataFrame([(1, "the and of"), (2, "I a !!"), (3, ""), (4, None)], "id long, text string")
+    vectors = spark.createDataFrame([(9, [1.0])], "id long, v array<double>")
+    assert pl.detect(docs, "id", "text", vectors)[0].count() == 0
+    assert pl.detect(docs, "id", "text")[0].count() == 0
+
+
+def test_duplicate_vectors_have_no_limit(spark):
+    rows = [(i, [1.0, i * 1e-4], i % 2) for i in range(60)]
+    store = spark.createDataFrame(rows, "id long, v array<double>, owner int")
+    pairs = vs.duplicate_vectors(store, "id", "v", 0.9, exclude_same="owner")
+    assert pairs.count() == 900
+    twice = store.unionByName(store)
+    assert vs.duplicate_vectors(twice, "id", "v", 0.9, exclude_same="owner").filter("copies_a = 2 AND copies_b = 2").count() == 900
