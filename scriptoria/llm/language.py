@@ -228,7 +228,8 @@ def train(
 ) -> LanguageModels:
     """Models of every non-null ``lang``, learned from a sample of about ``train_chars`` characters of whole texts.
 
-    The sample takes texts by their hash, a smaller share of a larger table; of it, `CALIBRATION` is
+    The sample takes texts by their hash, a smaller share of a larger table, and copies once, so that a text which
+    fills the table cannot fill the sample; of it, `CALIBRATION` is
     kept from the models and gives each language's mean and spread of cross-entropy and the limit of deviation.
     What reaches the driver is the grams of the sample, bounded by ``train_chars``. Null texts and texts without letters teach
     nothing; without any labelled text there are no languages. Runs four small jobs.
@@ -236,7 +237,7 @@ def train(
     rows = docs.filter(F.col(lang).isNotNull() & F.col(text).isNotNull()).select(F.col(text).alias("text"), F.col(lang).cast("string").alias("lang"))
     total = rows.agg(F.sum(F.length("text").cast("double"))).first()[0] or 0.0
     draw = F.pmod(F.xxhash64("text", F.lit("sample")), F.lit(1 << 30)) / float(1 << 30)
-    taken = rows.withColumn("draw", draw / min(1.0, train_chars / max(total, 1.0))).filter("draw < 1")
+    taken = rows.withColumn("draw", draw / min(1.0, train_chars / max(total, 1.0))).filter("draw < 1").dropDuplicates(["text", "lang"])
     sample = stage(taken, "language-sample")
 
     def count(batches):
