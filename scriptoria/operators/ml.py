@@ -81,14 +81,23 @@ def authorship_set(texts: DataFrame, vectors: DataFrame, key: str) -> DataFrame:
     return texts.join(vectors, key)
 
 
-def split(rows: DataFrame, key: str, train: float = 0.8, seed: int = 42) -> DataFrame:
-    """Add ``is_train``: a fixed share by the hash of the key.
+def split(rows: DataFrame, key: str, label: str, train: float = 0.8, seed: int = 42, buckets: int = 4096) -> DataFrame:
+    """Add ``is_train``: in every class the rounded share of rows with the smallest hashes of the key, ties to the smaller key.
 
-    The hash does not depend on the label, so every class is split in the same proportion, up to
-    chance; nothing is sorted or shuffled and a row keeps its side when others are added.
+    A row's rank in its class is the count of the hash buckets before its own, from counts per class and
+    bucket, and its rank within the bucket, so no class is sorted in one task. ``buckets`` only sets the size of
+    what a task sorts. Null labels are a class. Keys have to be unique for a split that can be repeated.
     """
-    h = F.conv(F.left(F.md5(F.concat_ws(":", F.lit(str(seed)), F.col(key).cast("string"))), F.lit(8)), 16, 10).cast("double")
-    return rows.withColumn("is_train", h / float(2**32) < train)
+    digest = F.md5(F.concat_ws(":", F.lit(str(seed)), F.col(key).cast("string")))
+    bucket = F.floor(F.conv(F.left(digest, F.lit(8)), 16, 10).cast("long") * buckets / 2**32)
+    rows = rows.withColumn("__digest", digest).withColumn("__bucket", bucket)
+    counts = rows.groupBy(F.col(label).alias("__label"), F.col("__bucket").alias("__at")).agg(F.count("*").alias("__n"))
+    by_class = W.partitionBy("__label")
+    before = F.sum("__n").over(by_class.orderBy("__at").rowsBetween(W.unboundedPreceding, W.currentRow)) - F.col("__n")
+    counts = counts.withColumn("__before", before).withColumn("__most", F.round(train * F.sum("__n").over(by_class)))
+    ranked = rows.withColumn("__rank", F.row_number().over(W.partitionBy(label, "__bucket").orderBy("__digest", key)))
+    joined = ranked.join(counts, F.col(label).eqNullSafe(F.col("__label")) & (F.col("__bucket") == F.col("__at")))
+    return joined.withColumn("is_train", F.col("__before") + F.col("__rank") <= F.col("__most")).select(*ranked.drop("__digest", "__bucket", "__rank").columns, "is_train")
 
 
 def with_class_weight(rows: DataFrame, label: str) -> DataFrame:

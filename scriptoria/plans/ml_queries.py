@@ -52,16 +52,18 @@ def authorship_set(spark, d):
     return ml.authorship_set(table(spark, d, "documents").select("doc_id", "source"), vectors, "doc_id").select("doc_id", "source", "label")
 
 
-@query("H4_stratified_split", "SELECT doc_id, quality, ('0x' || left(md5('42:' || doc_id), 8))::BIGINT / 4294967296.0::DOUBLE < 0.8 AS is_train FROM labels")
+@query("H4_stratified_split", """
+SELECT doc_id, quality, row_number() OVER (PARTITION BY quality ORDER BY md5('42:' || doc_id), doc_id) <= round(0.8 * count(*) OVER (PARTITION BY quality)) AS is_train
+FROM labels""")
 def stratified_split(spark, d):
-    return ml.split(table(spark, d, "labels"), "doc_id").select("doc_id", "quality", "is_train")
+    return ml.split(table(spark, d, "labels"), "doc_id", "quality").select("doc_id", "quality", "is_train")
 
 
 def labelled_features(spark, d):
     docs = spread(table(spark, d, "documents").select("doc_id", "text")).join(table(spark, d, "labels"), "doc_id")
     vectors = embeddings(spark, d).select(F.col("vec_id").alias("doc_id"), "embedding")
     rows = st.extract_features(docs).join(vectors, "doc_id").withColumn("label", 1 - F.col("quality"))
-    return ml.split(rows, "doc_id")
+    return ml.split(rows, "doc_id", "label")
 
 
 def trained(spark, d):

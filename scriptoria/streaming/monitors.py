@@ -165,6 +165,14 @@ def attestation_monitor(pending: DataFrame, updates: DataFrame, key: str, ts: st
     )
 
 
+def attestation_table(pending: DataFrame, updates: DataFrame, key: str, ts: str, minutes: int = 10) -> DataFrame:
+    """`attestation_monitor` over whole tables: every pending record comes out, also the latest ones."""
+    done = updates.filter(F.col("status").isin(TERMINAL)).alias("u")
+    at, until = F.col("u.updated_at"), F.col(f"p.{ts}") + F.make_dt_interval(mins=F.lit(minutes))
+    on = (F.col(f"p.{key}") == F.col(f"u.{key}")) & (at >= F.col(f"p.{ts}")) & (at <= until)
+    return pending.alias("p").join(done, on, "left").select(F.col(f"p.{key}"), F.col(f"p.{ts}"), at, F.col("u.status"))
+
+
 # Contract events that are followed.
 CONTRACT_EVENTS = [
     "SubmissionMinted", "SubmissionUpdated", "SubmissionVerified", "RoleGranted", "RoleRevoked", "Paused", "Unpaused",

@@ -125,3 +125,27 @@ def test_small_rules(spark):
 
 def test_stop_words_are_those_of_spark(spark):
     assert fixed.STOP_WORDS == StopWordsRemover.loadDefaultStopWords("english")
+
+
+def test_split_keeps_the_share_of_every_class(spark):
+    from scriptoria.operators import ml
+
+    rows = spark.createDataFrame([(i, i % 400 == 0, None if i % 1000 == 7 else i % 3) for i in range(2000)], "id long, rare boolean, label int")
+    for label in ("rare", "label"):
+        for buckets in (1, 16, 4096):
+            got = ml.split(rows, "id", label, buckets=buckets).groupBy(label).agg(
+                F.count("*").alias("n"), F.count_if("is_train").alias("k")).collect()
+            assert sum(r.n for r in got) == 2000 and all(r.k == int(0.8 * r.n + 0.5) for r in got)
+    assert ml.split(rows.limit(0), "id", "label").columns == ["id", "rare", "label", "is_train"]
+    sides = {tuple(sorted(r.id for r in ml.split(rows, "id", "label", buckets=b).filter("is_train").collect())) for b in (1, 64)}
+    assert len(sides) == 1
+
+
+def test_attestation_table_keeps_records_without_an_outcome(spark):
+    from scriptoria.streaming import monitors
+
+    pending = spark.sql("SELECT * FROM VALUES (1, timestamp'2024-01-01 00:00:00'), (2, timestamp'2024-01-01 00:00:00'), (null, timestamp'2024-01-01 00:00:00') AS t(k, ts)")
+    updates = spark.sql("""SELECT * FROM VALUES (1, timestamp'2024-01-01 00:10:00', 'CONFIRMED'), (1, timestamp'2024-01-01 00:05:00', 'PENDING'),
+        (2, timestamp'2024-01-01 00:10:01', 'FAILED') AS t(k, updated_at, status)""")
+    got = monitors.attestation_table(pending, updates, "k", "ts").collect()
+    assert sorted((str(r.k), r.status) for r in got) == [("1", "CONFIRMED"), ("2", None), ("None", None)]
