@@ -11,8 +11,10 @@ from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..session import stage
 from ..functions import arrays as ar
 from ..functions import fixed_values as fixed
 from ..functions import text as tx
@@ -285,19 +287,23 @@ def compare_profiles(pairs: DataFrame, left: str, right: str) -> DataFrame:
     ).drop("__diff")
 
 
-def feature_matrix(features: DataFrame, key: str, names: list[str] | None = None, most: int = 10_000) -> tuple[list[str], DataFrame]:
-    """Align (key, feature, value) rows: sorted feature names and one dense vector per key, 0.0 where missing."""
-    if names is None:
-        rows = features.select("feature").distinct().limit(most + 1).collect()
-        if len(rows) > most:
-            raise ValueError(f"more than {most} feature names")
-        names = [r.feature for r in rows]
-    names = sorted(names)
-    row_map = features.groupBy(key).agg(F.map_from_entries(F.collect_list(F.struct("feature", "value"))).alias("m"))
-    vector = F.transform(
-        F.array(*[F.lit(n) for n in names]), lambda n: F.coalesce(F.element_at(F.col("m"), n), F.lit(0.0))
-    )
-    return names, row_map.select(key, vector.alias("vector"))
+def feature_matrix(features: DataFrame, key: str) -> tuple[DataFrame, DataFrame]:
+    """Align (key, feature, value) rows: (feature, pos) in the order of the names, and (key, size, pos, values) per key.
+
+    ``pos`` counts from 0 and ``size`` is the number of names; positions that a key does not list are 0.0, so a row stays as
+    long as what its key has, however many names there are. Names are numbered within ranges of names, from the sizes of the
+    ranges before. Rows with a null feature take no part. Runs a job that writes the distinct names.
+    """
+    known = features.filter(F.col("feature").isNotNull())
+    ranges = known.select("feature").distinct().repartitionByRange("feature").select("feature", F.spark_partition_id().alias("__range"))
+    ranges = stage(ranges, "feature-names")
+    sizes = ranges.groupBy("__range").agg(F.count("*").alias("__n"))
+    ends = F.sum("__n").over(W.orderBy("__range").rowsBetween(W.unboundedPreceding, W.currentRow))
+    sizes = sizes.select("__range", (ends - F.col("__n")).alias("__before"))
+    place = F.row_number().over(W.partitionBy("__range").orderBy("feature")) - 1
+    names = ranges.withColumn("__place", place).join(sizes, "__range").select("feature", (F.col("__before") + F.col("__place")).alias("pos"))
+    rows = known.join(names, "feature").groupBy(key).agg(F.sort_array(F.collect_list(F.struct("pos", "value"))).alias("__held"))
+    return names, rows.select(key, ranges.agg(F.count("*")).scalar().alias("size"), F.col("__held.pos").alias("pos"), F.col("__held.value").alias("values"))
 
 
 def anomaly_flags(ttr: Column, sentence_length: Column, punctuation: Column) -> Column:

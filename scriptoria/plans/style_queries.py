@@ -247,13 +247,15 @@ WITH w AS (SELECT doc_id, unnest({q.words()}) AS word FROM documents),
      docs AS (SELECT DISTINCT doc_id FROM c)
 SELECT docs.doc_id, pos, coalesce(n, 0)::DOUBLE AS value FROM docs CROSS JOIN names LEFT JOIN c ON c.doc_id = docs.doc_id AND c.feature = names.feature""")
 def feature_matrix(spark, d):
-    """Sparse category counts per document, aligned to dense vectors."""
+    """Category counts per document, aligned; shown with the zeros."""
     pairs = [(w, c) for c, ws in fixed.FUNCTION_WORDS.items() for w in ws]
     lexicon = spark.createDataFrame(pairs, "word string, feature string")
     sparse = st.tokens(documents(spark, d)).join(lexicon, "word").groupBy("doc_id", "feature").agg(
         F.count("*").cast("double").alias("value"))
     _, matrix = st.feature_matrix(sparse, "doc_id")
-    return matrix.select("doc_id", F.posexplode("vector").alias("pos", "value")).withColumn("pos", F.col("pos").cast("long"))
+    held = F.map_from_arrays("pos", "values").alias("held")
+    dense = matrix.select("doc_id", held, F.explode(F.sequence(F.lit(0).cast("long"), F.col("size") - 1)).alias("pos"))
+    return dense.select("doc_id", "pos", F.coalesce(F.col("held")[F.col("pos")], F.lit(0.0)).alias("value"))
 
 
 @query("C18_anomaly_flags", features_sql() + """

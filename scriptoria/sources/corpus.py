@@ -32,16 +32,25 @@ def decode_text(content: Column) -> Column:
     return F.when(F.is_valid_utf8(as_text), as_text).otherwise(F.decode(content, "ISO-8859-1"))
 
 
-def accept_text_files(files: DataFrame, max_bytes: int = MAX_FILE_BYTES) -> DataFrame:
-    """Keep ``.txt`` files of acceptable size and word count, decoded and trimmed.
+def judged_text_files(files: DataFrame, max_bytes: int = MAX_FILE_BYTES) -> DataFrame:
+    """(path, text, word_count, reason) of every file, decoded and trimmed; ``reason`` is null for accepted ones.
 
-    ``files`` has the columns of Spark's ``binaryFile`` source (path, length, content).
+    ``files`` has the columns of Spark's ``binaryFile`` source (path, length, content). Files of another suffix or above the
+    size are not decoded: their text is null.
     """
-    decoded = files.filter(F.lower("path").endswith(".txt") & (F.col("length") <= max_bytes)).select(
-        "path", F.regexp_replace(decode_text(F.col("content")), f"^[{tx.WS}]+|[{tx.WS}]+$", "").alias("text")
-    )
-    counted = decoded.withColumn("word_count", F.size(tx.raw_words(F.col("text"))).cast("long"))
-    return counted.filter(F.col("word_count").between(MIN_WORDS, MAX_WORDS))
+    wrong = F.when(~F.lower("path").endswith(".txt"), "suffix").when(F.col("length") > max_bytes, "size")
+    text = F.when(wrong.isNull(), F.regexp_replace(decode_text(F.col("content")), f"^[{tx.WS}]+|[{tx.WS}]+$", ""))
+    rows = files.select("path", text.alias("text"), wrong.alias("wrong"))
+    rows = rows.withColumn("word_count", F.when(F.col("text").isNotNull(), F.size(tx.raw_words(F.col("text"))).cast("long")))
+    n = F.col("word_count")
+    reason = F.when(n < MIN_WORDS, "too few words").when(n > MAX_WORDS, "too many words").when(n.isNull(), "no content")
+    return rows.select("path", "text", "word_count", F.coalesce("wrong", reason).alias("reason"))
+
+
+def accept_text_files(files: DataFrame, max_bytes: int = MAX_FILE_BYTES) -> DataFrame:
+    """Accepted files of `judged_text_files`; the suffix and size conditions stand before the decoding."""
+    fit = files.filter(F.lower("path").endswith(".txt") & (F.col("length") <= max_bytes))
+    return judged_text_files(fit, max_bytes).filter("reason IS NULL").drop("reason")
 
 
 def ingest_text(spark: SparkSession, path: str, max_bytes: int = MAX_FILE_BYTES) -> DataFrame:

@@ -39,3 +39,8 @@ def parse_lines(lines: DataFrame, schema: T.StructType = EVENT_SCHEMA, column: s
     """Rows of a text column holding JSON objects; unreadable lines are left out."""
     parsed = lines.select(F.from_json(column, schema).alias("event"))
     return parsed.filter(F.col("event.eventType").isNotNull()).select("event.*")
+
+
+def unreadable_lines(lines: DataFrame, schema: T.StructType = EVENT_SCHEMA, column: str = "value") -> DataFrame:
+    """The rows that `parse_lines` leaves out, as they came; null lines are among them."""
+    return lines.filter(F.from_json(column, schema)["eventType"].isNull())

@@ -106,3 +106,24 @@ def test_verification_stream_equals_batch(spark, tmp_path):
     got = {r.doc_id: (r.result, r.n_duplicates) for r in verify_stream(stream, vectors).collect()}
     want = {r.doc_id: (r.result, r.n_duplicates) for r in vf.verify_submissions(docs, vectors).collect()}
     assert got == want and all(n > 0 for _, n in want.values())
+
+
+def test_rejected_files_and_lines_are_told(spark):
+    files = [("a.txt", 5, b"too few"), ("b.pdf", 5, b"x"), ("c.TXT", 99, b"x"), ("d.txt", 9, b"word " * 60), ("e.txt", 3, None)]
+    table = spark.createDataFrame([(p, n, bytearray(c) if c else None) for p, n, c in files], "path string, length long, content binary")
+    told = {r.path: r.reason for r in corpus.judged_text_files(table, max_bytes=50).collect()}
+    assert told == {"a.txt": "too few words", "b.pdf": "suffix", "c.TXT": "size", "d.txt": None, "e.txt": "no content"}
+    assert [r.path for r in corpus.accept_text_files(table, max_bytes=50).collect()] == ["d.txt"]
+    lines = spark.createDataFrame([('{"eventType": "Paused"}',), ("{broken",), (None,), ("{}",)], "value string")
+    assert event_log.parse_lines(lines).count() == 1 and event_log.unreadable_lines(lines).count() == 3
+
+
+def test_feature_matrix_has_no_limit_on_names(spark):
+    from scriptoria.operators import stylometry
+
+    rows = spark.sql("SELECT id % 7 AS k, concat('f', lpad(id, 6, '0')) AS feature, CAST(id AS DOUBLE) AS value FROM range(20000)")
+    names, matrix = stylometry.feature_matrix(rows, "k")
+    got = names.orderBy("feature").collect()
+    assert [r.pos for r in got] == list(range(20000))
+    row = matrix.filter("k = 3").first()
+    assert row.size == 20000 and row.pos == list(range(3, 20000, 7)) and row["values"] == [float(i) for i in range(3, 20000, 7)]
