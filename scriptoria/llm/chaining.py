@@ -82,12 +82,12 @@ def chains(anchors: list[tuple[int, int]], seed: int = SEED, gap: float = GAP_CO
     return out
 
 
-def _kept_chains(links: dict[tuple, list[tuple[int, int, int]]], seed: int, dense: int) -> list[tuple[int, list[tuple[int, int]]]]:
-    """Chains of a document's links, by source, longest first, without those that lie where others are already.
+def _ordered_chains(links: dict[tuple, list[tuple[int, int, int]]], seed: int, dense: int) -> list[tuple[int, bool, list[tuple[int, int]]]]:
+    """Chains of a document's links, by source, longest first, and whether they lie where others are already.
 
-    A chain occupies its seeds and the gaps between them of at most ``dense`` words; a chain that brings no seed outside is
-    left out. Near copies of a text differ in a few seeds each, and would otherwise all be each other's sources.
-    Returned with the index of a link to their source.
+    A chain occupies its seeds and the gaps between them of at most ``dense`` words; a chain that brings no seed outside
+    waits until the others are aligned. Near copies of a text differ in a few seeds each, and would otherwise all be each
+    other's sources. Returned with the index of a link to their source.
     """
     all_chains = []
     for number, (_, own) in enumerate(sorted(links.items(), key=lambda x: (x[0][0] is not None, *x[0]))):
@@ -95,9 +95,10 @@ def _kept_chains(links: dict[tuple, list[tuple[int, int, int]]], seed: int, dens
         all_chains += [(-len(c), number, c, index) for c in chains([(t, s) for t, s, _ in own], seed)]
     taken, out = set(), []
     for _, _, chain, index in sorted(all_chains):
-        if all(t in taken for t, _ in chain):
+        waits = all(t in taken for t, _ in chain)
+        out.append((index, waits, chain))
+        if waits:
             continue
-        out.append((index, chain))
         for (t, _), (u, _) in zip(chain, [*chain[1:], chain[-1]]):
             taken.update(range(t, u if u - t <= dense else t + seed))
         taken.update(range(chain[-1][0], chain[-1][0] + seed))
@@ -105,28 +106,36 @@ def _kept_chains(links: dict[tuple, list[tuple[int, int, int]]], seed: int, dens
 
 
 def _common(a: list[int], b: list[int]) -> int:
-    """Length of the longest common subsequence of two short gaps."""
+    """Length of the longest common subsequence of two gaps; a row of the table is the bits of one number."""
     if not a or not b:
         return 0
-    row = [0] * (len(b) + 1)
+    places: dict[int, int] = {}
+    for j, y in enumerate(b):
+        places[y] = places.get(y, 0) | 1 << j
+    full = (1 << len(b)) - 1
+    row = full
     for x in a:
-        last = 0
-        for j, y in enumerate(b):
-            last, row[j + 1] = row[j + 1], last + 1 if x == y else max(row[j + 1], row[j])
-    return row[-1]
+        at = places.get(x)
+        if at:
+            taken = row & at
+            row = (row + taken | row - taken) & full
+    return len(b) - row.bit_count()
 
 
-def _extended(a: list[int], b: list[int], near: int = 8, sure: int = 4) -> tuple[int, int, int]:
+def _extended(a: list[int], b: list[int], near: int = 8, sure: int = 4, identity: float = 0.0) -> tuple[int, int, int]:
     """Words that follow in both: how far in ``a``, in ``b``, and how many match.
 
-    Where they differ, the nearest place is sought at which ``sure`` words agree again, at most ``near`` words on.
+    Where they differ, the nearest place is sought at which ``sure`` words agree again, at most ``near`` words on. With
+    ``identity`` it ends where the matches are the most above that share of the words.
     """
     i = j = matched = 0
-    end = (0, 0, 0)
+    end, most = (0, 0, 0), 0.0
     while i < len(a) and j < len(b):
         if a[i] == b[j]:
             i, j, matched = i + 1, j + 1, matched + 1
-            end = (i, j, matched)
+            over = matched - identity * max(i, j)
+            if over >= most or not identity:
+                end, most = (i, j, matched), over
             continue
         for step in range(1, near + 1):
             skips = sorted(((x, step - x) for x in range(step + 1)), key=lambda p: abs(p[0] - p[1]))
@@ -140,25 +149,89 @@ def _extended(a: list[int], b: list[int], near: int = 8, sure: int = 4) -> tuple
     return end
 
 
-def align(a: np.ndarray, b: np.ndarray, chain: list[tuple[int, int]], seed: int = SEED) -> tuple[int, int, int, int, int]:
-    """(start, end, source start, source end, matched words) of a chain, with what follows on both sides."""
-    matched, at, bt = 0, *chain[0]
-    left_i, left_j, left_m = _extended(a[:at][::-1].tolist(), b[:bt][::-1].tolist())
-    ai, bj = at, bt
+def _joined(a: np.ndarray, b: np.ndarray, chain: list[tuple[int, int]], seed: int = SEED) -> list[tuple[int, int, int, int, int]]:
+    """(start, end, source start, source end, matched words) of a chain's seeds, and of the gap before each but the first."""
+    out: list[tuple[int, int, int, int, int]] = []
+    ai, bj = chain[0]
     for t, s in chain:
+        length = seed
         if t < ai or s < bj:  # seeds that overlap the one before: only what lies beyond it
             over = max(ai - t, bj - s)
             if over >= seed:
                 continue
             t, s, length = t + over, s + over, seed - over
-        else:
-            length = seed
+        if out:
             x, y = a[ai:t], b[bj:s]
-            matched += len(x) if len(x) == len(y) and (x == y).all() else _common(x.tolist(), y.tolist())
-        matched += length
+            out.append((ai, t, bj, s, len(x) if len(x) == len(y) and (x == y).all() else _common(x.tolist(), y.tolist())))
         ai, bj = t + length, s + length
-    right_i, right_j, right_m = _extended(a[ai:].tolist(), b[bj:].tolist())
-    return at - left_i, ai + right_i, bt - left_j, bj + right_j, matched + left_m + right_m
+        out.append((t, ai, s, bj, length))
+    return out
+
+
+def _merged(pieces: list[tuple[int, int, int, int, int]]) -> tuple[int, int, int, int, int]:
+    return pieces[0][0], pieces[-1][1], pieces[0][2], pieces[-1][3], sum(p[4] for p in pieces)
+
+
+def _over(span: tuple[int, int, int, int, int], identity: float) -> float:
+    """Matched words beyond the share ``identity`` of the longer side."""
+    return span[4] - identity * max(span[1] - span[0], span[3] - span[2]) + 1e-9
+
+
+def _parts(pieces: list[tuple[int, int, int, int, int]], identity: float) -> list[tuple[int, int, int, int, int]]:
+    """A chain's parts that reach ``identity``, in order.
+
+    Seeds and gaps score what they match beyond the share; the maximal scoring runs are the parts. Neighbours
+    are joined, best first, as long as they reach the share together.
+    """
+    runs: list[tuple[float, float, int, int]] = []  # score before and after, first and last piece
+    total = 0.0
+    for n, piece in enumerate(pieces):
+        before, total = total, total + _over(piece, identity)
+        if total <= before:
+            continue
+        low, first = before, n
+        while True:  # the nearest run with less before it takes this one in if its score after is smaller
+            k = next((k for k in range(len(runs) - 1, -1, -1) if runs[k][0] < low), None)
+            if k is None or runs[k][1] >= total:
+                break
+            low, first = runs[k][0], runs[k][2]
+            del runs[k:]
+        runs.append((low, total, first, n))
+    spans = [(first, last) for _, _, first, last in runs]
+    score = lambda x, y: _over(_merged(pieces[x[0] : y[1] + 1]), identity)
+    scores = [score(x, y) for x, y in zip(spans, spans[1:])]
+    while scores and max(scores) >= 0:
+        k = scores.index(max(scores))
+        spans[k : k + 2] = [(spans[k][0], spans[k + 1][1])]
+        near = range(max(k - 1, 0), min(k + 1, len(spans) - 1))
+        scores[max(k - 1, 0) : k + 2] = [score(spans[m], spans[m + 1]) for m in near]
+    return [_merged(pieces[first : last + 1]) for first, last in spans]
+
+
+def _grown(a: np.ndarray, b: np.ndarray, span: tuple[int, int, int, int, int], identity: float = 0.0) -> tuple[int, int, int, int, int]:
+    start, end, source_start, source_end, matched = span
+    left_i, left_j, left_m = _extended(a[:start][::-1].tolist(), b[:source_start][::-1].tolist(), identity=identity)
+    right_i, right_j, right_m = _extended(a[end:].tolist(), b[source_end:].tolist(), identity=identity)
+    return start - left_i, end + right_i, source_start - left_j, source_end + right_j, matched + left_m + right_m
+
+
+def align(
+    a: np.ndarray, b: np.ndarray, chain: list[tuple[int, int]], seed: int = SEED, identity: float = IDENTITY
+) -> list[tuple[int, int, int, int, int]]:
+    """(start, end, source start, source end, matched words) of a chain, with what follows on both sides.
+
+    If the whole is under ``identity`` it is cut into the parts that reach it, each with what follows on its sides.
+    """
+    pieces = _joined(a, b, chain, seed)
+    whole = _merged(pieces)
+    grown = _grown(a, b, whole)
+    if _over(grown, identity) >= 0:
+        return [grown]
+    out = []
+    for part in [whole] if _over(whole, identity) >= 0 else _parts(pieces, identity):
+        grown = _grown(a, b, part)
+        out.append(grown if _over(grown, identity) >= 0 else _grown(a, b, part, identity))
+    return out
 
 
 def _pairs_type(a: str, b: str) -> T.ArrayType:
@@ -173,7 +246,8 @@ def repeated_passages(
 
     Positions are in words. Every seed links its later occurrences with its first document in the order
     (key, print), so a seed that fills the table gives one link per occurrence, not per pair. A document's links are
-    chained by source; chains that lie within longer ones are left out; the others are aligned with the words around them. Alignments under ``identity`` are left out. A document's
+    chained by source and aligned with the words around them. A chain under ``identity`` is cut into the parts that reach it.
+    Chains that lie within longer ones are left out if these are found to hold all their seeds. A document's
     alignments that overlap or touch, to whatever sources, count as one passage; it is reported if
     it has ``least_words`` words, once for each source: where the source's part of it starts and ends, and the longest
     of its alignments there. Exact copies are passages too. Seeds within one document do not link.
@@ -209,11 +283,11 @@ def repeated_passages(
         F.col("first.key").alias("source"), F.col("first.print").alias("source_print"), F.col("pos").alias("t"), F.col("first.pos").alias("s")
     )).alias("links"))
     source_fields = linked.schema["links"].dataType.elementType.fields[:2]
-    chain_type = T.StructType([*linked.schema.fields[:2], *source_fields, T.StructField("chain", _pairs_type("t", "s"))])
+    chain_type = T.StructType([*linked.schema.fields[:2], *source_fields, T.StructField("waits", T.BooleanType()), T.StructField("chain", _pairs_type("t", "s"))])
 
     def find_chains(batches):
         for batch in batches:
-            of, at, out = [], [], []
+            of, at, waiting, out = [], [], [], []
             links = batch.column(2)
             base = links.offsets.to_pylist()
             source, source_print, t, s = links.values.flatten()
@@ -222,14 +296,15 @@ def repeated_passages(
                 own: dict[tuple, list[tuple[int, int, int]]] = {}
                 for i in range(base[row], base[row + 1]):
                     own.setdefault(names[i], []).append((*places[i], i))
-                for i, chain in _kept_chains(own, seed, 3 * window):
+                for i, waits, chain in _ordered_chains(own, seed, 3 * window):
                     of.append(row)
                     at.append(i)
+                    waiting.append(waits)
                     out.append([{"t": x, "s": y} for x, y in chain])
             take, at = pa.array(of, pa.int64()), pa.array(at, pa.int64())
             kind = pa.list_(pa.struct([("t", pa.int32()), ("s", pa.int32())]))
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0).take(take), batch.column(1).take(take), source.take(at), source_print.take(at), pa.array(out, kind)], names=chain_type.names
+                [batch.column(0).take(take), batch.column(1).take(take), source.take(at), source_print.take(at), pa.array(waiting, pa.bool_()), pa.array(out, kind)], names=chain_type.names
             )
 
     at = lambda c, end: F.element_at(f"chain.{c}", end)
@@ -239,6 +314,35 @@ def repeated_passages(
     })
     found = stage(found, "chains")
 
+    spans = _aligned(rows, found.filter("NOT waits"), seed, identity)
+    waiting = found.filter("waits")
+    if not waiting.isEmpty():  # those with a seed that no alignment holds
+        spans = stage(spans, "spans")
+        held = spans.groupBy(F.col("key").alias("k"), F.col("print").alias("p")).agg(F.collect_list(F.struct("start", "end")).alias("held"))
+        outside = F.exists("chain", lambda c: ~F.exists("held", lambda h: (h["start"] <= c["t"]) & (c["t"] + seed <= h["end"])))
+        late = waiting.join(held, [waiting["key"].eqNullSafe(held["k"]), waiting["print"] == held["p"]], "left").filter(
+            F.col("held").isNull() | outside
+        )
+        late = stage(late.select(*found.columns), "late-chains")
+        if not late.isEmpty():
+            spans = spans.unionAll(_aligned(rows, late, seed, identity))
+    by_doc = W.partitionBy("key", "print").orderBy("start", "end", "source", "source_print", "source_start")
+    reach = F.max("end").over(by_doc.rowsBetween(W.unboundedPreceding, -1))
+    islands = spans.withColumn("new", F.when(F.col("start") <= reach, 0).otherwise(1)).withColumn("island", F.sum("new").over(by_doc))
+    whole = W.partitionBy("key", "print", "island")
+    sized = islands.withColumn("words", F.max("end").over(whole) - F.min("start").over(whole))
+    longest = F.max(F.struct("matched", *(-F.col(n) for n in ("start", "end", "source_start", "source_end")))).alias("m")
+    kept = sized.filter(F.col("words") >= least_words).groupBy("key", "print", "island", "source", "source_print").agg(
+        F.min("start").alias("start"), F.max("end").alias("end"), longest
+    )
+    return kept.select(
+        "key", "print", "start", "end", "source", "source_print",
+        (-F.col("m.col4")).alias("source_start"), (-F.col("m.col5")).alias("source_end"), "m.matched",
+    )
+
+
+def _aligned(rows: DataFrame, found: DataFrame, seed: int, identity: float) -> DataFrame:
+    """(key, print, source, source_print, start, end, source_start, source_end, matched): alignments of chains that reach ``identity``."""
     slices = _slices(rows, found.select("key", "print", "from", "to").unionAll(
         found.select("source", "source_print", "source_from", "source_to")
     ).distinct())
@@ -253,31 +357,19 @@ def repeated_passages(
 
     def align_all(batches):
         for batch in batches:
-            out = []
-            for t0, s0, chain, a, b in zip(*(batch.column(i) for i in range(4, 9))):
+            of, out = [], []
+            for row, (t0, s0, chain, a, b) in enumerate(zip(*(batch.column(i) for i in range(4, 9)))):
                 t0, s0 = t0.as_py(), s0.as_py()
                 t, s = (c.to_pylist() for c in chain.values.flatten())
                 a, b = (np.frombuffer(x.as_buffer(), dtype="<u4") for x in (a, b))
-                start, end, ss, se, matched = align(a, b, [(x - t0, y - s0) for x, y in zip(t, s)], seed)
-                out.append((start + t0, end + t0, ss + s0, se + s0, matched))
+                for start, end, ss, se, matched in align(a, b, [(x - t0, y - s0) for x, y in zip(t, s)], seed, identity):
+                    of.append(row)
+                    out.append((start + t0, end + t0, ss + s0, se + s0, matched))
             columns = list(zip(*out)) or [()] * 5
-            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(4)), *(pa.array(c, pa.int32()) for c in columns)], names=span_type.names)
+            take = pa.array(of, pa.int64())
+            yield pa.RecordBatch.from_arrays([*(batch.column(i).take(take) for i in range(4)), *(pa.array(c, pa.int32()) for c in columns)], names=span_type.names)
 
-    spans = both.mapInArrow(align_all, span_type)
-    spans = spans.filter(F.col("matched") >= F.greatest(F.col("end") - F.col("start"), F.col("source_end") - F.col("source_start")) * identity)
-    by_doc = W.partitionBy("key", "print").orderBy("start", "end", "source", "source_print", "source_start")
-    reach = F.max("end").over(by_doc.rowsBetween(W.unboundedPreceding, -1))
-    islands = spans.withColumn("new", F.when(F.col("start") <= reach, 0).otherwise(1)).withColumn("island", F.sum("new").over(by_doc))
-    whole = W.partitionBy("key", "print", "island")
-    sized = islands.withColumn("words", F.max("end").over(whole) - F.min("start").over(whole))
-    longest = F.max(F.struct("matched", *(-F.col(n) for n in names[:4]))).alias("m")
-    kept = sized.filter(F.col("words") >= least_words).groupBy("key", "print", "island", "source", "source_print").agg(
-        F.min("start").alias("start"), F.max("end").alias("end"), longest
-    )
-    return kept.select(
-        "key", "print", "start", "end", "source", "source_print",
-        (-F.col("m.col4")).alias("source_start"), (-F.col("m.col5")).alias("source_end"), "m.matched",
-    )
+    return both.mapInArrow(align_all, span_type)
 
 
 def _slices(rows: DataFrame, wanted: DataFrame) -> DataFrame:

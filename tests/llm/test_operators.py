@@ -394,6 +394,52 @@ def test_repeats_in_many_documents_stay_linear(spark):
     assert {r.key for r in found} == set(range(1, 120)) | set(range(500, 540)) and len(found) < 2 * 160
 
 
+def test_passages_apart_and_inserted_paragraph(spark):
+    one, two, copy = prose(910, 100), prose(911, 100), prose(912, 160)
+    half = copy.split()
+    foreign = lambda seed, n: " ".join(f"{w}{seed}" for w in prose(seed, n).split())
+    rows = [
+        (1, f"{one} {foreign(1, 150)} {two}"), (2, f"{one} {foreign(2, 150)} {two}"),
+        (3, copy), (4, " ".join(half[:80]) + f" {foreign(3, 300)} " + " ".join(half[80:])),
+    ]
+    got = sorted((r.key, r.start, r.end, r.source, r.matched) for r in chaining.repeated_passages(docs(spark, rows)).collect())
+    assert got == [(2, 0, 100, 1, 100), (2, 250, 350, 1, 100), (4, 0, 80, 3, 80), (4, 380, 460, 3, 80)]
+
+
+def test_parts_reach_the_identity():
+    def common(a, b):
+        row = [0] * (len(b) + 1)
+        for x in a:
+            row = [0, *_next(row, x, b)]
+        return row[-1]
+
+    def _next(row, x, b):
+        last, out = 0, []
+        for j, y in enumerate(b):
+            last = row[j] + 1 if x == y else max(row[j + 1], last)
+            out.append(last)
+        return out
+
+    r = random.Random(6)
+    for _ in range(200):
+        a, b = ([r.randrange(5) for _ in range(r.randrange(90))] for _ in range(2))
+        assert chaining._common(a, b) == common(a, b)
+    for _ in range(200):
+        pieces, at = [], 0
+        for n in range(r.randrange(1, 12)):
+            if n:
+                gap = r.randrange(30)
+                pieces.append((at, at + gap, at, at + gap, r.randint(0, gap)))
+                at += gap
+            pieces.append((at, at + 8, at, at + 8, 8))
+            at += 8
+        parts = chaining._parts(pieces, 0.8)
+        assert all(chaining._over(p, 0.8) >= 0 for p in parts) and sum(p[1] - p[0] for p in parts) >= 8
+        held = {w for p in parts for w in range(p[0], p[1])}
+        assert all(w in held for p in pieces[::2] for w in range(p[0], p[1]))  # no seed is lost
+        assert not any(chaining._over(chaining._merged([x, (x[1], y[0], x[3], y[2], sum(g[4] for g in pieces if x[1] <= g[0] and g[1] <= y[0])), y]), 0.8) >= 0 for x, y in zip(parts, parts[1:]))
+
+
 # 10 -----------------------------------------------------------------------------------------------
 
 
