@@ -22,6 +22,8 @@ ORDER = 4
 CALIBRATION = 0.2
 #: A text is rejected beyond this quantile of the calibration texts' deviations, times the slack.
 QUANTILE, SLACK = 0.999, 2.0
+#: With fewer calibration texts a language rejects nothing; with fewer than `ENOUGH` its spread is no less than that of all.
+FEW, ENOUGH = 5, 20
 #: Words whose scores a worker keeps.
 MOST_WORDS = 600_000
 UNKNOWN = "und"
@@ -228,16 +230,26 @@ def train(
 ) -> LanguageModels:
     """Models of every non-null ``lang``, learned from a sample of about ``train_chars`` characters of whole texts.
 
-    The sample takes texts by their hash, a smaller share of a larger table, and copies once, so that a text which
-    fills the table cannot fill the sample; of it, `CALIBRATION` is
-    kept from the models and gives each language's mean and spread of cross-entropy and the limit of deviation.
+    The sample takes texts by their hash, a smaller share of a larger language, and copies once, so that a text which
+    fills the table cannot fill the sample. Languages have equal shares; what small ones leave goes to the others,
+    and each has one text at least. Of the sample, `CALIBRATION` is
+    kept from the models and gives each language's mean and spread of cross-entropy and the limit of deviation. A language with
+    under `FEW` texts on either side of that split is learned from all of them; it can't be calibrated and accepts
+    whatever is nearest to it.
     What reaches the driver is the grams of the sample, bounded by ``train_chars``. Null texts and texts without letters teach
     nothing; without any labelled text there are no languages. Runs four small jobs.
     """
     rows = docs.filter(F.col(lang).isNotNull() & F.col(text).isNotNull()).select(F.col(text).alias("text"), F.col(lang).cast("string").alias("lang"))
-    total = rows.agg(F.sum(F.length("text").cast("double"))).first()[0] or 0.0
     draw = F.pmod(F.xxhash64("text", F.lit("sample")), F.lit(1 << 30)) / float(1 << 30)
-    taken = rows.withColumn("draw", draw / min(1.0, train_chars / max(total, 1.0))).filter("draw < 1").dropDuplicates(["text", "lang"])
+    sizes = {r.lang: r for r in rows.withColumn("draw", draw).groupBy("lang").agg(
+        F.sum(F.length("text").cast("double")).alias("size"), F.min("draw").alias("least")
+    ).collect()}
+    share = _equal_share([r.size for r in sizes.values()], train_chars)
+    settings = [(x, min(1.0, share / max(r.size, 1.0)), r.least) for x, r in sizes.items()]
+    rates = docs.sparkSession.createDataFrame(settings, "lang string, rate double, least double")
+    taken = rows.withColumn("draw", draw).join(F.broadcast(rates), "lang").filter("draw < rate OR draw = least").select(
+        "text", "lang", (F.col("draw") / F.col("rate")).alias("draw")
+    ).dropDuplicates(["text", "lang"])
     sample = stage(taken, "language-sample")
 
     def count(batches):
@@ -251,7 +263,11 @@ def train(
                 names=["lang", "word", "n"],
             )
 
-    learned = sample.filter(F.col("draw") >= CALIBRATION) if _has_more(sample) else sample
+    held = F.col("draw") < CALIBRATION
+    split = sample.groupBy("lang").agg(F.count_if(held).alias("kept"), F.count_if(~held).alias("learned")).collect()
+    has_more = min(sum(r.kept for r in split), sum(r.learned for r in split)) >= ENOUGH  # a tiny table is used for both
+    small = F.col("lang").isin([r.lang for r in split if min(r.kept, r.learned) < FEW])
+    learned = sample.filter(~held | small) if has_more else sample
     words = learned.select("text", "lang").mapInArrow(count, "lang string, word string, n long")
     words = words.groupBy("lang", "word").agg(F.sum("n").alias("n"))
     padded = F.concat(F.lit(START * (order - 1)), F.col("word"), F.lit(END))
@@ -261,27 +277,38 @@ def train(
     models = build_models([(r.lang, r.gram, r.n) for r in grams.collect()], order)
     if not models.languages:
         return models
-    kept = sample.filter(F.col("draw") < CALIBRATION) if _has_more(sample) else sample
+    kept = sample.filter(held & ~small) if has_more else sample
     names = ["pred", "score", "entropy", "size", "deviation"]
     scored = stage(_scored(kept.select("text", "lang"), models, "text", names).filter("lang = pred AND size > 0").select("lang", *names[2:]), "calibration")
     means = {r.lang: r for r in scored.groupBy("lang").agg(
         (F.sum(F.col("entropy") * F.col("size")) / F.sum("size")).alias("mean"),
         (F.sum(F.col("entropy") * F.col("entropy") * F.col("size"))).alias("square"), F.sum("size").alias("size"), F.count("*").alias("n"),
     ).collect()}
+    means = {x: m for x, m in means.items() if m.n >= FEW}
+    if not means:
+        models.spread = np.full(len(models.languages), math.inf)
+        return models
+    square = {x: max(m.square - m.mean**2 * m.size, 0) for x, m in means.items()}
+    pooled = sum(square.values()) / sum(m.n for m in means.values())
+    variance = {x: max(square[x] / m.n, pooled if m.n < ENOUGH else 0, 1e-2) for x, m in means.items()}
     models.mean = np.array([means[x].mean if x in means else 0.0 for x in models.languages])
-    deviation = [max(means[x].square - means[x].mean ** 2 * means[x].size, 0) / means[x].n if x in means else 1.0 for x in models.languages]
-    models.spread = np.sqrt(np.maximum(deviation, 1e-2))
-    table = F.create_map(*(F.lit(v) for x, m, s in zip(models.languages, models.mean.tolist(), models.spread.tolist()) for v in (x, F.array(F.lit(m), F.lit(s)))))
+    models.spread = np.sqrt([variance.get(x, math.inf) for x in models.languages])
+    scored = scored.filter(F.col("lang").isin(list(means)))
+    table = F.create_map(*(F.lit(v) for x, m, s in zip(models.languages, models.mean.tolist(), models.spread.tolist()) if x in means for v in (x, F.array(F.lit(m), F.lit(s)))))
     far = (F.col("entropy") - table[F.col("lang")][0]) * F.sqrt("size") / table[F.col("lang")][1]
     limit = scored.agg(F.percentile_approx(far, QUANTILE, 100_000)).first()[0]
     models.limit = math.inf if limit is None else max(limit, 1.0) * SLACK
     return models
 
 
-def _has_more(sample: DataFrame) -> bool:
-    """Whether both parts of the sample have texts of their own; a tiny table is used for both."""
-    split = sample.agg(F.count_if(F.col("draw") < CALIBRATION), F.count_if(F.col("draw") >= CALIBRATION)).first()
-    return min(split) >= 20
+def _equal_share(sizes: list[float], most: float) -> float:
+    """The greatest share at which languages that give no more than it, or all they have, give ``most`` together."""
+    left = most
+    for n, size in enumerate(sorted(sizes)):
+        if size * (len(sizes) - n) >= left:
+            return left / (len(sizes) - n)
+        left -= size
+    return math.inf
 
 
 def identify(docs: DataFrame, models: LanguageModels, text: str = "text") -> DataFrame:

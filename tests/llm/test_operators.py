@@ -341,6 +341,18 @@ def test_language_odd(spark, odd):
     assert language.identify(rows, empty).filter("lang_pred <> 'und' OR accepted").count() == 0
 
 
+def test_small_language_is_kept(spark):
+    greek = str.maketrans("abcdefghijklmnopqrstuvwxyz", "αβψδεφγηιξκλμνοπωρστυζςχθϊ")
+    rows = [(i, prose(5000 + i, 150), "big") for i in range(400)] + [(9000 + i, prose(7000 + i, 150).translate(greek), "small") for i in range(3)]
+    table = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    for chars in (60_000, language.TRAIN_CHARS):
+        models = language.train(table, train_chars=chars)
+        got = language.identify(table, models)
+        assert {(r.doc_id, r.lang_pred, r.accepted) for r in got.filter("lang = 'small'").collect()} == {(9000 + i, "small", True) for i in range(3)}
+        assert got.filter("lang = 'big' AND NOT (accepted AND lang_pred = 'big')").count() == 0
+    assert language._equal_share([10, 500, 300], 210) == 100 and language._equal_share([1, 2], 9) == float("inf")
+
+
 # 9 ------------------------------------------------------------------------------------------------
 
 
