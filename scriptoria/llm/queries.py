@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chaining, language, lines, packing, perspectives, secret_scan, simhash, tiling, token_files, voronoi
+from . import chaining, content_sort, language, lines, packing, perspectives, secret_scan, simhash, tiling, token_files, vector_codes, voronoi, whitening
 from .common import load
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -206,6 +206,66 @@ def op10(spark: SparkSession, folder: str) -> DataFrame:
     return found.select(F.col("key").alias("doc_id"), F.lpad(F.lower(F.hex("fingerprint")), 16, "0").alias("fingerprint"), "component_id")
 
 
+_USABLE = "embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0"
+
+
+def _sql_codes() -> str:
+    """Operator 11 by comparing every part with every entry."""
+    parts, entries = vector_codes.PARTS, vector_codes.ENTRIES
+    steps = [f"""
+      k AS MATERIALIZED (SELECT row_number() OVER (ORDER BY vec_id) - 1 AS r, vec_id, label,
+        list_transform(embedding, lambda x: floor({vector_codes.FACTOR} * CAST(x AS DOUBLE))) AS v FROM embeddings WHERE {_USABLE}),
+      p AS MATERIALIZED (SELECT r, q AS part, v[q * (len(v) // {parts}) + 1:(q + 1) * (len(v) // {parts})] AS x FROM k, unnest(range({parts})) u(q)),
+      b0 AS MATERIALIZED (SELECT part, r AS e, x FROM p WHERE r < {entries})"""]
+    for n in range(vector_codes.ROUNDS + 1):
+        away = "list_sum(list_transform(range(1, len(p.x) + 1), lambda i: (p.x[i] - b.x[i]) * (p.x[i] - b.x[i])))"
+        steps.append(f"""
+      a{n} AS MATERIALIZED (SELECT p.r, p.part, min(CAST({away} AS HUGEINT) * {entries} + b.e) AS m FROM p JOIN b{n} b USING (part) GROUP BY ALL)""")
+        if n < vector_codes.ROUNDS:
+            steps.append(f"""
+      b{n + 1} AS MATERIALIZED (SELECT b.part, b.e, coalesce(y.x, b.x) AS x FROM b{n} b LEFT JOIN (
+        SELECT part, e, list(s ORDER BY i) AS x FROM (
+          SELECT part, CAST(m % {entries} AS INT) AS e, i, floor(sum(x[i]) / count(*)) AS s
+          FROM a{n} JOIN p USING (r, part), unnest(range(1, len(x) + 1)) u(i) GROUP BY ALL) GROUP BY ALL
+      ) y ON y.part = b.part AND y.e = b.e)""")
+    last = vector_codes.ROUNDS
+    return f"""
+    WITH {",".join(steps)},
+    c AS (SELECT r, string_agg(lower(lpad(to_hex(CAST(m % {entries} AS BIGINT)), 2, '0')), '' ORDER BY part) AS code,
+      CAST(sum(m // {entries}) AS BIGINT) AS error FROM a{last} GROUP BY r),
+    d AS (SELECT sha256(string_agg(CAST(x[i] AS BIGINT), ',' ORDER BY part, e, i)) AS digest FROM b{last}, unnest(range(1, len(x) + 1)) u(i))
+    SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error, digest AS codebooks_sha256
+    FROM c JOIN k USING (r), d"""
+
+
+@query("op11_equal_average_codes", _sql_codes())
+def op11(spark: SparkSession, folder: str) -> DataFrame:
+    coded, books = vector_codes.compress(load(spark, folder, "embeddings"))
+    code = F.lower(F.hex("code")).alias("code")
+    return coded.select(F.col("id").alias("vec_id"), code, "error", "label_error", F.lit(books.digest if books else "").alias("codebooks_sha256"))
+
+
+@query("op12_content_sort", f"""
+    WITH n AS (SELECT doc_id, regexp_replace(coalesce(text, ''), '{content_sort.SPACE}', ' ', 'g') AS body FROM documents)
+    SELECT doc_id, min(doc_id) OVER (PARTITION BY body) AS keep_id, count(*) OVER (PARTITION BY body) AS group_size,
+      row_number() OVER (PARTITION BY body ORDER BY doc_id NULLS LAST) = 1 AS kept, sha256(body) AS text_sha256
+    FROM n
+""")
+def op12(spark: SparkSession, folder: str) -> DataFrame:
+    groups = content_sort.exact_groups(load(spark, folder, "documents"))
+    return groups.select(F.col("key").alias("doc_id"), F.col("keep").alias("keep_id"), "group_size", "kept", "text_sha256")
+
+
+@query("op13_cholesky_whitening")
+def op13(spark: SparkSession, folder: str) -> DataFrame:
+    rows, fitted = whitening.whiten(load(spark, folder, "embeddings"))
+    share = F.element_at(F.array(*(F.lit(float(s)) for s in fitted.explained)), F.col("component")) if len(fitted.explained) else F.lit(0.0)
+    return rows.select(
+        F.col("id").alias("vec_id"), "component", F.lit(fitted.n).cast("long").alias("n"), F.col("deviation").cast("long").alias("deviation"), "whitened",
+        share.alias("explained"), F.lit(fitted.identity_error).alias("identity_error"),
+    )
+
+
 @query("pipeline")
 def pipeline(spark: SparkSession, folder: str) -> DataFrame:
     import corpus_pipeline

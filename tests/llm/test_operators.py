@@ -64,7 +64,7 @@ def test_top_k_equals_brute_force(spark, pivots, monkeypatch):
 
 def test_clustered_data_is_pruned():
     pivots = np.array([[100.0, 0.0], [-100.0, 0.0]])
-    bounds = voronoi.group_bounds(pivots, np.array([1.0, 1.0]), [(0, 1.0)] * 4 + [(1, 1.0)] * 4, 3)
+    bounds = voronoi.group_bounds(pivots, np.array([1.0, 1.0]), [(i // 4, i, 1.0) for i in range(8)], 3)
     assert (bounds > 9000).all()  # rows of the other cell score about -10000
 
 
