@@ -4,6 +4,9 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -46,31 +49,68 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return configured
 
 
-_STAGED: list[str] = []
+#: Paths of the staged tables of this context, those of the innermost `scratch` block.
+_ROOT: list[str] = []
+_STAGED: ContextVar[list[str]] = ContextVar("staged", default=_ROOT)
+
+
+def _delete(spark: SparkSession, paths: list[str]) -> int:
+    jvm, conf, n = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration(), len(paths)
+    while paths:
+        path = jvm.org.apache.hadoop.fs.Path(paths.pop())
+        path.getFileSystem(conf).delete(path, True)
+    return n
 
 
 def drop_staged(spark: SparkSession) -> int:
-    """Delete every table that `stage` has written in this process; returns their number.
+    """Delete every table that `stage` has written outside of `scratch` blocks; returns their number.
 
     Results built on them can't be read afterwards, so call it when the results are stored.
     """
-    jvm, conf, n = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration(), len(_STAGED)
-    while _STAGED:
-        path = jvm.org.apache.hadoop.fs.Path(_STAGED.pop())
-        path.getFileSystem(conf).delete(path, True)
-    return n
+    return _delete(spark, _ROOT)
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[Callable[[DataFrame, str], DataFrame]]:
+    """Delete what is staged in the block when it ends, also by an error; blocks may be nested.
+
+    The block gets a function that stages a result outside of itself, so that the result stays.
+    """
+    outer, mine = _STAGED.get(), []
+    token = _STAGED.set(mine)
+    try:
+        yield lambda df, name: _write(df, name, outer)
+    finally:
+        _STAGED.reset(token)
+        _delete(spark, mine)
+
+
+def unstage(df: DataFrame) -> None:
+    """Delete the staged table that ``df`` was read from; nothing built on it can be computed any more."""
+    path = getattr(df, "_staged_path", None)
+    held = _STAGED.get()
+    if path in held:
+        held.remove(path)
+        _delete(df.sparkSession, [path])
+
+
+def _write(df: DataFrame, name: str, held: list[str]) -> DataFrame:
+    path = f"{ensure_checkpoint_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    held.append(path)
+    df.write.parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._staged_path = path
+    return out
 
 
 def stage(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as a Parquet table in the checkpoint folder and read it back.
 
     For results that several later steps read: the table survives lost executors, its columns
-    are pruned by each reader, and nothing before it is computed twice.
+    are pruned by each reader, and nothing before it is computed twice. It stays until the surrounding `scratch` block ends,
+    `unstage` or `drop_staged`.
     """
-    path = f"{ensure_checkpoint_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    _STAGED.append(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    return _write(df, name, _STAGED.get())
 
 
 def spread(df: DataFrame) -> DataFrame:
