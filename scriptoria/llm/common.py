@@ -7,9 +7,17 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import ensure_checkpoint_dir, stage
+from ..session import ensure_checkpoint_dir, scratch, stage, unstage
 
-__all__ = ["ensure_checkpoint_dir", "fresh", "let", "load", "running_sums", "stage"]
+__all__ = ["bounded", "ensure_checkpoint_dir", "fresh", "let", "load", "running_sums", "scratch", "stage", "unstage"]
+
+#: Rows that are sent to every executor at most; of keys and hashes, some 100 bytes each.
+BROADCAST_ROWS = 100_000
+
+
+def bounded(df: DataFrame) -> DataFrame:
+    """``df``, a staged table of short rows, marked for broadcast if it has at most `BROADCAST_ROWS` rows."""
+    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
 
 
 def load(spark: SparkSession, folder: str, table: str) -> DataFrame:

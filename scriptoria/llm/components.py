@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stage
+from .common import scratch, stage, unstage
 
 
 def connected_components(links: DataFrame, rounds: int = 50) -> DataFrame:
@@ -17,24 +17,26 @@ def connected_components(links: DataFrame, rounds: int = 50) -> DataFrame:
     rounds that grows with the logarithm of the size. No node's neighbours are gathered: their
     least one is an aggregate, joined back. The driver sees counts and sums only.
     """
-    edges = stage(
-        links.filter("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "links"
-    )
-    before = None
-    for _ in range(rounds):
-        both = edges.unionAll(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("m", "u").alias("m"))
-        large = both.filter("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        smallest = large.groupBy("u").agg(F.min("v").alias("m"))
-        linked = large.join(smallest, "u")
-        small = linked.select(F.col("v").alias("u"), F.col("m").alias("v")).unionAll(linked.select("u", F.col("m").alias("v")))
-        edges = stage(small.filter("u <> v").distinct(), "links")
-        now = tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
-        if now == before:
-            break
-        before = now
-    else:
-        raise RuntimeError(f"the components did not settle in {rounds} rounds")
-    stars = edges.select(F.col("u").alias("node"), F.col("v").alias("part"))
-    roots = stars.select(F.col("part").alias("node"), "part").distinct()
-    return stars.unionAll(roots).distinct()
+    with scratch(links.sparkSession) as keep:
+        edges = stage(
+            links.filter("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "links"
+        )
+        before = None
+        for _ in range(rounds):
+            both = edges.unionAll(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
+            least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("m", "u").alias("m"))
+            large = both.filter("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+            smallest = large.groupBy("u").agg(F.min("v").alias("m"))
+            linked = large.join(smallest, "u")
+            small = linked.select(F.col("v").alias("u"), F.col("m").alias("v")).unionAll(linked.select("u", F.col("m").alias("v")))
+            last, edges = edges, stage(small.filter("u <> v").distinct(), "links")
+            unstage(last)
+            now = tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
+            if now == before:
+                break
+            before = now
+        else:
+            raise RuntimeError(f"the components did not settle in {rounds} rounds")
+        stars = edges.select(F.col("u").alias("node"), F.col("v").alias("part"))
+        roots = stars.select(F.col("part").alias("node"), "part").distinct()
+        return keep(stars.unionAll(roots).distinct(), "components")

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import math
 import re
+import sys
+import unicodedata
 from collections import Counter
 from dataclasses import dataclass
 
@@ -18,6 +20,8 @@ from .common import fresh, stage
 #: Characters of labelled text, over all languages, from which models are learned; at most about so many are read into them.
 TRAIN_CHARS = 20_000_000
 ORDER = 4
+#: Languages that are learned at most: those with most labelled text.
+LANGUAGES = 256
 #: Share of the sample that is kept from the models and used to calibrate rejection.
 CALIBRATION = 0.2
 #: A text is rejected beyond this quantile of the calibration texts' deviations, times the slack.
@@ -27,7 +31,28 @@ FEW, ENOUGH = 5, 20
 #: Words whose scores a worker keeps.
 MOST_WORDS = 600_000
 UNKNOWN = "und"
-LETTERS = re.compile(r"[^\W\d_]+")
+
+
+def _word_pattern() -> re.Pattern:
+    """Words: letters (categories L*) and the marks (M*) within or after them; other numerals are no letters."""
+    numerals, marks = [], []
+    for code in range(128, sys.maxunicode + 1):
+        category = unicodedata.category(chr(code))
+        if category in ("Nl", "No"):
+            numerals.append(code)
+        elif category[0] == "M":
+            marks.append(code)
+
+    def ranges(codes):
+        starts = [c for c, before in zip(codes, [-1, *codes]) if c != before + 1]
+        ends = [c for c, after in zip(codes, [*codes[1:], -1]) if c + 1 != after]
+        return "".join(f"{re.escape(chr(a))}-{re.escape(chr(b))}" for a, b in zip(starts, ends))
+
+    letter = rf"[^\W\d_{ranges(numerals)}]"
+    return re.compile(f"{letter}+(?:[{ranges(marks)}]+{letter}*)*")
+
+
+LETTERS = _word_pattern()
 MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 START, END = "\x02", "\x03"
 
@@ -59,7 +84,8 @@ class LanguageModels:
     contexts: list[tuple[np.ndarray, np.ndarray]]
     base: np.ndarray
     mean: np.ndarray
-    spread: np.ndarray
+    between: np.ndarray
+    within: np.ndarray
     limit: float = math.inf
 
     def word_scores(self, words: list[str]) -> np.ndarray:
@@ -151,7 +177,7 @@ def build_models(counts: list[tuple[str, str, int]], order: int = ORDER) -> Lang
             contexts.append((np.zeros(0, dtype=np.uint64), np.zeros((0, len(languages)))))
             base = base + weight[0] if len(heads) else base
     zeros = np.zeros(len(languages))
-    return LanguageModels(languages, grams, contexts, base, zeros, zeros + 1)
+    return LanguageModels(languages, grams, contexts, base, zeros, zeros, zeros + 1)
 
 
 class _Scorer:
@@ -212,7 +238,7 @@ def _scored(rows: DataFrame, models: LanguageModels, text: str, names: list[str]
                     least = per[np.arange(len(per)), best]
                     shares = np.exp(20 * (least[:, None] - per))
                     score = 1 / shares.sum(axis=1)
-                    deviation = (least - models.mean[best]) * np.sqrt(sizes) / models.spread[best]
+                    deviation = (least - models.mean[best]) / np.sqrt(models.between[best] + models.within[best] / np.maximum(sizes, 1))
                 else:
                     best, least, score, deviation = (np.zeros(len(sizes)) for _ in range(4))
                 none = (sizes == 0) | (not models.languages)
@@ -226,14 +252,15 @@ def _scored(rows: DataFrame, models: LanguageModels, text: str, names: list[str]
 
 
 def train(
-    docs: DataFrame, text: str = "text", lang: str = "lang", order: int = ORDER, train_chars: int = TRAIN_CHARS
+    docs: DataFrame, text: str = "text", lang: str = "lang", order: int = ORDER, train_chars: int = TRAIN_CHARS, languages: int = LANGUAGES
 ) -> LanguageModels:
-    """Models of every non-null ``lang``, learned from a sample of about ``train_chars`` characters of whole texts.
+    """Models of every non-null ``lang``, or the ``languages`` of most text if there are more, learned from a sample of about ``train_chars`` characters of whole texts.
 
     The sample takes texts by their hash, a smaller share of a larger language, and copies once, so that a text which
     fills the table cannot fill the sample. Languages have equal shares; what small ones leave goes to the others,
     and each has one text at least. Of the sample, `CALIBRATION` is
-    kept from the models and gives each language's mean and spread of cross-entropy and the limit of deviation. A language with
+    kept from the models and gives each language's mean cross-entropy, its variance between texts and within them (a text of n
+    characters has between + within / n, and texts longer than usual are held to no less than the usual one), and the limit of deviation. A language with
     under `FEW` texts on either side of that split is learned from all of them; it can't be calibrated and accepts
     whatever is nearest to it.
     What reaches the driver is the grams of the sample, bounded by ``train_chars``. Null texts and texts without letters teach
@@ -241,9 +268,8 @@ def train(
     """
     rows = docs.filter(F.col(lang).isNotNull() & F.col(text).isNotNull()).select(F.col(text).alias("text"), F.col(lang).cast("string").alias("lang"))
     draw = F.pmod(F.xxhash64("text", F.lit("sample")), F.lit(1 << 30)) / float(1 << 30)
-    sizes = {r.lang: r for r in rows.withColumn("draw", draw).groupBy("lang").agg(
-        F.sum(F.length("text").cast("double")).alias("size"), F.min("draw").alias("least")
-    ).collect()}
+    found = rows.withColumn("draw", draw).groupBy("lang").agg(F.sum(F.length("text").cast("double")).alias("size"), F.min("draw").alias("least"))
+    sizes = {r.lang: r for r in found.orderBy(F.desc("size"), "lang").limit(languages).collect()}
     share = _equal_share([r.size for r in sizes.values()], train_chars)
     settings = [(x, min(1.0, share / max(r.size, 1.0)), r.least) for x, r in sizes.items()]
     rates = docs.sparkSession.createDataFrame(settings, "lang string, rate double, least double")
@@ -280,27 +306,43 @@ def train(
     kept = sample.filter(held & ~small) if has_more else sample
     names = ["pred", "score", "entropy", "size", "deviation"]
     scored = stage(_scored(kept.select("text", "lang"), models, "text", names).filter("lang = pred AND size > 0").select("lang", *names[2:]), "calibration")
-    means = {r.lang: r for r in scored.groupBy("lang").agg(
-        (F.sum(F.col("entropy") * F.col("size")) / F.sum("size")).alias("mean"),
-        (F.sum(F.col("entropy") * F.col("entropy") * F.col("size"))).alias("square"), F.sum("size").alias("size"), F.count("*").alias("n"),
-    ).collect()}
-    means = {x: m for x, m in means.items() if m.n >= FEW}
-    if not means:
-        models.spread = np.full(len(models.languages), math.inf)
+    size, entropy = F.col("size"), F.col("entropy")
+    fits = {r.lang: r for r in scored.groupBy("lang").agg(
+        F.count("*").alias("n"), F.sum(size).alias("s"), F.sum(1 / size).alias("h"), F.sum(size * entropy).alias("se"), F.sum(size * entropy * entropy).alias("see"),
+        F.sum(entropy).alias("e"), F.sum(entropy * entropy).alias("ee"), F.percentile_approx("size", 0.5).alias("usual"),
+    ).collect() if r.n >= FEW}
+    if not fits:
+        models.within = np.full(len(models.languages), math.inf)
         return models
-    square = {x: max(m.square - m.mean**2 * m.size, 0) for x, m in means.items()}
-    pooled = sum(square.values()) / sum(m.n for m in means.values())
-    variance = {x: max(square[x] / m.n, pooled if m.n < ENOUGH else 0, 1e-2) for x, m in means.items()}
-    models.mean = np.array([means[x].mean if x in means else 0.0 for x in models.languages])
-    models.spread = np.sqrt([variance.get(x, math.inf) for x in models.languages])
-    scored = scored.filter(F.col("lang").isin(list(means)))
-    table = F.create_map(*(F.lit(v) for x, m, s in zip(models.languages, models.mean.tolist(), models.spread.tolist()) if x in means for v in (x, F.array(F.lit(m), F.lit(s)))))
-    far = (F.col("entropy") - table[F.col("lang")][0]) * F.sqrt("size") / table[F.col("lang")][1]
+    variances = {x: _variances(r) for x, r in fits.items()}
+    total = sum(r.n for r in fits.values())
+    pooled = [sum(v[i] * fits[x].n for x, v in variances.items()) / total for i in (0, 1)]
+    for x, r in fits.items():
+        if r.n < ENOUGH:
+            variances[x] = tuple(max(v, w) for v, w in zip(variances[x], pooled))
+    models.mean = np.array([fits[x].se / fits[x].s if x in fits else 0.0 for x in models.languages])
+    models.between, models.within = (np.array([variances[x][i] if x in fits else math.inf for x in models.languages]) for i in (0, 1))
+    scored = scored.filter(F.col("lang").isin(list(fits)))
+    table = F.create_map(*(F.lit(v) for x in fits for v in (x, F.array(F.lit(fits[x].se / fits[x].s), *(F.lit(v) for v in variances[x])))))
+    far = (entropy - table[F.col("lang")][0]) / F.sqrt(table[F.col("lang")][1] + table[F.col("lang")][2] / size)
     limit = scored.agg(F.percentile_approx(far, QUANTILE, 100_000)).first()[0]
     models.limit = math.inf if limit is None else max(limit, 1.0) * SLACK
     return models
 
 
+def _variances(r) -> tuple[float, float]:
+    """(between, within) texts' variance of cross-entropy, by the moments of its squares weighed by size and not weighed."""
+    mean = r.se / r.s
+    weighed, plain = max(r.see - mean * r.se, 0.0), max(r.ee - 2 * mean * r.e + r.n * mean * mean, 0.0)
+    whole = r.s * r.h - r.n**2
+    between = (weighed * r.h - r.n * plain) / whole if whole > 1e-6 * r.n**2 else 0.0
+    within = (weighed - r.s * between) / r.n
+    if between < 0 or within < 0:
+        between, within = (0.0, weighed / r.n) if between < 0 else (plain / r.n, 0.0)
+    within = max(within, 1e-2)
+    return max(between, within / r.usual), within
+
+
 def _equal_share(sizes: list[float], most: float) -> float:
     """The greatest share at which languages that give no more than it, or all they have, give ``most`` together."""
     left = most
@@ -322,3 +364,9 @@ def identify(docs: DataFrame, models: LanguageModels, text: str = "text") -> Dat
     scored = _scored(docs, models, text, new[:5])
     accepted: Column = (F.col(new[0]) != UNKNOWN) & (F.col(new[4]) <= models.limit)
     return scored.withColumn(new[5], accepted).drop(new[3], new[4])
+
+
+def keep_identified(docs: DataFrame, models: LanguageModels, text: str = "text") -> DataFrame:
+    """The rows of ``docs`` that `identify` accepts, with their own columns."""
+    named = identify(docs, models, text)
+    return named.filter(F.col(named.columns[-1])).select(*docs.columns)

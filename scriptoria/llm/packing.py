@@ -129,12 +129,10 @@ def pack(pieces: DataFrame, capacity: int, length: str = "length", rounds: int =
     gives up every bin with free space. What was given up is dealt anew, to fewer groups, and packed
     again; it is taken if it saves bins. Rounds end at the global volume bound, when nothing is saved,
     or after ``rounds``. Lengths must be between 1 and ``capacity``; nulls or others raise an error in the
-    job. The columns of ``pieces`` are kept; an empty table stays empty. Runs two jobs and up to two per round.
+    job. The columns of ``pieces`` are kept, and the new ones get longer names where it has them; an empty table stays empty. Runs two jobs and up to two per round.
     """
-    if {"sequence_id", "offset"} & {c.lower() for c in pieces.columns}:
-        raise ValueError("the pieces already have a column sequence_id or offset")
     names = pieces.columns
-    rid = fresh("rid", pieces)
+    rid, sequence, offset = (fresh(n, pieces) for n in ("rid", "sequence_id", "offset"))
     checked = F.when(F.col(length).between(1, capacity), F.col(length).cast("long")).otherwise(
         F.raise_error(F.lit(f"a length is not between 1 and {capacity}"))
     )
@@ -167,8 +165,7 @@ def pack(pieces: DataFrame, capacity: int, length: str = "length", rounds: int =
     placed = final[0]
     for df in final[1:]:
         placed = placed.unionAll(df)
-    placed = placed.withColumnRenamed("rid", rid)
-    return kept.join(placed, rid).select(*names, "sequence_id", "offset")
+    return kept.join(placed.toDF(rid, sequence, offset), rid).select(*names, sequence, offset)
 
 
 def assemble(packed: DataFrame, ids: str = "ids") -> DataFrame:

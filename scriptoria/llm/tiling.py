@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import heapq
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -11,7 +12,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import fresh, stage
+from .common import bounded, fresh, scratch, stage
 from .wordhash import rolled, word_hashes
 
 #: Words of a seed and least words of a tile.
@@ -144,12 +145,21 @@ def contaminated(
     tiled once, so neither copies nor a passage that many hold are compared again. Seeds are joined only on those of an
     item that a covering document cannot all lack, the commonest left out first. Survivors are tiled.
 
-    Null or short texts, and items of fewer than ``seed`` words, match nothing. ``print`` is the hash of the document's text:
+    An item of fewer than ``seed`` words has its own length as seed, in a pass of its own, so a document has to hold it whole. Texts and
+    items that are null or without words match nothing. ``print`` is the hash of the document's text:
     rows with equal keys and other texts are apart; repeated rows have one result each. Equal items are each reported.
     Empty tables give no rows. Other columns are not read.
     """
     tests = benchmark.select(F.monotonically_increasing_id().alias("iid"), F.col(item).alias("item"), F.col(item_text).alias("text"))
     tests = stage(_hashed(tests, "words", ["iid", "item"]), "benchmark-words")
+    least = F.least(F.size("words"), F.lit(seed))
+    sizes = sorted(r[0] for r in tests.select(least).distinct().collect() if r[0] and r[0] > 0)
+    found = [_tiled(docs, tests.filter(least == n), key, text, coverage, n, bitmap_bits) for n in sizes or [seed]]
+    return reduce(DataFrame.unionAll, found)
+
+
+def _tiled(docs: DataFrame, tests: DataFrame, key: str, text: str, coverage: float, seed: int, bitmap_bits: int) -> DataFrame:
+    """`contaminated` for the staged ``tests`` (iid, item, words), by tiles of ``seed`` words and more."""
     item_grams = stage(_grams(tests, "words", "iid", seed), "benchmark-seeds")
     bitmap = _bitmap(item_grams, bitmap_bits)
 
@@ -207,7 +217,9 @@ def contaminated(
 
 
 def remove_contaminated(docs: DataFrame, found: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """``docs`` without the rows that ``found`` (of `contaminated`) names."""
+    """``docs`` without the rows that ``found`` (of `contaminated`) names; few enough of them are sent to all executors."""
     mine, own = fresh("key__", docs), fresh("print__", docs)
-    bad = found.select(F.col("key").alias(mine), F.col("print").alias(own)).distinct()
+    with scratch(docs.sparkSession) as keep:
+        bad = keep(found.select(F.col("key").alias(mine), F.col("print").alias(own)).distinct(), "contaminated")
+    bad = bounded(bad)
     return docs.join(bad, docs[key].eqNullSafe(bad[mine]) & (F.xxhash64(docs[text]) == bad[own]), "left_anti")

@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 from test_operators import brute_top, docs, odd, prose  # noqa: F401
 
-from scriptoria.llm import content_sort, vector_codes, voronoi, whitening
+from scriptoria.llm import content_sort, language, packing, tiling, vector_codes, voronoi, whitening
 from scriptoria.llm import queries as llm_queries
 
 VECTORS = "vec_id long, embedding array<double>, label int, id int, error double, code string"
@@ -234,3 +234,70 @@ def test_rows_of_other_clusters_are_not_sent(spark):
     bounds = voronoi.group_bounds(points, reach, near, 20)
     assert voronoi.route(placed, packing, points, reach, bounds, list(range(8))).count() == 0
     assert voronoi.route(placed, packing, points, reach, np.full(8, -np.inf), list(range(8))).count() == 7 * 800
+
+
+# pipeline, 5, 6, 8 --------------------------------------------------------------------------------
+
+
+def english(seed, n):
+    r = random.Random(seed)
+    return " ".join(r.choice("the of and a in is that for it was on are as with his they at be this from have or by one had not but what all were".split()) + r.choice(["", "s", "ing"]) for _ in range(n))
+
+
+def test_stages_keep_columns_named_like_their_results(spark, tmp_path):
+    import corpus_pipeline
+
+    spark.createDataFrame([(1, "nothing like it at all in here " * 3)], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    rows = [(i, english(i, 60), "en", False, 3, 50, 1, 2) for i in range(60)] + [(99, "\n".join(["one", "two", "three", "one", "two", "three"]), "en", False, 3, 50, 1, 2)]
+    table = spark.createDataFrame(rows, "doc_id long, text string, lang string, accepted boolean, n_removed int, n_chars long, row int, `group` int")
+    stages = dict(corpus_pipeline.STAGES)
+    one = stages["language_id"](spark, table, str(tmp_path))
+    assert one.columns == table.columns and one.count() == 61
+    two = stages["line_dedup"](spark, one, str(tmp_path))
+    short = two.filter("doc_id = 99").first()
+    assert two.columns == table.columns and (short.text, short.n_chars, short.n_removed) == ("one\ntwo\nthree", 13, 3)
+    without = stages["line_dedup"](spark, table.drop("n_chars"), str(tmp_path))
+    assert without.columns == table.drop("n_chars").columns and without.count() == 61
+    for name in ("near_dedup", "decontamination"):
+        two = stages[name](spark, two, str(tmp_path))
+        assert two.columns == table.columns and two.count() == 61
+    assert stages["packing"](spark, two, str(tmp_path)).agg(F.countDistinct("doc_id")).first()[0] == 61
+    for name in ("language_id", "line_dedup", "near_dedup", "decontamination", "packing"):
+        assert stages[name](spark, table.limit(0), str(tmp_path)).count() == 0
+
+
+def test_packing_beside_columns_of_its_names(spark):
+    pieces = spark.createDataFrame([(i, 10, "x", 7) for i in range(20)], "key long, length long, sequence_id string, Offset int")
+    got = packing.pack(pieces, 50)
+    assert got.columns == ["key", "length", "sequence_id", "Offset", "sequence_id_", "offset_"]
+    assert got.select("sequence_id_").distinct().count() == 4 and {r.sequence_id for r in got.collect()} == {"x"}
+
+
+def test_short_benchmark_items_are_found_whole(spark):
+    items = spark.createDataFrame([(1, "alpha beta"), (2, "gamma"), (3, "one two three four five six"), (4, None), (5, "")], "item_id long, text string")
+    table = docs(spark, [(1, "x alpha beta y"), (2, "beta alpha"), (3, "say gamma, gamma"), (4, "gamma"), (5, "zero one two three four five six seven"), (6, None)])
+    got = sorted((r.key, r.item) for r in tiling.contaminated(table, items).collect())
+    assert got == [(1, 1), (3, 2), (4, 2), (5, 3)]
+
+
+def test_letters_and_marks():
+    assert language.words_of("½ ² Ⅷ 12 _ ③") == []
+    assert language.words_of("नमस्ते दुनिया, l’été éa x²y") == ["नमस्ते", "दुनिया", "l", "été", "éa", "x", "y"]
+
+
+def test_long_clean_texts_are_accepted(spark):
+    r = random.Random(4)
+    nordic = "och att det som en på är av för med till den har de inte om ett han men var jag sig från vi så kan när år"
+    swedish = lambda seed: " ".join(random.Random(seed).choices(nordic.split(), k=80))
+    rows = [(i, english(i, r.randint(40, 200)), "en") for i in range(200)] + [(1000 + i, swedish(i), "sv") for i in range(200)]
+    models = language.train(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    for times in (1, 30, 1000):
+        table = spark.createDataFrame([(i, " ".join([english(5000 + i, 80)] * times)) for i in range(30)], "doc_id long, text string")
+        assert language.keep_identified(table, models).count() >= 29
+    junk = spark.createDataFrame([(i, " ".join("".join(r.choices("qxzjkvwpbf", k=7)) for _ in range(80))) for i in range(30)], "doc_id long, text string")
+    assert language.keep_identified(junk, models).count() == 0
+
+
+def test_languages_beyond_the_argument_are_not_learned(spark):
+    rows = [(i, english(i, 50), "en") for i in range(30)] + [(100 + i, "wort und satz " * 9, "de") for i in range(20)] + [(200 + i, "tiny", f"x{i}") for i in range(30)]
+    assert language.train(spark.createDataFrame(rows, "doc_id long, text string, lang string"), languages=2).languages == ["de", "en"]

@@ -61,10 +61,34 @@ def test_pivots_only_discard_far_pairs():
     r = np.random.default_rng(1)
     prints = r.integers(0, 2**63, (40, 4), dtype=np.uint64)
     prints[20:] = prints[:20] ^ (np.uint64(1) << r.integers(0, 64, (20, 4), dtype=np.uint64))
-    ids, refs = np.arange(40), similar.references(32).reshape(8, 4)
-    links = similar.spanning_links(ids, prints, np.full(40, 100), 0, 0.8, 20, refs)
-    assert {tuple(sorted(x)) for x in links} == {(i, i + 20) for i in range(20)}
-    assert similar.spanning_links(ids, prints, np.where(ids < 20, 100, 79), 0, 0.8, 20, refs) == []
+    sets = [np.arange(100 * (i % 20), 100 * (i % 20) + 100 - 2 * (i // 20), dtype=np.uint64) for i in range(40)]
+    ids, refs, none = np.arange(40), similar.references(32).reshape(8, 4), np.zeros(40, dtype=bool)
+    links = lambda sets, parts, second: {tuple(sorted(x)) for x in similar.verified_links(ids, prints, sets, parts, second, 0.8, 20, refs)}
+    pairs = {(i, i + 20) for i in range(20)}
+    assert links(sets, ids, none) == pairs == links(sets, ids, ids >= 20)
+    assert links(sets, ids % 20, none) == set() == links(sets, ids, ids % 20 < 10)
+    assert links([s[:75] if i < 20 else s for i, s in enumerate(sets)], ids, none) == set()
+
+
+def test_a_hot_group_makes_rows_in_proportion(spark, monkeypatch):
+    monkeypatch.setattr(similar, "BLOCK", 64)
+    made = []
+    real = similar._solved
+    monkeypatch.setattr(similar, "_solved", lambda placed, *a: (made.append(placed.count()), real(placed, *a))[1])
+    counts = []
+    for n in (300, 600):
+        made.clear()
+        texts = near_copies(7, n, 3, 300) + [prose(4000 + i, 60) for i in range(100)]
+        table = docs(spark, list(enumerate(texts)))
+        assert similar.keep_one(table).count() == 101
+        counts.append(sum(made))
+    assert counts[0] <= 2 * 300 and counts[1] <= 2.5 * counts[0]
+
+
+def test_rows_of_one_key_and_text(spark):
+    rows = [(1, "a b c d e f g"), (1, "a b c d e f g"), (1, "a b c d e f g"), (2, "A b c d e f g"), (3, "h i j k l m"), (3, "h i j k l m"), (None, "n"), (None, "n")]
+    kept = similar.keep_one(docs(spark, rows))
+    assert sorted(str(r.doc_id) + r.text for r in kept.collect()) == ["1a b c d e f g", "3h i j k l m", "Nonen"]
 
 
 @pytest.mark.parametrize("block", [32, 2048])
