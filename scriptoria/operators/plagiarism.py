@@ -2,7 +2,8 @@
 
 Copies of a text are compared once. A pair of texts stands for all pairs of their copies, and the
 reports per owner follow from the number of copies each owner holds; a text copied n times adds
-n rows to the work, not n^2 pairs.
+n rows to the work, not n^2 pairs. In the same way texts whose embeddings are equal are one class of vectors, and a pair of
+classes stands for all pairs of their texts but those that their words put in a row of their own.
 """
 
 from __future__ import annotations
@@ -42,8 +43,9 @@ class Thresholds:
         return min(self.duplicate, self.potential, self.semantic)
 
     @property
-    def lowest_lexical(self) -> float:
-        return min(self.duplicate, self.potential, self.lexical)
+    def lowest(self) -> float:
+        """Score under which neither method flags a pair."""
+        return min(self.duplicate, self.potential, self.semantic, self.lexical)
 
 
 # -- exact copies ---------------------------------------------------------------------------
@@ -104,61 +106,69 @@ def detect(
     docs: DataFrame, key: str, text: str, vectors: DataFrame | None = None, t: Thresholds = Thresholds(),
     use_lexical: bool = True, stop_words: list[str] | None = None,
 ) -> tuple[DataFrame, DataFrame]:
-    """Flagged pairs of distinct texts, and (key, rep) members.
+    """Flagged pairs, and members (key, rep, vector_class).
 
     ``vectors`` has (key, embedding). Documents are one text when their tokens and their embeddings agree; every
-    embedding is compared. Pairs are (a, b, semantic, lexical, score, flags) with a < b, and a = b for a text with several
-    copies. Texts without content words have no lexical score above 0, and without an embedding match nothing.
+    embedding is compared. A pair (kind, a, b, n_texts, semantic, lexical, score, flags) has a <= b and is of one of two kinds. ``text``: two
+    texts whose lexical score is not below all limits, or a = b for a text with several copies. ``vector``: two classes of equal
+    embeddings, named by their smallest text, or a = b for a class of several texts; it stands for the ``n_texts`` pairs of their texts
+    that have no row of their own, whose lexical score is below all limits and not given. Texts without content
+    words have no lexical score above 0, and without an embedding match nothing.
     """
     members, texts = lx.collapse(docs, key, text, stop_words, vectors)
     grams = lx.gram_vectors(texts)
-    pairs = None
-    if use_lexical:
-        pairs = lx.candidates(grams, t.lowest_lexical)
-    units = None
-    if vectors is not None:
-        held = vectors.select(F.col(vectors.columns[0]).alias("rep"), F.col(vectors.columns[1]).alias("v"))
-        held = stage(held.join(grams.select("rep"), "rep", "left_semi"), "text_vectors")
-        units = vj.unit_rows(held, "rep", "v")
-        close = _semantic_pairs(held, t.lowest_semantic)
-        pairs = close if pairs is None else pairs.unionByName(close).distinct()
     copied = members.groupBy("rep").agg(F.count("*").alias("n")).filter("n > 1").select(
         F.col("rep").alias("a"), F.col("rep").alias("b")
     )
-    scored = lx.score_pairs(pairs, grams) if use_lexical else pairs.withColumn("lexical", F.lit(None).cast("double"))
-    if units is not None:
-        side = lambda n: units.select(F.col("id").alias(n), F.col("u").alias(f"u{n}"))
-        product = F.aggregate(F.zip_with("ua", "ub", lambda x, y: x * y), F.lit(0.0), lambda acc, x: acc + x)
-        scored = (
-            scored.join(side("a"), "a", "left").join(side("b"), "b", "left")
-            .withColumn("semantic", F.when(product.isNotNull(), F.greatest(F.lit(0.0), F.least(F.lit(1.0), product))))
-            .drop("ua", "ub")
-        )
-    else:
-        scored = scored.withColumn("semantic", F.lit(None).cast("double"))
     # copies agree in what they have: content words, an embedding, or neither
     worded = grams.select(F.col("rep").alias("a"), (F.size("grams") > 0).alias("worded"))
-    same = copied.join(worded, "a").withColumn("lexical", F.when(F.col("worded"), 1.0).otherwise(0.0) if use_lexical else F.lit(None).cast("double"))
-    if units is not None:
-        same = same.join(units.select(F.col("id").alias("a"), F.lit(1.0).alias("semantic")), "a", "left")
+    same = copied.join(worded, "a").select("a", "b", F.when(F.col("worded"), 1.0).otherwise(0.0).alias("lexical"))
+    none = F.lit(None).cast("double")
+    if use_lexical:
+        rows = lx.pairs_above(grams, t.lowest).unionByName(same)
+    else:
+        rows = same.withColumn("lexical", none)
+    rows = rows.withColumn("kind", F.lit("text")).withColumn("n_texts", F.lit(1).cast("long"))
+    if vectors is None:
+        rows = rows.withColumn("semantic", none)
+        members = members.withColumn("vector_class", F.lit(None).cast(members.schema["rep"].dataType))
     else:
-        same = same.withColumn("semantic", F.lit(None).cast("double"))
-    flagged = flag(scored.select("a", "b", "lexical", "semantic").unionByName(same.drop("worded")), t)
+        held = vectors.select(F.col(vectors.columns[0]).alias("text"), F.col(vectors.columns[1]).alias("v"))
+        held = stage(held.join(grams.select(F.col("rep").alias("text")), "text", "left_semi").filter("v IS NOT NULL").dropDuplicates(["text"]), "text_vectors")
+        groups, of = vj.distinct_vectors(held, "text", "v")
+        of = stage(of.select(F.col("text").alias("rep"), F.col("rep").alias("vector_class")), "vector_classes")
+        units = vj.unit_rows(groups, "rep", "vector")
+        rows = stage(_with_semantic(rows, of, units), "text_rows")
+        rows = rows.drop("class_a", "class_b").unionByName(_vector_rows(rows, groups, units, t.lowest_semantic))
+        members = members.join(of, "rep", "left")
+    flagged = flag(rows.select("kind", "a", "b", "n_texts", "lexical", "semantic"), t)
     # The flagged pairs are few and every report reads them, some through a sort that samples them first.
-    return stage(flagged.filter("is_duplicate or is_potential"), "flagged_pairs"), members
+    return stage(flagged.filter("is_duplicate or is_potential"), "flagged_pairs"), stage(members.select(key, "rep", "vector_class"), "members_classes")
 
 
-def _semantic_pairs(held: DataFrame, threshold: float) -> DataFrame:
-    """(a, b) of texts whose embeddings reach the threshold; equal embeddings are compared once.
+def _with_semantic(rows: DataFrame, of: DataFrame, units: DataFrame) -> DataFrame:
+    """``rows`` (a, b, ...) with both texts' vector classes and the cosine of their embeddings; null without them."""
+    side = lambda n: of.join(units.withColumnRenamed("id", "vector_class"), "vector_class").select(
+        F.col("rep").alias(n), F.col("vector_class").alias(f"class_{n}"), F.col("u").alias(f"u{n}")
+    )
+    product = F.aggregate(F.zip_with("ua", "ub", lambda x, y: x * y), F.lit(0.0), lambda acc, x: acc + x)
+    cosine = F.when(F.col("class_a") == F.col("class_b"), 1.0).otherwise(F.greatest(F.lit(0.0), F.least(F.lit(1.0), product)))
+    return (
+        rows.join(side("a"), "a", "left").join(side("b"), "b", "left")
+        .withColumn("semantic", F.when(F.col("ua").isNotNull() & F.col("ub").isNotNull(), cosine)).drop("ua", "ub")
+    )
 
-    Every pair returned is flagged later, so the rows are as many as the answer has.
-    """
-    groups, of = vj.distinct_vectors(held.withColumnRenamed("rep", "text_id"), "text_id", "v")
-    met = vj.pairs_above(vj.unit_rows(groups, "rep", "vector"), threshold).select("a", "b")
-    equal = groups.filter("copies > 1").select(F.col("rep").alias("a"), F.col("rep").alias("b"))
-    side = lambda n: of.select(F.col("rep").alias(n), F.col("text_id").alias(f"text_{n}"))
-    texts = met.unionByName(equal).join(side("a"), "a").join(side("b"), "b").filter("a <> b or text_a < text_b")
-    return texts.select(F.least("text_a", "text_b").alias("a"), F.greatest("text_a", "text_b").alias("b"))
+
+def _vector_rows(rows: DataFrame, groups: DataFrame, units: DataFrame, threshold: float) -> DataFrame:
+    """Rows of vector classes that reach the threshold, with the number of pairs of texts that ``rows`` does not list."""
+    close = vj.pairs_above(units, threshold).withColumnRenamed("score", "semantic")
+    equal = groups.filter("copies > 1").select(F.col("rep").alias("a"), F.col("rep").alias("b"), F.lit(1.0).alias("semantic"))
+    listed = rows.filter("a <> b").groupBy(F.least("class_a", "class_b").alias("a"), F.greatest("class_a", "class_b").alias("b")).agg(F.count("*").alias("listed"))
+    size = lambda n: groups.select(F.col("rep").alias(n), F.col("copies").alias(f"n{n}"))
+    every = F.when(F.col("a") == F.col("b"), (F.col("na") * (F.col("na") - 1) / 2).cast("long")).otherwise(F.col("na") * F.col("nb"))
+    out = close.unionByName(equal).join(size("a"), "a").join(size("b"), "b").join(listed, ["a", "b"], "left")
+    out = out.withColumn("n_texts", every - F.coalesce("listed", F.lit(0))).filter("n_texts > 0")
+    return out.select(F.lit("vector").alias("kind"), "a", "b", "n_texts", F.lit(None).cast("double").alias("lexical"), "semantic")
 
 
 # -- owners -----------------------------------------------------------------------------------
@@ -169,10 +179,10 @@ def holdings(members: DataFrame, owners: DataFrame, key: str, owner: str) -> Dat
 
 
 def against_others(pairs: DataFrame, held: DataFrame) -> DataFrame:
-    """(owner, rep, own, matched, others, pair columns): matches of an owner's text held by other owners.
+    """(owner, rep, own, matched, others, doc_pairs, pair columns): matches of an owner's text held by other owners.
 
     Each flagged pair is read from both sides; ``others`` is the number of matching submissions
-    that do not belong to the owner, ``own`` the number of the owner's copies.
+    that do not belong to the owner, ``own`` the number of the owner's copies, ``doc_pairs`` their product.
     """
     rest = [c for c in pairs.columns if c not in ("a", "b")]
     way = lambda x, y: F.struct(F.col(x).alias("rep"), F.col(y).alias("matched"))
@@ -183,32 +193,65 @@ def against_others(pairs: DataFrame, held: DataFrame) -> DataFrame:
     theirs = held.select(F.col("rep").alias("matched"), "owner", F.col("n").alias("same_owner"))
     rows = directed.join(own, "rep").join(totals, "matched").join(theirs, ["matched", "owner"], "left")
     others = F.col("held") - F.coalesce("same_owner", F.lit(0))
-    return rows.withColumn("others", others).drop("held", "same_owner").filter("others > 0")
+    return rows.withColumn("others", others).drop("held", "same_owner").filter("others > 0").withColumn("doc_pairs", F.col("own") * F.col("others"))
+
+
+def _both_kinds(docs: DataFrame, key: str, owner: str, members: DataFrame, pairs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Matches of texts, matches of vector classes, and the text matches that lie in a flagged pair of classes.
+
+    The last (owner, rep, rep_class, matched_class, others, doc_pairs) are to be taken off the second, with its flags.
+    """
+    texts = stage(against_others(pairs.filter("kind = 'text'"), holdings(members, docs, key, owner)), "text_matches")
+    classed = members.filter("vector_class IS NOT NULL")
+    classes = stage(against_others(pairs.filter("kind = 'vector'"), holdings(classed.select(key, F.col("vector_class").alias("rep")), docs, key, owner)), "class_matches")
+    of = lambda n: classed.select(F.col("rep").alias(n), F.col("vector_class").alias(f"{n}_class")).distinct()
+    flags = pairs.filter("kind = 'vector'").select(
+        F.col("a").alias("x"), F.col("b").alias("y"), F.col("is_duplicate").alias("class_duplicate"), F.col("is_potential").alias("class_potential")
+    )
+    placed = texts.select("owner", "rep", "matched", "others", "doc_pairs").join(of("rep"), "rep").join(of("matched"), "matched")
+    least, greatest = F.least("rep_class", "matched_class"), F.greatest("rep_class", "matched_class")
+    listed = placed.join(flags, (least == F.col("x")) & (greatest == F.col("y"))).drop("x", "y")
+    return texts, classes, listed
+
+
+def matches(docs: DataFrame, key: str, owner: str, members: DataFrame, pairs: DataFrame) -> DataFrame:
+    """(kind, owner, rep, matched, doc_pairs, pair columns): an owner's texts, or vector classes, that match others' work.
+
+    ``doc_pairs`` counts pairs of a submission of the owner with one of another owner; each such pair is counted in one row.
+    """
+    texts, classes, listed = _both_kinds(docs, key, owner, members, pairs)
+    off = listed.groupBy("owner", F.col("rep_class").alias("rep"), F.col("matched_class").alias("matched")).agg(F.sum("doc_pairs").alias("listed"))
+    rest = classes.join(off, ["owner", "rep", "matched"], "left").withColumn("doc_pairs", F.col("doc_pairs") - F.coalesce("listed", F.lit(0)))
+    return texts.drop("own", "others").unionByName(rest.filter("doc_pairs > 0").drop("listed", "own", "others"))
 
 
 def analysis_report(docs: DataFrame, key: str, owner: str, members: DataFrame, pairs: DataFrame) -> DataFrame:
     """Per submission: comparisons, duplicates, potential duplicates and highest similarity; own work excluded."""
-    held = holdings(members, docs, key, owner)
-    matches = against_others(pairs, held)
+    texts, classes, listed = _both_kinds(docs, key, owner, members, pairs)
     count = lambda c: F.sum(F.when(F.col(c), F.col("others")).otherwise(0))
-    best = F.coalesce(F.max(F.when(F.col("is_duplicate"), F.col("score"))), F.max("score"))
-    summary = matches.groupBy("rep", "owner").agg(
-        count("is_duplicate").alias("duplicates"), count("is_potential").alias("potentials"), best.alias("highest")
+    summary = lambda rows, n, by: rows.groupBy(F.col("rep").alias(by), "owner").agg(
+        count("is_duplicate").alias(f"duplicates_{n}"), count("is_potential").alias(f"potentials_{n}"),
+        F.max(F.when(F.col("is_duplicate"), F.col("score"))).alias(f"best_{n}"), F.max("score").alias(f"highest_{n}"),
     )
-    per_owner = held.groupBy("owner").agg(F.sum("n").alias("own_total"))
-    everything = held.agg(F.sum("n")).scalar()
-    rows = docs.select(key, F.col(owner).alias("owner")).join(members, key)
-    out = rows.join(summary, ["rep", "owner"], "left").join(per_owner, "owner")
-    zero = lambda c, v: F.coalesce(c, F.lit(v))
+    # a text row scores no less than the pair of classes that it is taken off, so the classes' best scores stay
+    off = listed.groupBy("rep", "owner").agg(count("class_duplicate").alias("duplicates_off"), count("class_potential").alias("potentials_off"))
+    owners = docs.select(key, F.col(owner).alias("owner"))
+    per_owner = stage(owners.groupBy("owner").agg(F.count("*").alias("own_total")), "owner_totals")
+    everything = per_owner.agg(F.sum("own_total")).scalar()
+    rows = owners.join(members, key)
+    out = rows.join(summary(texts, "texts", "rep"), ["rep", "owner"], "left").join(summary(classes, "classes", "vector_class"), ["vector_class", "owner"], "left")
+    out = out.join(off, ["rep", "owner"], "left").join(per_owner, "owner")
+    zero = lambda c: F.coalesce(c, F.lit(0))
+    total = lambda c: zero(f"{c}_texts") + zero(f"{c}_classes") - zero(f"{c}_off")
+    highest = F.coalesce(F.greatest("best_texts", "best_classes"), F.greatest("highest_texts", "highest_classes"), F.lit(0.0))
     return out.select(
         key, "owner", (everything - F.col("own_total")).alias("total_comparisons"),
-        zero("duplicates", 0).alias("duplicates_found"), zero("potentials", 0).alias("potential_duplicates"),
-        zero("highest", 0.0).alias("highest_similarity"),
+        total("duplicates").alias("duplicates_found"), total("potentials").alias("potential_duplicates"), highest.alias("highest_similarity"),
     )
 
 
 def alerts(matches: DataFrame) -> DataFrame:
-    """Alert rows of `against_others`: duplicates by score, potential ones from 0.7 as low."""
+    """Alert rows of `matches`: duplicates by score, potential ones from 0.7 as low."""
     level = F.when(
         F.col("is_duplicate"), ladders.at_least(F.col("score"), [(0.95, "high"), (0.85, "medium")], "low")
     ).when(F.col("score") >= 0.7, "low")
@@ -226,9 +269,9 @@ def batch_summary(report: DataFrame) -> DataFrame:
     )
 
 
-def cross_owner(pairs: DataFrame, held: DataFrame, p: float = 0.8) -> DataFrame:
-    """Cross-owner matches to report: duplicates, and potential ones from 0.8 p."""
-    return against_others(pairs, held).filter(F.col("is_duplicate") | (F.col("score") >= p * 0.8))
+def cross_owner(found: DataFrame, p: float = 0.8) -> DataFrame:
+    """Those of the `matches` to report: duplicates, and potential ones from 0.8 p."""
+    return found.filter(F.col("is_duplicate") | (F.col("score") >= p * 0.8))
 
 
 def cross_owner_vectors(store: DataFrame, key: str, vector: str, owner: str, p: float = 0.8) -> DataFrame:
@@ -242,7 +285,7 @@ def cross_owner_vectors(store: DataFrame, key: str, vector: str, owner: str, p:
 
 def owner_rollup(matches: DataFrame) -> DataFrame:
     """Per owner: submissions matched, alerts, and alerts of level high (score >= 0.9) and medium."""
-    n = F.col("own") * F.col("others")
+    n = F.col("doc_pairs")
     return matches.groupBy("owner").agg(
         F.sum(n).alias("alerts"),
         F.sum(F.when(F.col("score") >= 0.9, n).otherwise(0)).alias("high_alerts"),
@@ -252,20 +295,20 @@ def owner_rollup(matches: DataFrame) -> DataFrame:
 
 
 def preset_counts(pairs: DataFrame) -> DataFrame:
-    """How many scored pairs each sensitivity level calls duplicates."""
+    """How many flagged pairs of texts each sensitivity level calls duplicates."""
     levels = F.array(
         *[
             F.struct(F.lit(name).alias("level"), F.lit(s).alias("semantic_limit"), F.lit(l).alias("lexical_limit"))
             for name, (s, l) in fixed.SENSITIVITY.items()
         ]
     )
-    rows = pairs.select("semantic", "lexical", F.inline(levels))
+    rows = pairs.select("semantic", "lexical", "n_texts", F.inline(levels))
     over = lambda c, limit: F.coalesce(F.col(c) >= F.col(limit), F.lit(False))
     hit = (
         over("semantic", "semantic_limit") | over("lexical", "lexical_limit")
         | (F.coalesce(F.greatest("semantic", "lexical"), F.lit(0.0)) >= F.col("semantic_limit"))
     )
-    return rows.groupBy("level").agg(F.count_if(hit).alias("duplicates"), F.count("*").alias("pairs"))
+    return rows.groupBy("level").agg(F.sum(F.when(hit, F.col("n_texts")).otherwise(0)).alias("duplicates"), F.sum("n_texts").alias("pairs"))
 
 
 def enrich_pairs(pairs: DataFrame, rows: DataFrame, key: str, columns: list[str]) -> DataFrame:

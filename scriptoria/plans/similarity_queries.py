@@ -218,24 +218,29 @@ def detected(spark, d, t=pl.Thresholds()):
 
 
 def pairs_sql(duplicate=0.8, potential=0.5, semantic=0.8, lexical=0.75):
-    """Flagged pairs of distinct (text, embedding), with a = b for those held more than once."""
+    """Flagged pairs of distinct (text, embedding), with a = b for those held more than once; class_a, class_b: smallest text of equal embeddings."""
     return f"""{lexical_sql('x.doc_id < y.doc_id', '(SELECT embedding FROM embeddings WHERE vec_id = doc_id)')},
-vec AS (SELECT vec_id, embedding FROM embeddings JOIN reps ON doc_id = vec_id),
+vec AS (SELECT vec_id, embedding, min(vec_id) OVER (PARTITION BY embedding) AS class FROM embeddings JOIN reps ON doc_id = vec_id),
 sem AS (SELECT x.vec_id AS a, y.vec_id AS b, {COS} AS semantic FROM vec x JOIN vec y ON x.vec_id < y.vec_id),
 both_scores AS (SELECT a, b, coalesce(lexical, 0.0) AS lexical, semantic FROM lexical FULL JOIN sem USING (a, b)
    UNION ALL SELECT rep, rep, CASE WHEN len(any_value(t)) > 0 THEN 1.0 ELSE 0.0 END, CASE WHEN count(v) > 0 THEN 1.0 END
    FROM prints GROUP BY rep HAVING count(*) > 1),
 scored AS (SELECT *, greatest(lexical, coalesce(semantic, 0.0)) AS score FROM both_scores),
 flags AS (SELECT *, coalesce(semantic >= {semantic}, false) OR lexical >= {lexical} OR score >= {duplicate} AS is_duplicate FROM scored),
-flagged AS (SELECT *, NOT is_duplicate AS is_potential FROM flags WHERE is_duplicate OR score >= {potential})"""
+flagged AS (SELECT *, NOT is_duplicate AS is_potential, CASE WHEN a = b OR lexical >= {min(duplicate, potential, semantic, lexical)} THEN 'text' ELSE 'vector' END AS kind,
+   (SELECT class FROM vec WHERE vec_id = a) AS class_a, (SELECT class FROM vec WHERE vec_id = b) AS class_b
+   FROM flags WHERE is_duplicate OR score >= {potential}),
+rows AS (SELECT kind, a, b, 1::BIGINT AS n_texts, semantic, lexical, score, is_duplicate, is_potential FROM flagged WHERE kind = 'text'
+   UNION ALL SELECT kind, least(class_a, class_b), greatest(class_a, class_b), count(*), max(semantic), NULL, max(score), bool_or(is_duplicate), bool_or(is_potential)
+   FROM flagged WHERE kind = 'vector' GROUP BY 1, 2, 3)"""
 
 
 @query("F3_combined_detection", f"""
 WITH {pairs_sql()}
-SELECT a, b, round(semantic, 6) AS semantic, round(lexical, 6) AS lexical, round(score, 6) AS score, is_duplicate, is_potential FROM flagged""")
+SELECT kind, a, b, n_texts, round(semantic, 6) AS semantic, round(lexical, 6) AS lexical, round(score, 6) AS score, is_duplicate, is_potential FROM rows""")
 def combined_detection(spark, d):
     _, pairs, _ = detected(spark, d)
-    return pairs.select("a", "b", *[F.round(c, 6).alias(c) for c in ("semantic", "lexical", "score")], "is_duplicate", "is_potential")
+    return pairs.select("kind", "a", "b", "n_texts", *[F.round(c, 6).alias(c) for c in ("semantic", "lexical", "score")], "is_duplicate", "is_potential")
 
 
 @query("F4_flagging_reasons", f"""
@@ -246,15 +251,15 @@ SELECT concat_ws('; ', CASE WHEN semantic >= 0.8 THEN 'semantic_embedding_thresh
 FROM flagged GROUP BY 1""")
 def flagging_reasons(spark, d):
     _, pairs, _ = detected(spark, d)
-    return pairs.groupBy("reason").agg(F.count("*").alias("n"))
+    return pairs.groupBy("reason").agg(F.sum("n_texts").alias("n"))
 
 
 @query("F5_confidence_labels", f"""
-WITH {pairs_sql()} SELECT a, b, CASE WHEN score >= 0.95 THEN 'very_high' WHEN score >= 0.85 THEN 'high' WHEN score >= 0.7 THEN 'medium'
-  WHEN score >= 0.5 THEN 'low' ELSE 'very_low' END AS confidence FROM flagged""")
+WITH {pairs_sql()} SELECT kind, a, b, CASE WHEN score >= 0.95 THEN 'very_high' WHEN score >= 0.85 THEN 'high' WHEN score >= 0.7 THEN 'medium'
+  WHEN score >= 0.5 THEN 'low' ELSE 'very_low' END AS confidence FROM rows""")
 def confidence_labels(spark, d):
     _, pairs, _ = detected(spark, d)
-    return pairs.select("a", "b", "confidence")
+    return pairs.select("kind", "a", "b", "confidence")
 
 
 @query("F6_sensitivity_presets", f"""
@@ -271,13 +276,14 @@ WITH {pairs_sql()} SELECT CASE WHEN round(score, 9) >= 1.0 THEN 'EXACT' WHEN sco
   count(*) AS n FROM flagged GROUP BY 1""")
 def match_types(spark, d):
     _, pairs, _ = detected(spark, d)
-    return pairs.groupBy(ladders.match_type(F.round("score", 9)).alias("match_type")).agg(F.count("*").alias("n"))
+    return pairs.groupBy(ladders.match_type(F.round("score", 9)).alias("match_type")).agg(F.sum("n_texts").alias("n"))
 
 
 # Document level: every ordered pair of submissions of different owners whose texts are flagged.
-DOC_PAIRS = """directed AS (SELECT a AS r1, b AS r2, score, is_duplicate, is_potential FROM flagged
-   UNION ALL SELECT b, a, score, is_duplicate, is_potential FROM flagged WHERE a <> b),
-matches AS (SELECT x.doc_id, x.source AS owner, x.rep, y.doc_id AS other, y.rep AS matched, score, is_duplicate, is_potential
+DOC_PAIRS = """directed AS (SELECT kind, a AS r1, b AS r2, class_a AS c1, class_b AS c2, score, is_duplicate, is_potential FROM flagged
+   UNION ALL SELECT kind, b, a, class_b, class_a, score, is_duplicate, is_potential FROM flagged WHERE a <> b),
+matches AS (SELECT x.doc_id, x.source AS owner, kind, CASE kind WHEN 'text' THEN x.rep ELSE c1 END AS rep, y.doc_id AS other,
+   CASE kind WHEN 'text' THEN y.rep ELSE c2 END AS matched, score, is_duplicate, is_potential
    FROM directed JOIN prints x ON x.rep = r1 JOIN prints y ON y.rep = r2 WHERE x.source <> y.source)"""
 
 REPORT = f"""WITH {pairs_sql()}, {DOC_PAIRS},
@@ -300,13 +306,13 @@ def analysis_report(spark, d):
 
 @query("F9_alerts", f"""
 WITH {pairs_sql()}, {DOC_PAIRS}
-SELECT owner, rep, matched, count(DISTINCT doc_id) AS own, count(DISTINCT other) AS others, round(any_value(score), 6) AS score,
+SELECT kind, owner, rep, matched, count(*) AS doc_pairs, round(any_value(score), 6) AS score,
   CASE WHEN any_value(is_duplicate) THEN CASE WHEN any_value(score) >= 0.95 THEN 'high' WHEN any_value(score) >= 0.85 THEN 'medium' ELSE 'low' END ELSE 'low' END AS alert_level
-FROM matches WHERE is_duplicate OR score >= 0.7 GROUP BY owner, rep, matched""")
+FROM matches WHERE is_duplicate OR score >= 0.7 GROUP BY kind, owner, rep, matched""")
 def alerts(spark, d):
     docs, pairs, members = detected(spark, d)
-    out = pl.alerts(pl.against_others(pairs, pl.holdings(members, docs, "doc_id", "source")))
-    return out.select("owner", "rep", "matched", "own", "others", F.round("score", 6).alias("score"), "alert_level")
+    out = pl.alerts(pl.matches(docs, "doc_id", "source", members, pairs))
+    return out.select("kind", "owner", "rep", "matched", "doc_pairs", F.round("score", 6).alias("score"), "alert_level")
 
 
 @query("F10_batch_analysis", f"""{REPORT}
@@ -322,15 +328,15 @@ CROSS = f"WITH {pairs_sql(P, P * 0.7, P, P * 0.8)}, {DOC_PAIRS}, kept AS (SELECT
 
 def crossed(spark, d):
     docs, pairs, members = detected(spark, d, pl.Thresholds.plagiarism(P))
-    return pl.cross_owner(pairs, pl.holdings(members, docs, "doc_id", "source"), P)
+    return pl.cross_owner(pl.matches(docs, "doc_id", "source", members, pairs), P)
 
 
 @query("F11_cross_owner_plagiarism", f"""{CROSS}
-SELECT owner, rep, matched, count(DISTINCT doc_id) AS own, count(DISTINCT other) AS others, round(any_value(score), 6) AS score,
-  any_value(is_duplicate) AS is_duplicate FROM kept GROUP BY owner, rep, matched""")
+SELECT kind, owner, rep, matched, count(*) AS doc_pairs, round(any_value(score), 6) AS score,
+  any_value(is_duplicate) AS is_duplicate FROM kept GROUP BY kind, owner, rep, matched""")
 def cross_owner_plagiarism(spark, d):
     out = crossed(spark, d)
-    return out.select("owner", "rep", "matched", "own", "others", F.round("score", 6).alias("score"), "is_duplicate").orderBy(
+    return out.select("kind", "owner", "rep", "matched", "doc_pairs", F.round("score", 6).alias("score"), "is_duplicate").orderBy(
         "owner", F.desc("score"))
 
 

@@ -130,8 +130,9 @@ def test_combined_case(spark):
     df = spark.createDataFrame([(i, t, [float(x) for x in v]) for i, t, v in rows], "doc_id long, text string, v array<double>")
     t = pl.Thresholds(duplicate=0.9, potential=0.6, semantic=0.85, lexical=0.8)
     pairs, _ = pl.detect(df, "doc_id", "text", df.select("doc_id", "v"), t)
-    flagged = {(r.a, r.b): r.is_duplicate for r in pairs.collect()}
-    assert flagged == {(0, 1): True, (0, 2): True, (1, 2): True}
+    # 0 and 1 have one embedding, so the pair of them is a row of their class, and (0, 2) and (1, 2) are one row of classes
+    flagged = {(r.kind, r.a, r.b): (r.is_duplicate, r.n_texts) for r in pairs.collect()}
+    assert flagged == {("vector", 0, 0): (True, 1), ("vector", 0, 2): (True, 2)}
 
 
 def test_sessions_across_buckets(spark):
@@ -177,8 +178,80 @@ def test_embeddings_of_copies_are_compared(spark):
     docs = spark.createDataFrame([(4, "silver rivers cross plains"), (5, "silver rivers cross plains"), (6, "quite another essay entirely")], "id long, text string")
     vectors = spark.createDataFrame([(4, [1.0, 0.0]), (5, [0.0, 1.0]), (6, [0.0, 1.0])], "id long, v array<double>")
     pairs, _ = pl.detect(docs, "id", "text", vectors)
-    got = {(r.a, r.b): (r.lexical, r.semantic) for r in pairs.collect()}
-    assert got == {(4, 5): (1.0, 0.0), (5, 6): (0.0, 1.0)}
+    got = {(r.kind, r.a, r.b): (r.lexical, r.semantic, r.n_texts) for r in pairs.collect()}
+    assert got == {("text", 4, 5): (1.0, 0.0, 1), ("vector", 5, 5): (None, 1.0, 1)}
+
+
+def test_texts_of_one_embedding_are_a_class(spark):
+    """n texts of one embedding and other words make rows that do not grow with n squared."""
+    rng = random.Random(11)
+    counts = []
+    for n in (100, 200):
+        rows = [(i, " ".join(f"w{rng.randrange(4000)}" for _ in range(12)), [1.0, 2.0], f"o{i % 3}") for i in range(n)]
+        docs = spark.createDataFrame(rows, "id long, text string, v array<double>, owner string")
+        pairs, members = pl.detect(docs.select("id", "text"), "id", "text", docs.select("id", "v"))
+        counts.append(pairs.count())
+        assert pairs.agg(F.sum("n_texts")).first()[0] == n * (n - 1) // 2
+        report = pl.analysis_report(docs, "id", "owner", members, pairs)
+        assert {r.duplicates_found for r in report.collect()} == {n - sum(i % 3 == o for i in range(n)) for o in range(3)}
+        found = pl.matches(docs, "id", "owner", members, pairs)
+        assert found.agg(F.sum("doc_pairs")).first()[0] == sum(i % 3 != j % 3 for i in range(n) for j in range(n))
+    assert counts[1] <= 2 * counts[0] + 2
+
+
+def test_detection_equals_brute_force_per_document(spark):
+    """Copies, edited copies and shared embeddings, each in every combination."""
+    rng = random.Random(13)
+    base = [" ".join(f"term{rng.randrange(300)}" for _ in range(14)) for _ in range(12)]
+    vectors = [[rng.gauss(0, 1) for _ in range(3)] for _ in range(5)]
+    rows = []
+    for i in range(90):
+        words = rng.choice(base).split()
+        for _ in range(rng.choice([0, 0, 1, 3])):
+            words[rng.randrange(14)] = rng.choice(["edit", "other", "more"])
+        rows.append((i, " ".join(words), rng.choice(vectors) if rng.random() < 0.8 else None, f"o{rng.randrange(4)}"))
+    rows += [(90, "the and of", vectors[0], "o1"), (91, "", vectors[0], "o2"), (92, None, None, "o3")]
+    docs = spark.createDataFrame(rows, "id long, text string, v array<double>, owner string")
+    t = pl.Thresholds(duplicate=0.85, potential=0.55, semantic=0.9, lexical=0.7)
+    pairs, members = pl.detect(docs.select("id", "text"), "id", "text", docs.select("id", "v").filter("v IS NOT NULL"), t)
+    report = {r.id: r for r in pl.analysis_report(docs, "id", "owner", members, pairs).collect()}
+    summed = {(r.owner, r.is_duplicate): r.n for r in pl.matches(docs, "id", "owner", members, pairs).groupBy("owner", "is_duplicate").agg(F.sum("doc_pairs").alias("n")).collect()}
+    cosine = lambda x, y: 1.0 if x == y else max(0.0, min(1.0, sum(a * b for a, b in zip(x, y)) / math.sqrt(sum(a * a for a in x) * sum(b * b for b in y))))
+    expected = Counter()
+    for i, a, u, o in rows:
+        duplicates, potentials, best = 0, 0, []
+        for j, b, v, p in rows:
+            if p == o:
+                continue
+            same = lx_tokens(a) == lx_tokens(b) and lx_tokens(a)
+            lexical = 1.0 if same else brute_lexical(a or "", b or "")
+            semantic = cosine(u, v) if u and v else None
+            score = max(lexical, semantic or 0.0)
+            duplicate = lexical >= t.lexical or (semantic or 0) >= t.semantic or score >= t.duplicate
+            potential = not duplicate and score >= t.potential
+            duplicates, potentials = duplicates + duplicate, potentials + potential
+            if duplicate or potential:
+                best.append((duplicate, score))
+                expected[o, duplicate] += 1
+        r = report[i]
+        assert (r.duplicates_found, r.potential_duplicates) == (duplicates, potentials), i
+        assert math.isclose(r.highest_similarity, max(best)[1] if best else 0.0, abs_tol=1e-9)
+    assert summed == dict(expected)
+
+
+def lx_tokens(text):
+    return [w for w in (text or "").split() if len(w) > 1 and w not in lx.fixed.STOP_WORDS]
+
+
+def test_a_hot_gram_is_split(spark, monkeypatch):
+    """Candidates of a gram that all texts hold are the same in one part and in many."""
+    rng = random.Random(17)
+    rows = [(i, "shared " * 5 + " ".join(f"q{rng.randrange(30)}" for _ in range(4))) for i in range(60)]
+    _, distinct = lx.collapse(spark.createDataFrame(rows, "id long, text string"), "id", "text")
+    grams = lx.gram_vectors(distinct)
+    whole = {(r.a, r.b) for r in lx.candidates(grams, 0.5).collect()}
+    monkeypatch.setattr(lx, "HOT_GRAM", 7)
+    assert whole and {(r.a, r.b) for r in lx.candidates(grams, 0.5).collect()} == whole
 
 
 def test_blank_texts_match_nothing(spark):
