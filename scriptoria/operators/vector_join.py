@@ -2,9 +2,10 @@
 
 Vectors fall into the cell of their nearest pivot. By the triangle inequality on angles, a vector
 can only have partners above a threshold in cells whose angle range it reaches, so it visits
-those cells and no others. Each cell is met in blocks of bounded size, however many rows it
-holds: home rows and visitors are spread over a grid of (home block, visitor block) groups, and a
-group yields only the pairs that pass, never all of its pairs.
+those cells and no others. Small neighbouring cells are one group of about `BLOCK_ROWS` rows, so that a vector which no bound
+keeps from any cell is sent once per block of rows and not once per cell. Each group is met in blocks of bounded size, however
+many rows it holds: home rows and visitors are spread over a grid of (home block, visitor block), and a
+block yields only the pairs that pass, never all of its pairs.
 """
 
 from __future__ import annotations
@@ -30,11 +31,12 @@ SLACK = 1e-6  # radians, against rounding in the angle bounds
 
 @dataclass(frozen=True)
 class Cells:
-    """Pivots with the angle range and row count of their cells; bounded by the number of pivots."""
+    """Pivots with the angle range of their cells, each cell's group and the row count of the groups; bounded by the number of pivots."""
 
     pivots: np.ndarray
     nearest: np.ndarray
     farthest: np.ndarray
+    group: np.ndarray
     rows: dict[int, int]
 
 
@@ -55,10 +57,22 @@ def _pivot_count(n: int) -> int:
     return max(1, min(MAX_PIVOTS, int(math.sqrt(n) / 2)))
 
 
-def build_cells(units: DataFrame, n_pivots: int | None = None) -> Cells:
-    """Choose pivots by hash order and measure the cells around them.
+def _grouped(pivots: np.ndarray, rows: np.ndarray, group_rows: int) -> np.ndarray:
+    """A group for every cell: cells in a chain of nearest pivots, cut whenever ``group_rows`` rows are reached."""
+    group, left = np.zeros(len(pivots), dtype="int32"), np.ones(len(pivots), dtype=bool)
+    at, number, held = 0, 0, 0
+    for _ in range(len(pivots)):
+        if held and held + rows[at] > group_rows:
+            number, held = number + 1, 0
+        group[at], left[at], held = number, False, held + rows[at]
+        at = int(np.where(left, pivots @ pivots[at], -np.inf).argmax())
+    return group
 
-    Only the pivots and one row of statistics per cell reach the driver.
+
+def build_cells(units: DataFrame, n_pivots: int | None = None, group_rows: int | None = None) -> Cells:
+    """Choose pivots by hash order, measure the cells around them and put small ones together.
+
+    Only the pivots and one row of statistics per cell reach the driver. ``group_rows`` of 1 leaves every cell by itself.
     """
     n_pivots = n_pivots or _pivot_count(units.count())
     chosen = units.orderBy(F.xxhash64("id"), "id").limit(n_pivots).collect()
@@ -70,16 +84,19 @@ def build_cells(units: DataFrame, n_pivots: int | None = None) -> Cells:
         )
         stats = {r.cell: r for r in placed.collect()}
     cells = range(len(pivots))
+    counts = np.array([stats[c].n if c in stats else 0 for c in cells], dtype="int64")
+    group = _grouped(pivots, counts, group_rows or BLOCK_ROWS)
     return Cells(
         pivots,
         np.array([stats[c].lo if c in stats else np.inf for c in cells]),
         np.array([stats[c].hi if c in stats else -np.inf for c in cells]),
-        {c: r.n for c, r in stats.items()},
+        group,
+        {int(g): int(counts[group == g].sum()) for g in np.unique(group)},
     )
 
 
-def place(units: DataFrame, pivots: np.ndarray) -> DataFrame:
-    """Add the nearest pivot and the angle to it."""
+def place(units: DataFrame, pivots: np.ndarray, group: np.ndarray | None = None) -> DataFrame:
+    """Add the nearest pivot, or its ``group``, and the angle to it."""
     schema = T.StructType(units.schema.fields + [T.StructField("cell", T.IntegerType()), T.StructField("angle", T.DoubleType())])
 
     def nearest(batches):
@@ -87,16 +104,16 @@ def place(units: DataFrame, pivots: np.ndarray) -> DataFrame:
             if len(pdf):
                 angles = _angles(_matrix(pdf["u"]), pivots)
                 best = angles.argmin(axis=1)
-                yield pdf.assign(cell=best.astype("int32"), angle=angles[np.arange(len(pdf)), best])
+                yield pdf.assign(cell=(best if group is None else group[best]).astype("int32"), angle=angles[np.arange(len(pdf)), best])
 
     return units.mapInPandas(nearest, schema)
 
 
 def visits(units: DataFrame, cells: Cells, upper_only: bool) -> DataFrame:
-    """(id, u, cell, target): every cell a row can have partners in within its ``reach`` (radians).
+    """(id, u, cell, target): every group with a cell that a row can have partners in within its ``reach`` (radians).
 
-    ``upper_only`` leaves out cells before the row's own one, so that a self-join meets each
-    pair of cells once.
+    ``cell`` is the row's own group. ``upper_only`` leaves out groups before it, so that a self-join meets each
+    pair of groups once.
     """
     schema = T.StructType(
         [f for f in units.schema.fields if f.name != "reach"]
@@ -111,9 +128,9 @@ def visits(units: DataFrame, cells: Cells, upper_only: bool) -> DataFrame:
                 reach = pdf["reach"].to_numpy()[:, None] + SLACK
                 hit = (angles - reach <= cells.farthest) & (angles + reach >= cells.nearest)
                 if upper_only:
-                    hit &= np.arange(hit.shape[1]) >= own[:, None]
-                targets = [np.flatnonzero(row).astype("int32") for row in hit]
-                yield pdf.drop(columns="reach").assign(cell=own.astype("int32"), targets=targets)
+                    hit &= cells.group >= cells.group[own][:, None]
+                targets = [np.unique(cells.group[row]).astype("int32") for row in hit]
+                yield pdf.drop(columns="reach").assign(cell=cells.group[own].astype("int32"), targets=targets)
 
     spread = units.mapInPandas(reachable, schema)
     return spread.withColumn("target", F.explode("targets")).drop("targets")
@@ -126,10 +143,10 @@ def _block_count(n: int) -> int:
 def _meet(
     home: DataFrame, visitors: DataFrame, cells: Cells, kernel: Callable, schema: str, one_block: bool = False
 ) -> DataFrame:
-    """Run ``kernel(home, visitors)`` on a grid of bounded groups per cell.
+    """Run ``kernel(home, visitors)`` on a grid of bounded blocks per group of cells.
 
-    A cell with many home rows or many visitors is split into blocks of about `BLOCK_ROWS`; the
-    block counts per cell are a table bounded by the number of pivots. With ``one_block`` a
+    A group with many home rows or many visitors is split into blocks of about `BLOCK_ROWS`; the
+    block counts per group are a table bounded by the number of pivots. With ``one_block`` a
     visitor meets a single block of home rows instead of all of them.
     """
     spark = home.sparkSession
@@ -184,7 +201,7 @@ def pairs_above(units: DataFrame, threshold: float, cells: Cells | None = None)
             {"a": np.where(first, guest_ids, home_ids), "b": np.where(first, home_ids, guest_ids), "score": values}
         )
 
-    return _meet(place(units, cells.pivots), visitors, cells, kernel, schema)
+    return _meet(place(units, cells.pivots, cells.group), visitors, cells, kernel, schema)
 
 
 def _top(scores: np.ndarray, ids: np.ndarray, k: int, floor: float) -> tuple[np.ndarray, np.ndarray]:
@@ -209,7 +226,7 @@ def nearest(
     """
     cells = cells or build_cells(corpus)
     id_type = _id_type(corpus)
-    home = place(corpus, cells.pivots)
+    home = place(corpus, cells.pivots, cells.group)
 
     def best_of(home_pdf: pd.DataFrame, guest: pd.DataFrame, floors: np.ndarray):
         scores = _matrix(guest["u"]) @ _matrix(home_pdf["u"]).T
@@ -226,7 +243,7 @@ def nearest(
         reach = np.arccos(np.clip([max(s, threshold) for _, s in found], -1.0, 1.0))
         return pd.DataFrame({"id": [q for q, _ in found], "reach": reach})
 
-    own = place(queries, cells.pivots).withColumn("target", F.col("cell")).drop("angle")
+    own = place(queries, cells.pivots, cells.group).withColumn("target", F.col("cell")).drop("angle")
     bounds = stage(_meet(home, own, cells, bound, f"id {id_type}, reach double", one_block=True), "reach")
     widest = float(np.arccos(np.clip(threshold, -1.0, 1.0)))
     guests = visits(

@@ -56,12 +56,28 @@ def test_cells_prune_far_vectors(spark):
     m = rng.normal(size=(12, 16))[rng.integers(0, 12, 600)] + 0.05 * rng.normal(size=(600, 16))
     df = spark.createDataFrame([(i, [float(x) for x in v]) for i, v in enumerate(m)], "id long, v array<double>")
     units = vj.unit_rows(df, "id", "v")
-    cells = vj.build_cells(units, 12)
+    cells = vj.build_cells(units, 12, group_rows=1)
     everywhere = vj.visits(units.withColumn("reach", F.lit(math.pi)), cells, False).count()
     near = vj.visits(units.withColumn("reach", F.lit(math.acos(0.95))), cells, False).count()
     assert near < everywhere / 3
 
 
+def test_vectors_without_clusters_are_sent_once_per_block(spark, monkeypatch):
+    """Nothing is pruned here; a vector goes to blocks of rows, not to each of the 40 cells, and far fewer rows are sent than compared."""
+    monkeypatch.setattr(vj, "BLOCK_ROWS", 200)
+    rng = np.random.default_rng(9)
+    m = rng.normal(size=(1000, 32))
+    units = vj.unit_rows(spark.createDataFrame([(i, [float(x) for x in v]) for i, v in enumerate(m)], "id long, v array<double>"), "id", "v")
+    cells = vj.build_cells(units, 40)
+    assert sum(cells.rows.values()) == 1000 and 5 <= len(cells.rows) <= 10
+    sent = vj.visits(units.withColumn("reach", F.lit(math.acos(0.3))), cells, True).count()
+    assert sent <= 1000 * (len(cells.rows) + 1) / 2 * 1.2 < 1000 * 999 / 2 / 50
+    m /= np.linalg.norm(m, axis=1, keepdims=True)
+    s = m @ m.T
+    got = {(r.a, r.b) for r in vj.pairs_above(units, 0.3, cells).collect()}
+    assert got == {(i, j) for i in range(1000) for j in range(i + 1, 1000) if s[i, j] >= 0.3}
+
+
 def test_copied_vectors_are_one_entry(spark):
     df = spark.createDataFrame([(i, [1.0, 0.0]) for i in range(50)] + [(50, [0.9, 0.1]), (51, [0.0, 1.0])], "id long, v array<double>")
     rows = {(r.a, r.b): (r.copies_a, r.copies_b) for r in vs.similar_pairs(df, "id", "v", 0.9).collect()}
