@@ -6,6 +6,8 @@ projected column, otherwise the optimizer may inline its definition and evaluate
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -26,6 +28,25 @@ def with_run_lengths(df: DataFrame, tokens: str, out: str) -> DataFrame:
     return df.withColumn(out, lengths).drop(s, b)
 
 
+def let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with ``value`` computed once per row, also where a lambda reads it for every element."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
+def last_places(values: Column) -> Column:
+    """For each element the place of the last equal one before it, from 0, or -1.
+
+    Sorting (element, place) puts equal elements side by side; the places are then put back in order.
+    """
+    placed = F.array_sort(F.transform(values, lambda x, i: F.struct(x.alias("x"), i.alias("i"))))
+
+    def before(held):
+        last = lambda e, j: F.when((j > 0) & (F.get(held, j - 1)["x"] == e["x"]), F.get(held, j - 1)["i"]).otherwise(-1)
+        return F.array_sort(F.transform(held, lambda e, j: F.struct(e["i"].alias("i"), last(e, j).alias("last"))))
+
+    return F.transform(let(placed, before), lambda e: e["last"])
+
+
 def total(values: Column) -> Column:
     return F.aggregate(values, F.lit(0).cast("long"), lambda acc, x: acc + x)
 

@@ -7,9 +7,6 @@ tokenising and measuring a corpus needs no shuffle. Only operators that look acr
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -59,30 +56,31 @@ def with_lexical_richness(docs: DataFrame) -> DataFrame:
     ).drop("__freq")
 
 
-def _factors(words: list[str], threshold: float) -> int:
-    """Segments of a reading whose type-token ratio falls below the threshold; a rest counts as one."""
-    count, seen, length = 0, set(), 0
-    for word in words:
-        seen.add(word)
-        length += 1
-        if len(seen) / length < threshold:
-            count, seen, length = count + 1, set(), 0
-    return count + (length > 0)
+def _factors(words: Column, threshold: float) -> Column:
+    """Segments of a reading whose type-token ratio falls below the threshold; a rest counts as one.
+
+    A word is new in a segment if its last place is before the segment's start, so the state is four numbers however many words
+    a segment has.
+    """
+    def step(state, last):
+        types = state["types"] + F.when(last < state["start"], 1).otherwise(0)
+        place = state["place"] + 1
+        closes = types / (place - state["start"]) < threshold
+        return F.struct(
+            (state["count"] + closes.cast("int")).alias("count"), F.when(closes, place).otherwise(state["start"]).alias("start"),
+            F.when(closes, 0).otherwise(types).alias("types"), place.alias("place"),
+        )
+
+    none = F.struct(*(F.lit(0).alias(n) for n in ("count", "start", "types", "place")))
+    rest = lambda state: state["count"] + (state["place"] > state["start"]).cast("int")
+    return F.aggregate(ar.last_places(words), none, step, rest)
 
 
 def mtld(tokens_column: Column, threshold: float = 0.72) -> Column:
-    """Words per factor, averaged over a forward and a backward reading; 0 below 50 words."""
-
-    @F.pandas_udf("double")
-    def measure(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for words in batches:
-            yield words.map(
-                lambda w: 0.0
-                if len(w) < 50
-                else 2.0 * len(w) / (_factors(w, threshold) + _factors(w[::-1], threshold))
-            ).astype("float64")
-
-    return measure(tokens_column)
+    """Words per factor, averaged over a forward and a backward reading; 0 below 50 words and for null."""
+    n = F.size(tokens_column)
+    factors = _factors(tokens_column, threshold) + _factors(F.reverse(tokens_column), threshold)
+    return F.when(n >= 50, 2.0 * n / factors).otherwise(0.0)
 
 
 def with_sentence_structure(docs: DataFrame) -> DataFrame:

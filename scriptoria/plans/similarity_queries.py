@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import fixed_values as fixed
 from ..functions import ladders
 from ..functions import text as tx
+from ..functions import vectors as vx
 from ..operators import lexical as lx
 from ..operators import plagiarism as pl
 from ..operators import vector_join as vj
@@ -34,12 +35,41 @@ COS = """greatest(0.0, least(1.0, list_dot_product(x.embedding::DOUBLE[], y.embe
 ALL = f"allp AS (SELECT x.vec_id AS a, y.vec_id AS b, x.label AS la, y.label AS lb, {COS} AS score FROM embeddings x CROSS JOIN embeddings y)"
 
 
-@query("E1_document_embedding")
+def murmur_sql(word):
+    """Spark's 32-bit Murmur3 hash of a word's bytes with seed 42, unsigned."""
+    c1, c2, most = 3432918353, 461845907, 4294967296
+    times = lambda x, c: f"(({x})::HUGEINT * {c} % {most})::BIGINT"
+    turned = lambda x, r: f"((({x}) << {r}) % {most} | (({x}) >> {32 - r}))"
+    mixed = lambda k: times(turned(times(k, c1), 15), c2)
+    byte = lambda i: f"('0x' || substr(x, 2 * ({i}) + 1, 2))::BIGINT"
+    block = " + ".join(f"({byte(f'4 * i + {j}')} << {8 * j})" for j in range(4))
+    rest = " + ".join(f"CASE WHEN n % 4 > {j} THEN {byte(f'n - n % 4 + {j}')} << {8 * j} ELSE 0 END" for j in range(3))
+    body = f"list_reduce(list_prepend(42::BIGINT, list_transform(range(0, n // 4), lambda i: {block})), lambda h, k: (({turned(f'xor(h, {mixed('k')})', 13)})::HUGEINT * 5 + 3864292196) % {most})::BIGINT"
+    ended = f"xor(xor({body}, CASE WHEN n % 4 > 0 THEN {mixed(rest)} ELSE 0 END), n)"
+    return f"""(SELECT xor(h3, h3 >> 16) FROM (SELECT {times('xor(h2, h2 >> 13)', 3266489909)} AS h3 FROM (
+      SELECT {times('xor(h1, h1 >> 16)', 2246822507)} AS h2 FROM (SELECT {ended} AS h1 FROM (SELECT hex(encode({word})) AS x, octet_length(encode({word})) AS n)))))"""
+
+
+# Hashed TF-IDF vectors of length one: (doc_id, i, v).
+HASHED = f"""hw AS (SELECT doc_id, word, count(*) AS n FROM (SELECT doc_id, unnest(list_filter({q.words()}, lambda w: length(w) >= 2)) AS word FROM documents) GROUP BY 1, 2),
+slots AS (SELECT word, {murmur_sql('word')} % 1024 AS i FROM (SELECT DISTINCT word FROM hw)),
+tf AS (SELECT doc_id, i, sum(n)::DOUBLE AS tf FROM hw JOIN slots USING (word) GROUP BY 1, 2),
+idf AS (SELECT i, ln(((SELECT count(*) FROM documents) + 1) / (count(*) + 1)) AS idf FROM tf GROUP BY i),
+weighed AS (SELECT doc_id, i, tf * idf AS x FROM tf JOIN idf USING (i)),
+unit AS (SELECT doc_id, i, x / nullif(sqrt(sum(x * x) OVER (PARTITION BY doc_id)), 0) AS v FROM weighed)"""
+
+
+@query("E1_document_embedding", f"""
+WITH {HASHED}, told AS (SELECT doc_id, sqrt(sum(v * v)) AS length, count(*) FILTER (v <> 0) AS n, sum(v) AS total, sum(v * i) AS weighed FROM unit GROUP BY doc_id)
+SELECT doc_id, 1024 AS dimension, round(coalesce(length, 0.0), 6) AS length, coalesce(n, 0) AS nonzero, round(coalesce(total, 0.0), 5) AS total,
+  round(coalesce(weighed, 0.0), 3) AS weighed FROM documents LEFT JOIN told USING (doc_id)""")
 def document_embedding(spark, d):
     docs = documents(spark, d)
     out = vs.embed(vs.fit_embedding(docs), docs)
-    from ..functions import vectors as vx
-    return out.select("doc_id", F.size("embedding").alias("dimension"), F.round(vx.norm(F.col("embedding")), 6).alias("length"))
+    v, add = F.col("embedding"), lambda acc, x: acc + x
+    return out.select(
+        "doc_id", F.size(v).alias("dimension"), F.round(vx.norm(v), 6).alias("length"), F.size(F.filter(v, lambda x: x != 0)).cast("long").alias("nonzero"),
+        F.round(F.aggregate(v, F.lit(0.0), add), 5).alias("total"), F.round(F.aggregate(F.transform(v, lambda x, i: x * i), F.lit(0.0), add), 3).alias("weighed"))
 
 
 @query("E2_masked_pooling", """
@@ -183,7 +213,9 @@ def indexed_nearest(spark, d):
     return out.select("query", "neighbour", F.round("score", 6).alias("score"))
 
 
-@query("E15_similar_documents")
+@query("E15_similar_documents", f"""
+WITH {HASHED}, scores AS (SELECT x.doc_id, least(1.0, sum(x.v * y.v)) AS score FROM unit x JOIN unit y ON y.doc_id = 0 AND y.i = x.i GROUP BY 1)
+SELECT doc_id, source, round(score, 6) AS score FROM scores JOIN documents USING (doc_id) WHERE source <> 'src0' AND score >= 0.1 ORDER BY score DESC, doc_id LIMIT 10""")
 def similar_documents(spark, d):
     docs = documents(spark, d)
     model = vs.fit_embedding(docs)

@@ -104,7 +104,19 @@ def lexical_richness(spark, d):
     return rounded(st.with_lexical_richness(st.prepare(documents(spark, d))), ["doc_id"], LEX_NAMES)
 
 
-@query("C3_mtld")
+def factors_sql(words):
+    """Segments closed by a type-token ratio under 0.72, by their words themselves, and one for a rest."""
+    seen = "CASE WHEN list_contains(a.seen, x.w) THEN a.seen ELSE list_append(a.seen, x.w) END"
+    closes = f"len({seen}) / (a.k + 1) < 0.72"
+    start = "{'w': '', 'seen': []::VARCHAR[], 'c': 0, 'k': 0}"
+    rows = f"list_prepend({start}, list_transform({words}, lambda w: {{'w': w, 'seen': []::VARCHAR[], 'c': 0, 'k': 0}}))"
+    step = f"{{'w': x.w, 'seen': CASE WHEN {closes} THEN []::VARCHAR[] ELSE {seen} END, 'c': a.c + CASE WHEN {closes} THEN 1 ELSE 0 END, 'k': CASE WHEN {closes} THEN 0 ELSE a.k + 1 END}}"
+    return f"list_reduce({rows}, lambda a, x: {step})"
+
+
+@query("C3_mtld", f"""
+WITH {BASE}, runs AS (SELECT doc_id, len(tokens) AS n, {factors_sql('tokens')} AS f, {factors_sql('list_reverse(tokens)')} AS b FROM base)
+SELECT doc_id, CASE WHEN n < 50 OR n IS NULL THEN 0.0 ELSE round(2.0::DOUBLE * n / (f.c + b.c + CASE WHEN f.k > 0 THEN 1 ELSE 0 END + CASE WHEN b.k > 0 THEN 1 ELSE 0 END), 6) END AS mtld FROM runs""")
 def mtld(spark, d):
     df = st.prepare(documents(spark, d))
     return df.select("doc_id", F.round(st.mtld(F.col("tokens")), 6).alias("mtld"))

@@ -5,6 +5,7 @@ import math
 from pyspark.ml.feature import StopWordsRemover
 from pyspark.sql import functions as F
 
+from scriptoria.functions import arrays as ar
 from scriptoria.functions import fixed_values as fixed
 from scriptoria.functions import ladders
 from scriptoria.functions import text as tx
@@ -64,18 +65,19 @@ def test_syllables(spark):
 
 
 def test_mtld_is_a_factor_count(spark):
-    words = ["a", "b", "a", "b"] * 20
-    def factors(seq):
-        n, seen, k = 0, set(), 0
-        for w in seq:
-            seen.add(w)
-            k += 1
-            if len(seen) / k < 0.72:
-                n, seen, k = n + 1, set(), 0
-        return n + (k > 0)
-    df = spark.createDataFrame([(words,), (["x"] * 49,)], "w array<string>")
-    got = [r.m for r in df.select(st.mtld(F.col("w")).alias("m")).collect()]
-    assert got == [len(words) / ((factors(words) + factors(words[::-1])) / 2), 0.0]
+    """Worked out by hand. "a b a": 2 of 3 words are new, under 0.72, so a factor closes at every third word."""
+    words = ["a", "b", "a", "b"] * 20  # 80 words: 26 factors of three and a rest of two, in both directions
+    pairs = ["a", "a"] * 30  # a factor at every second word, no rest
+    distinct = [f"w{i}" for i in range(60)]  # never under the limit: the rest alone
+    df = spark.createDataFrame([(words,), (pairs,), (distinct,), (["x"] * 49,), ([],), (None,)], "w array<string>")
+    got = df.select(st.mtld(F.col("w")).alias("m"))
+    assert [r.m for r in got.collect()] == [80 / 27, 2.0, 60.0, 0.0, 0.0, 0.0]
+    assert "Python" not in got._jdf.queryExecution().toString()
+
+
+def test_last_places(spark):
+    df = spark.createDataFrame([(["b", "a", "b", "b", "c", "a"],), ([],)], "w array<string>")
+    assert [r.p for r in df.select(ar.last_places(F.col("w")).alias("p")).collect()] == [[-1, -1, 0, 2, -1, 1], []]
 
 
 def test_ladders(spark):
