@@ -10,6 +10,7 @@ from ..functions import fixed_values as fixed
 from ..functions import ladders
 from ..functions import text as tx
 from ..session import stage
+from . import bigrams as bg
 
 
 def _capped(count: Column, per: Column) -> Column:
@@ -102,14 +103,6 @@ def with_style_anomalies(docs: DataFrame, text: str = "text") -> DataFrame:
 
 # -- perplexity under a bigram model of the corpus -------------------------------------------
 
-def bigram_counts(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(key, w1, w2, n): how often each document has each pair of adjacent words."""
-    w = docs.select(key, tx.words(F.col(text)).alias("w"))
-    last = F.greatest(F.size("w") - 1, F.lit(0))
-    pairs = F.arrays_zip(F.slice("w", 1, last).alias("w1"), F.slice("w", 2, last).alias("w2"))
-    return w.select(key, F.inline(pairs)).groupBy(key, "w1", "w2").agg(F.count("*").alias("n"))
-
-
 def bigram_model(counts: DataFrame, add: float = 1.0) -> DataFrame:
     """(w1, w2, log_p): log probability of w2 after w1 with add-k smoothing over the second-word vocabulary."""
     pairs = counts.groupBy("w1", "w2").agg(F.sum("n").alias("c"))
@@ -122,7 +115,7 @@ def bigram_model(counts: DataFrame, add: float = 1.0) -> DataFrame:
 def perplexity(docs: DataFrame, key: str = "doc_id", text: str = "text", add: float = 1.0, default: float = 50.0) -> DataFrame:
     """(key, perplexity) under the model of the same corpus; ``default`` for texts of fewer than two words."""
     # The model and the scoring both read the counts: tokenise and group once.
-    counts = stage(bigram_counts(docs, key, text), "bigrams")
+    counts = stage(bg.bigram_counts(docs, key, text), "bigrams")
     scored = counts.join(bigram_model(counts, add), ["w1", "w2"]).groupBy(key).agg(
         F.exp(-F.sum(F.col("n") * F.col("log_p")) / F.sum("n")).alias("perplexity")
     )
@@ -171,9 +164,15 @@ def ensemble(scores: DataFrame) -> DataFrame:
     return df.withColumn("confidence", F.greatest(F.lit(0.1), 1.0 - F.sqrt(squares / len(names))))
 
 
-def detect(docs: DataFrame, key: str = "doc_id", text: str = "text", add: float = 1.0, **lexicons: list[str]) -> DataFrame:
-    """Every score of every document: features, perplexity and ensemble."""
-    return ensemble(features(docs, text, **lexicons).join(perplexity(docs, key, text, add), key))
+def detect(
+    docs: DataFrame, key: str = "doc_id", text: str = "text", add: float = 1.0, model: bg.BigramModel | None = None, leave_out: bool = False, **lexicons: list[str]
+) -> DataFrame:
+    """Every score of every document: features, perplexity and ensemble.
+
+    The perplexity is that under a stored ``model`` (see `bigrams.perplexity`), or else under one of the same documents.
+    """
+    measured = perplexity(docs, key, text, add) if model is None else bg.perplexity(docs, model, key, text, leave_out)
+    return ensemble(features(docs, text, **lexicons).join(measured, key))
 
 
 def risk_label(p: Column) -> Column:

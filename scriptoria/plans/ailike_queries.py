@@ -6,10 +6,13 @@ vocabularies that do; the defaults are checked on literals in the tests.
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from ..operators import ailike as ai
-from ..session import spread
+from ..operators import bigrams as bg
+from ..session import ensure_checkpoint_dir, spread
 from ..sources.tables import table
 from . import sqltext as q
 from .registry import query
@@ -94,6 +97,41 @@ def perplexity(spark, d):
     return rounded(ai.perplexity(documents(spark, d)), ["perplexity"], 4)
 
 
+def backoff_sql(fitted, scored, own=False):
+    """Back-off perplexity of the documents ``scored`` under the counts of ``fitted``, each document's own counts taken off with ``own``."""
+    off = lambda c: c if own else "0"
+    return f"""wl AS (SELECT doc_id, source, {q.words()} AS w FROM documents),
+bg AS (SELECT doc_id, source, w[i] AS w1, w[i + 1] AS w2 FROM (SELECT doc_id, source, w, unnest(range(1, len(w))) AS i FROM wl)),
+m AS (SELECT * FROM bg WHERE {fitted}),
+c12 AS (SELECT w1, w2, count(*) AS c FROM m GROUP BY 1, 2),
+c1 AS (SELECT w1, sum(c)::BIGINT AS c1, count(*) AS kinds FROM c12 GROUP BY 1),
+c2 AS (SELECT w2, sum(c)::BIGINT AS c2 FROM c12 GROUP BY 1),
+tot AS (SELECT sum(c2)::BIGINT AS tokens, count(*) AS vocab FROM c2),
+s AS (SELECT *, count(*) OVER (PARTITION BY doc_id, w1, w2) AS o12, count(*) OVER (PARTITION BY doc_id, w1) AS o1,
+   count(*) OVER (PARTITION BY doc_id, w2) AS o2, count(*) OVER (PARTITION BY doc_id) AS o FROM bg WHERE {scored}),
+lost AS (SELECT doc_id, w1, count(DISTINCT w2) AS lost FROM s JOIN c12 USING (w1, w2) WHERE o12 = c GROUP BY 1, 2),
+p AS (SELECT s.doc_id, (coalesce(c, 0) - {off('o12')})::DOUBLE AS c, (coalesce(c1, 0) - {off('o1')})::DOUBLE AS c1, coalesce(kinds, 0) - {off('coalesce(lost, 0)')} AS kinds,
+   (coalesce(c2, 0) - {off('o2')} + 1.0::DOUBLE) / (tokens - {off('o')} + vocab + 1) AS pu
+   FROM s LEFT JOIN c12 USING (w1, w2) LEFT JOIN c1 USING (w1) LEFT JOIN c2 USING (w2) LEFT JOIN lost ON lost.doc_id = s.doc_id AND lost.w1 = s.w1 CROSS JOIN tot),
+ppl AS (SELECT doc_id, coalesce(x, 50.0) AS perplexity FROM (SELECT doc_id FROM documents WHERE {scored}) LEFT JOIN (
+   SELECT doc_id, exp(-avg(ln(CASE WHEN c1 > 0 THEN (greatest(c - 0.5, 0) + 0.5::DOUBLE * kinds * pu) / c1 ELSE pu END))) AS x FROM p GROUP BY doc_id) USING (doc_id))"""
+
+
+@query("D1_perplexity_stored_model", f"WITH {backoff_sql('source <> ' + chr(39) + 'src0' + chr(39), 'source = ' + chr(39) + 'src0' + chr(39))} SELECT doc_id, round(perplexity, 4) AS perplexity FROM ppl")
+def perplexity_stored_model(spark, d):
+    """A model of all other sources' texts, stored and read again, scores those of one source."""
+    docs = documents(spark, d)
+    folder = f"{ensure_checkpoint_dir(spark)}/bigram-model-{uuid.uuid4().hex}"
+    bg.fit(docs.filter("source <> 'src0'")).save(folder)
+    return rounded(bg.perplexity(docs.filter("source = 'src0'"), bg.BigramModel.load(spark, folder)), ["perplexity"], 4)
+
+
+@query("D1_perplexity_leave_one_out", f"WITH {backoff_sql('true', 'true', own=True)} SELECT doc_id, round(perplexity, 4) AS perplexity FROM ppl")
+def perplexity_leave_one_out(spark, d):
+    docs = documents(spark, d)
+    return rounded(bg.perplexity(docs, bg.fit(docs), leave_out=True), ["perplexity"], 4)
+
+
 @query("D2_perplexity_band", f"""
 WITH {PERPLEXITY} SELECT CASE WHEN perplexity / 30 < 20 THEN 0.8 WHEN perplexity / 30 < 50 THEN 0.5 ELSE 0.2 END::DOUBLE AS band, count(*) AS n FROM ppl GROUP BY 1""")
 def perplexity_band(spark, d):

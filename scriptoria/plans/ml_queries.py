@@ -4,13 +4,16 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions import ordered
 from ..operators import ailike as ai
+from ..operators import authorship as au
 from ..operators import ml
 from ..operators import stylometry as st
 from ..session import spread
 from ..sources.tables import table
 from . import ailike_queries as aq
 from .registry import query
+from .similarity_queries import COS
 
 
 def embeddings(spark, d):
@@ -95,6 +98,27 @@ def accuracy(spark, d):
     return out.withColumn("accuracy", F.round("accuracy", 6))
 
 
+AUTHORSHIP = f"""{PAIRS}, refs AS (SELECT *, row_number() OVER (PARTITION BY label ORDER BY vec_id DESC) AS rank FROM embeddings),
+claims AS (SELECT DISTINCT label AS author, label AS claimed FROM embeddings UNION ALL SELECT author, next_author FROM nxt),
+sims AS (SELECT x.vec_id, c.author, c.claimed, avg({COS}) AS s FROM embeddings x JOIN claims c ON c.author = x.label
+   LEFT JOIN refs y ON y.label = c.claimed AND y.rank <= 3 AND y.vec_id <> x.vec_id GROUP BY ALL),
+told AS (SELECT claimed, author = claimed AS truth, coalesce(s >= 0.01, false) AS said FROM sims)"""
+
+
+@query("H7_authorship_accuracy", f"""
+WITH {AUTHORSHIP} SELECT claimed, round(avg((truth = said)::INT), 6) AS accuracy, count(*) FILTER (truth = said) AS correct, count(*) AS total FROM told GROUP BY claimed""")
+def authorship_accuracy(spark, d):
+    """Every text under its own author's name and under the next author's, by the claimed author."""
+    e = embeddings(spark, d)
+    own = e.select("label", F.col("label").alias("claimed")).distinct()
+    others = ml.ring(e, "label").filter("label <> next_author").withColumnRenamed("next_author", "claimed")
+    references = ordered.newest(e, ["label"], [F.desc("vec_id")], 3).drop("rank")
+    told = au.benchmark(e, own.unionByName(others), "vec_id", "label", "embedding", references, 0.01)
+    hit = F.col("prediction") == F.col("label")
+    return told.groupBy("claimed").agg(
+        F.round(F.avg(hit.cast("int")), 6).alias("accuracy"), F.count_if(hit).alias("correct"), F.count("*").alias("total"))
+
+
 @query("H8_run_metrics", """
 SELECT user_id, count(*) AS total, count(*) FILTER (event_type <> 'error') AS succeeded, count(*) FILTER (event_type = 'error') AS failed, round(avg(value), 6) AS mean_seconds FROM events GROUP BY 1""")
 def run_metrics(spark, d):
