@@ -103,12 +103,15 @@ def with_style_anomalies(docs: DataFrame, text: str = "text") -> DataFrame:
 
 # -- perplexity under a bigram model of the corpus -------------------------------------------
 
-def bigram_model(counts: DataFrame, add: float = 1.0) -> DataFrame:
-    """(w1, w2, log_p): log probability of w2 after w1 with add-k smoothing over the second-word vocabulary."""
+def bigram_model(counts: DataFrame, add: float = 1.0, vocabulary: int | None = None) -> DataFrame:
+    """(w1, w2, log_p): log probability of w2 after w1 with add-k smoothing over the second-word vocabulary.
+
+    ``vocabulary`` is its size where ``counts`` are those of some first words only.
+    """
     pairs = counts.groupBy("w1", "w2").agg(F.sum("n").alias("c"))
     firsts = pairs.groupBy("w1").agg(F.sum("c").alias("c1"))
-    vocabulary = pairs.agg(F.countDistinct("w2")).scalar()
-    p = (F.col("c") + add) / (F.col("c1") + add * vocabulary)
+    size = pairs.agg(F.countDistinct("w2")).scalar() if vocabulary is None else F.lit(vocabulary)
+    p = (F.col("c") + add) / (F.col("c1") + add * size)
     return pairs.join(firsts, "w1").select("w1", "w2", F.log(p).alias("log_p"))
 
 
@@ -116,7 +119,12 @@ def perplexity(docs: DataFrame, key: str = "doc_id", text: str = "text", add: fl
     """(key, perplexity) under the model of the same corpus; ``default`` for texts of fewer than two words."""
     # The model and the scoring both read the counts: tokenise and group once.
     counts = stage(bg.bigram_counts(docs, key, text), "bigrams")
-    scored = counts.join(bigram_model(counts, add), ["w1", "w2"]).groupBy(key).agg(
+    return scored_by(docs, counts, bigram_model(counts, add), key, default)
+
+
+def scored_by(docs: DataFrame, counts: DataFrame, model: DataFrame, key: str = "doc_id", default: float = 50.0) -> DataFrame:
+    """(key, perplexity) of documents by their ``counts`` under a model that holds all their pairs."""
+    scored = counts.join(model, ["w1", "w2"]).groupBy(key).agg(
         F.exp(-F.sum(F.col("n") * F.col("log_p")) / F.sum("n")).alias("perplexity")
     )
     return docs.select(key).join(scored, key, "left").select(key, F.coalesce("perplexity", F.lit(default)).alias("perplexity"))

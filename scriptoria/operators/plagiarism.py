@@ -138,7 +138,7 @@ def detect(
         groups, of = vj.distinct_vectors(held, "text", "v")
         of = stage(of.select(F.col("text").alias("rep"), F.col("rep").alias("vector_class")), "vector_classes")
         units = vj.unit_rows(groups, "rep", "vector")
-        rows = stage(_with_semantic(rows, of, units), "text_rows")
+        rows = stage(with_semantic(rows, of, units), "text_rows")
         rows = rows.drop("class_a", "class_b").unionByName(_vector_rows(rows, groups, units, t.lowest_semantic))
         members = members.join(of, "rep", "left")
     flagged = flag(rows.select("kind", "a", "b", "n_texts", "lexical", "semantic"), t)
@@ -146,7 +146,7 @@ def detect(
     return stage(flagged.filter("is_duplicate or is_potential"), "flagged_pairs"), stage(members.select(key, "rep", "vector_class"), "members_classes")
 
 
-def _with_semantic(rows: DataFrame, of: DataFrame, units: DataFrame) -> DataFrame:
+def with_semantic(rows: DataFrame, of: DataFrame, units: DataFrame) -> DataFrame:
     """``rows`` (a, b, ...) with both texts' vector classes and the cosine of their embeddings; null without them."""
     side = lambda n: of.join(units.withColumnRenamed("id", "vector_class"), "vector_class").select(
         F.col("rep").alias(n), F.col("vector_class").alias(f"class_{n}"), F.col("u").alias(f"u{n}")
@@ -196,14 +196,21 @@ def against_others(pairs: DataFrame, held: DataFrame) -> DataFrame:
     return rows.withColumn("others", others).drop("held", "same_owner").filter("others > 0").withColumn("doc_pairs", F.col("own") * F.col("others"))
 
 
-def _both_kinds(docs: DataFrame, key: str, owner: str, members: DataFrame, pairs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+def holdings_of_both(members: DataFrame, owners: DataFrame, key: str, owner: str) -> DataFrame:
+    """(rep, vector_class, owner, n): how many copies of each text each owner holds."""
+    rows = members.join(owners.select(key, F.col(owner).alias("owner")), key)
+    return stage(rows.groupBy("rep", "vector_class", "owner").agg(F.count("*").alias("n")), "holdings")
+
+
+def _both_kinds(held: DataFrame, pairs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Matches of texts, matches of vector classes, and the text matches that lie in a flagged pair of classes.
 
     The last (owner, rep, rep_class, matched_class, others, doc_pairs) are to be taken off the second, with its flags.
     """
-    texts = stage(against_others(pairs.filter("kind = 'text'"), holdings(members, docs, key, owner)), "text_matches")
-    classed = members.filter("vector_class IS NOT NULL")
-    classes = stage(against_others(pairs.filter("kind = 'vector'"), holdings(classed.select(key, F.col("vector_class").alias("rep")), docs, key, owner)), "class_matches")
+    texts = stage(against_others(pairs.filter("kind = 'text'"), held.select("rep", "owner", "n")), "text_matches")
+    classed = held.filter("vector_class IS NOT NULL")
+    class_held = classed.groupBy(F.col("vector_class").alias("rep"), "owner").agg(F.sum("n").alias("n"))
+    classes = stage(against_others(pairs.filter("kind = 'vector'"), class_held), "class_matches")
     of = lambda n: classed.select(F.col("rep").alias(n), F.col("vector_class").alias(f"{n}_class")).distinct()
     flags = pairs.filter("kind = 'vector'").select(
         F.col("a").alias("x"), F.col("b").alias("y"), F.col("is_duplicate").alias("class_duplicate"), F.col("is_potential").alias("class_potential")
@@ -219,15 +226,19 @@ def matches(docs: DataFrame, key: str, owner: str, members: DataFrame, pairs: Da
 
     ``doc_pairs`` counts pairs of a submission of the owner with one of another owner; each such pair is counted in one row.
     """
-    texts, classes, listed = _both_kinds(docs, key, owner, members, pairs)
+    texts, classes, listed = _both_kinds(holdings_of_both(members, docs, key, owner), pairs)
     off = listed.groupBy("owner", F.col("rep_class").alias("rep"), F.col("matched_class").alias("matched")).agg(F.sum("doc_pairs").alias("listed"))
     rest = classes.join(off, ["owner", "rep", "matched"], "left").withColumn("doc_pairs", F.col("doc_pairs") - F.coalesce("listed", F.lit(0)))
     return texts.drop("own", "others").unionByName(rest.filter("doc_pairs > 0").drop("listed", "own", "others"))
 
 
-def analysis_report(docs: DataFrame, key: str, owner: str, members: DataFrame, pairs: DataFrame) -> DataFrame:
-    """Per submission: comparisons, duplicates, potential duplicates and highest similarity; own work excluded."""
-    texts, classes, listed = _both_kinds(docs, key, owner, members, pairs)
+def analysis_report(docs: DataFrame, key: str, owner: str, members: DataFrame, pairs: DataFrame, held: DataFrame | None = None) -> DataFrame:
+    """Per submission: comparisons, duplicates, potential duplicates and highest similarity; own work excluded.
+
+    ``held`` (rep, vector_class, owner, n) counts the submissions to compare with where ``docs`` are not all of them.
+    """
+    held = holdings_of_both(members, docs, key, owner) if held is None else held
+    texts, classes, listed = _both_kinds(held, pairs)
     count = lambda c: F.sum(F.when(F.col(c), F.col("others")).otherwise(0))
     summary = lambda rows, n, by: rows.groupBy(F.col("rep").alias(by), "owner").agg(
         count("is_duplicate").alias(f"duplicates_{n}"), count("is_potential").alias(f"potentials_{n}"),
@@ -236,7 +247,7 @@ def analysis_report(docs: DataFrame, key: str, owner: str, members: DataFrame, p
     # a text row scores no less than the pair of classes that it is taken off, so the classes' best scores stay
     off = listed.groupBy("rep", "owner").agg(count("class_duplicate").alias("duplicates_off"), count("class_potential").alias("potentials_off"))
     owners = docs.select(key, F.col(owner).alias("owner"))
-    per_owner = stage(owners.groupBy("owner").agg(F.count("*").alias("own_total")), "owner_totals")
+    per_owner = stage(held.groupBy("owner").agg(F.sum("n").alias("own_total")), "owner_totals")
     everything = per_owner.agg(F.sum("own_total")).scalar()
     rows = owners.join(members, key)
     out = rows.join(summary(texts, "texts", "rep"), ["rep", "owner"], "left").join(summary(classes, "classes", "vector_class"), ["vector_class", "owner"], "left")

@@ -53,7 +53,7 @@ def unit_rows(vectors: DataFrame, key: str, vector: str) -> DataFrame:
     return vx.with_unit(vectors.select(F.col(key).alias("id"), F.col(vector).alias("v")), "v", "u").select("id", "u")
 
 
-def _pivot_count(n: int) -> int:
+def pivot_count(n: int) -> int:
     return max(1, min(MAX_PIVOTS, int(math.sqrt(n) / 2)))
 
 
@@ -74,15 +74,18 @@ def build_cells(units: DataFrame, n_pivots: int | None = None, group_rows: int |
 
     Only the pivots and one row of statistics per cell reach the driver. ``group_rows`` of 1 leaves every cell by itself.
     """
-    n_pivots = n_pivots or _pivot_count(units.count())
+    n_pivots = n_pivots or pivot_count(units.count())
     chosen = units.orderBy(F.xxhash64("id"), "id").limit(n_pivots).collect()
     pivots = np.array([r.u for r in chosen], dtype="float64").reshape(len(chosen), len(chosen[0].u) if chosen else 0)
+    return cells_of(place(units, pivots) if len(pivots) else None, pivots, group_rows)
+
+
+def cells_of(placed: DataFrame | None, pivots: np.ndarray, group_rows: int | None = None) -> Cells:
+    """The cells of rows (cell, angle) that `place` has put around ``pivots``."""
     stats = {}
-    if len(pivots):
-        placed = place(units, pivots).groupBy("cell").agg(
-            F.min("angle").alias("lo"), F.max("angle").alias("hi"), F.count("*").alias("n")
-        )
-        stats = {r.cell: r for r in placed.collect()}
+    if placed is not None:
+        found = placed.groupBy("cell").agg(F.min("angle").alias("lo"), F.max("angle").alias("hi"), F.count("*").alias("n"))
+        stats = {r.cell: r for r in found.collect()}
     cells = range(len(pivots))
     counts = np.array([stats[c].n if c in stats else 0 for c in cells], dtype="int64")
     group = _grouped(pivots, counts, group_rows or BLOCK_ROWS)
@@ -204,6 +207,28 @@ def pairs_above(units: DataFrame, threshold: float, cells: Cells | None = None)
     return _meet(place(units, cells.pivots, cells.group), visitors, cells, kernel, schema)
 
 
+def pairs_with(home: DataFrame, guests: DataFrame, cells: Cells, threshold: float) -> DataFrame:
+    """(guest, home, score): every pair of a guest (id, u) and a home row (id, u, cell), placed around the cells' pivots, with cosine >= threshold.
+
+    Home rows of groups that no guest reaches are not sent.
+    """
+    id_type = _id_type(guests)
+    reach = float(np.arccos(np.clip(threshold, -1.0, 1.0)))
+    visitors = stage(visits(guests.withColumn("reach", F.lit(reach)), cells, upper_only=False), "visitors")
+    group = F.element_at(F.lit([int(g) for g in cells.group]), F.col("cell") + 1).cast("int")
+    reached = F.broadcast(visitors.select(F.col("target").alias("cell")).distinct())
+    homes = home.select("id", "u", group.alias("cell")).join(reached, "cell", "left_semi")
+
+    def kernel(key, home_pdf: pd.DataFrame, guest: pd.DataFrame) -> pd.DataFrame:
+        if not len(home_pdf) or not len(guest):
+            return pd.DataFrame({"guest": [], "home": [], "score": []})
+        scores = _matrix(guest["u"]) @ _matrix(home_pdf["u"]).T
+        g, h = np.nonzero(scores >= threshold)
+        return pd.DataFrame({"guest": guest["id"].to_numpy()[g], "home": home_pdf["id"].to_numpy()[h], "score": scores[g, h]})
+
+    return _meet(homes, visitors, cells, kernel, f"guest {id_type}, home {id_type}, score double")
+
+
 def _top(scores: np.ndarray, ids: np.ndarray, k: int, floor: float) -> tuple[np.ndarray, np.ndarray]:
     """Ids and scores of the k best entries >= floor, ties to the smaller id."""
     allowed = np.flatnonzero(scores >= floor)

@@ -14,7 +14,8 @@ from ..streaming import sources as so
 from ..streaming.verification import verify_stream
 from . import ailike_queries as aq
 from .event_queries import REQUESTS, at, at_sql
-from .registry import query
+from . import authorship_queries  # noqa: F401  the SQL of the whole job
+from .registry import ORACLES, query
 from .text_queries import event_ip
 
 
@@ -26,7 +27,7 @@ def stream(spark, d):
     return so.stream_table(spark, d, "events").withColumn("ts", F.col("ts").cast("timestamp"))
 
 
-@query("Q1_verification_stream")
+@query("Q1_verification_stream", f"SELECT doc_id, source, result, risks, authorship_score FROM ({ORACLES['G11_verify_submissions']})")
 def verification_stream(spark, d):
     arrivals = so.stream_table(spark, d, "documents").select("doc_id", "source", "text")
     vectors = table(spark, d, "embeddings").select(F.col("vec_id").alias("doc_id"), "embedding")
