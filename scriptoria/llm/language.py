@@ -33,8 +33,8 @@ MOST_WORDS = 600_000
 UNKNOWN = "und"
 
 
-def _word_pattern() -> re.Pattern:
-    """Words: letters (categories L*) and the marks (M*) within or after them; other numerals are no letters."""
+def _word_patterns() -> tuple[frozenset[str], re.Pattern]:
+    """Characters that need care, and words: letters (categories L*) and the marks (M*) within or after them; other numerals are no letters."""
     numerals, marks = [], []
     for code in range(128, sys.maxunicode + 1):
         category = unicodedata.category(chr(code))
@@ -49,16 +49,21 @@ def _word_pattern() -> re.Pattern:
         return "".join(f"{re.escape(chr(a))}-{re.escape(chr(b))}" for a, b in zip(starts, ends))
 
     letter = rf"[^\W\d_{ranges(numerals)}]"
-    return re.compile(f"{letter}+(?:[{ranges(marks)}]+{letter}*)*")
+    return frozenset(map(chr, numerals + marks)), re.compile(f"{letter}+(?:[{ranges(marks)}]+{letter}*)*")
 
 
-LETTERS = _word_pattern()
+ODD, LETTERS = _word_patterns()
+#: The same words where no character needs care.
+PLAIN = re.compile(r"[^\W\d_]+")
 MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 START, END = "\x02", "\x03"
 
 
 def words_of(text: str | None) -> list[str]:
-    return LETTERS.findall(text.lower()) if text else []
+    if not text:
+        return []
+    lowered = text.lower()
+    return (PLAIN if lowered.isascii() or ODD.isdisjoint(set(lowered)) else LETTERS).findall(lowered)
 
 
 def _keys(codes: np.ndarray, size: int) -> np.ndarray:
