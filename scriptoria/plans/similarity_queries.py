@@ -5,6 +5,8 @@ Embeddings in the driver's tables have low cosines, so checks use thresholds tha
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from ..functions import fixed_values as fixed
@@ -13,9 +15,10 @@ from ..functions import text as tx
 from ..functions import vectors as vx
 from ..operators import lexical as lx
 from ..operators import plagiarism as pl
+from ..operators import vector_index as vi
 from ..operators import vector_join as vj
 from ..operators import vectors as vs
-from ..session import spread
+from ..session import ensure_checkpoint_dir, spread
 from ..sources import vector_store
 from ..sources.tables import table
 from . import sqltext as q
@@ -213,6 +216,21 @@ def indexed_nearest(spark, d):
     return out.select("query", "neighbour", F.round("score", 6).alias("score"))
 
 
+@query("E14_hash_index_recall", """
+SELECT count(*) AS queries, sum(least(10, (SELECT count(*) FROM embeddings)))::BIGINT AS neighbours, true AS recalled FROM embeddings WHERE vec_id % 50 = 0""")
+def hash_index_recall(spark, d):
+    """An index of half of the vectors, extended by the others, finds nine of ten exact neighbours of every fiftieth vector."""
+    e = embeddings(spark, d)
+    folder = f"{ensure_checkpoint_dir(spark)}/vector-index-{uuid.uuid4().hex}"
+    index = vi.HashIndex.create(e.filter("vec_id % 2 = 0"), folder, "vec_id", "embedding", tables=40)
+    index.add(e, "vec_id", "embedding")
+    queries = e.filter("vec_id % 50 = 0")
+    exact = vs.batch_search(e, queries, "vec_id", "embedding", 10, -1.0)
+    found = index.search(queries, "vec_id", "embedding", 10, -1.0)
+    share = vi.recall(found, exact).select(F.col("exact").alias("neighbours"), (F.col("recall") >= 0.9).alias("recalled"))
+    return share.select(F.lit(queries.count()).alias("queries"), "neighbours", "recalled")
+
+
 @query("E15_similar_documents", f"""
 WITH {HASHED}, scores AS (SELECT x.doc_id, least(1.0, sum(x.v * y.v)) AS score FROM unit x JOIN unit y ON y.doc_id = 0 AND y.i = x.i GROUP BY 1)
 SELECT doc_id, source, round(score, 6) AS score FROM scores JOIN documents USING (doc_id) WHERE source <> 'src0' AND score >= 0.1 ORDER BY score DESC, doc_id LIMIT 10""")

@@ -1,6 +1,7 @@
 """Exact joins against brute force, with copies and hot groups."""
 
 import math
+import os
 import random
 from collections import Counter
 
@@ -12,6 +13,7 @@ from scriptoria.functions import ordered
 from scriptoria.operators import lexical as lx
 from scriptoria.operators import metrics as mt
 from scriptoria.operators import plagiarism as pl
+from scriptoria.operators import vector_index as vi
 from scriptoria.operators import vector_join as vj
 from scriptoria.operators import vectors as vs
 
@@ -284,3 +286,23 @@ def test_duplicate_vectors_have_no_limit(spark):
     assert pairs.count() == 900
     twice = store.unionByName(store)
     assert vs.duplicate_vectors(twice, "id", "v", 0.9, exclude_same="owner").filter("copies_a = 2 AND copies_b = 2").count() == 900
+
+
+def test_hash_index_finds_neighbours_and_compares_less(clustered, spark, tmp_path, monkeypatch):
+    """Nine of ten exact neighbours from a fraction of all pairs; vectors added later are found, others stay as they are."""
+    m, df = clustered
+    monkeypatch.setattr(vi, "HOT_BUCKET", 30)
+    index = vi.HashIndex.create(df.filter("id < 400"), str(tmp_path / "index"), "id", "v", tables=20, projections=8, width=0.5)
+    before = {f for f in os.listdir(tmp_path / "index" / "units")}
+    index.add(df, "id", "v")
+    index.add(df, "id", "v")
+    assert index.units().count() == 600 and before <= set(os.listdir(tmp_path / "index" / "units"))
+    exact = vs.batch_search(df, df, "id", "v", 5, 0.2)
+    found = index.search(df, "id", "v", 5, 0.2)
+    assert vi.recall(found, exact).first()["recall"] >= 0.9
+    assert index.candidates(vj.unit_rows(df, "id", "v")).count() < 0.3 * 600 * 600
+    s = m @ m.T
+    assert all(abs(r.score - s[r["query"], r.neighbour]) < 1e-9 for r in found.collect())
+    late = found.filter("query < 400 AND neighbour >= 400")
+    assert late.count() > 0
+    assert index.search(df.limit(0), "id", "v").count() == 0
