@@ -69,6 +69,24 @@ def rate_limit_sessions_stream(spark, d):
     return rows.filter(F.col("batch_id") == last).select("user_id", at("start").alias("start"), "n", "limited")
 
 
+# Sessions that the watermark, two minutes behind the latest row, has closed.
+CLOSED = "HAVING max(ts) + INTERVAL 6 HOUR <= (SELECT max(ts) FROM events) - INTERVAL 2 MINUTE"
+
+
+@query("Q3_closed_sessions_stream", f"WITH {SESSIONS} SELECT user_id, {at_sql('min(ts)')} AS start, count(*) AS n, count(*) >= 4 AS limited FROM s GROUP BY user_id, sid {CLOSED}")
+def closed_sessions_stream(spark, d):
+    """Every session once, when it is closed; the state holds open sessions alone."""
+    sessions = mo.rate_limit_sessions(stream(spark, d), "user_id", "ts", "6 hours", 4)
+    return so.drain(sessions, "closed_sessions", "append").select("user_id", at("start").alias("start"), "n", "limited")
+
+
+@query("Q4_distinct_paths_stream", f"WITH {SESSIONS} SELECT user_id, {at_sql('min(ts)')} AS start, count(DISTINCT event_type) AS paths FROM s GROUP BY user_id, sid {CLOSED}")
+def distinct_paths_stream(spark, d):
+    """Closed sessions with their number of paths from a sketch in the state; it is exact for as few as there are here."""
+    sessions = mo.distinct_paths(stream(spark, d), "user_id", "event_type", "ts", "6 hours")
+    return so.drain(sessions, "paths", "append").select("user_id", at("start").alias("start"), "paths")
+
+
 @query("Q4_distinct_paths", f"WITH {SESSIONS} SELECT user_id, {at_sql('min(ts)')} AS start, count(DISTINCT event_type) AS paths FROM s GROUP BY user_id, sid")
 def distinct_paths(spark, d):
     out = mo.distinct_paths_table(events(spark, d), "user_id", "event_type", "ts", "event_id", 6 * 3600)

@@ -4,13 +4,21 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql import types as T
+from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
 from ..functions import ordered
 
+#: State stores that keep named states and timers; the setting of the streams below.
+STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
+def keyed_state(spark: SparkSession) -> None:
+    """Streams started from now on keep their state in RocksDB, which named states and timers need."""
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", STORE)
+
 
 # -- counters -------------------------------------------------------------------------------
 
@@ -57,41 +65,55 @@ def newest_requests(requests: DataFrame, ts: str, key: str, k: int = 100) -> Dat
 
 # -- login lockout ----------------------------------------------------------------------------
 
-def lockouts(logins: DataFrame, user: str, ts: str, success: str, attempts: int = 5, minutes: int = 30, late: str = "10 minutes") -> DataFrame:
-    """(user, failures, locked_until): a row for every failure from the fifth on.
+class _Lockout(StatefulProcessor):
+    """Failures in a row of one user: a count and the time of the last one, removed by a timer when the hold is over."""
 
-    A success clears the count, and so do ``minutes`` without a failure. The state of a user is a
-    count and the time of the last failure; it expires with the watermark.
-    """
-    hold = minutes * 60 * 1_000_000
-
-    def track(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
-            return
-        count, last = state.get if state.exists else (0, 0)
-        out = []
-        rows = pd.concat(list(batches)).sort_values(["micros", "tie"])
-        for micros, ok in zip(rows["micros"], rows["ok"]):
-            if ok or micros - last > hold:
+    def __init__(self, attempts: int, hold: int):
+        self.attempts, self.hold = attempts, hold
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.run = handle.getValueState("run", "failures long, last long")
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
+        count, last = self.run.get() if self.run.exists() else (0, 0)
+        for row in sorted(rows, key=lambda r: (r.micros, r.tie)):
+            if row.ok or row.micros - last > self.hold:
                 count = 0
-            if not ok:
-                count, last = count + 1, micros
-                if count >= attempts:
-                    out.append((key[0], count, micros + hold))
+            if not row.ok:
+                count, last = count + 1, row.micros
+                if count >= self.attempts:
+                    yield Row(user=key[0], failures=count, locked_until=row.micros + self.hold)
+        for timer in list(self.handle.listTimers()):
+            self.handle.deleteTimer(timer)
         if count:
-            state.update((int(count), int(last)))
-            state.setTimeoutTimestamp(max((int(last) + hold) // 1000, state.getCurrentWatermarkMs() + 1))
-        elif state.exists:
-            state.remove()
-        yield pd.DataFrame(out, columns=["user", "failures", "locked_until"])
+            self.run.update((count, last))
+            self.handle.registerTimer(max((last + self.hold) // 1000, timerValues.getCurrentWatermarkInMs()) + 1)
+        else:
+            self.run.clear()
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
+        self.run.clear()
+        return iter(())
+
+    def close(self) -> None:
+        pass
+
+
+def lockouts(
+    logins: DataFrame, user: str, ts: str, success: str, attempts: int = 5, minutes: int = 30, late: str = "10 minutes", tie: str = "event_id"
+) -> DataFrame:
+    """(user, failures, locked_until): a row for every failure from the ``attempts``-th on.
 
+    A success clears the count, and so do ``minutes`` without a failure. The state of a user is a
+    count and the time of the last failure; it is removed when the watermark has passed the hold. ``tie`` orders rows of one time.
+    """
+    keyed_state(logins.sparkSession)
     rows = logins.withWatermark(ts, late).select(
-        F.col(user).alias("user"), F.col(ts), F.unix_micros(F.col(ts)).alias("micros"), F.col("event_id").alias("tie"), F.col(success).alias("ok")
-    )
-    out = rows.groupBy("user").applyInPandasWithState(
-        track, "user long, failures long, locked_until long", "count long, last long", "append", GroupStateTimeout.EventTimeTimeout
+        F.col(user).alias("user"), F.col(ts), F.unix_micros(F.col(ts)).alias("micros"), F.col(tie).alias("tie"), F.col(success).alias("ok")
     )
+    schema = T.StructType([rows.schema["user"], T.StructField("failures", T.LongType()), T.StructField("locked_until", T.LongType())])
+    out = rows.groupBy("user").transformWithState(_Lockout(attempts, minutes * 60 * 1_000_000), schema, "append", "eventTime")
     return out.withColumn("locked_until", F.timestamp_micros("locked_until"))
 
 
@@ -110,28 +132,53 @@ def lockouts_table(logins: DataFrame, user: str, ts: str, tie: str, success: str
 TERMINAL = ["CONFIRMED", "FAILED"]
 
 
-def status_changes(updates: DataFrame, key: str, ts: str, status: str, seconds: int = 60, late: str = "10 minutes") -> DataFrame:
-    """(key, at, status): changes of each key until a terminal status or ``seconds`` after its first row."""
+class _Follower(StatefulProcessor):
+    """Last status of one key and the time of its first row; a timer removes both when ``forget`` has passed since the last row's batch."""
+
+    def __init__(self, hold: int, forget: int):
+        self.hold, self.forget = hold, forget
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.seen = handle.getValueState("seen", "status string, first long, done boolean")
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
+        last, first, done = self.seen.get() if self.seen.exists() else (None, None, False)
+        newest = 0
+        for row in sorted(rows, key=lambda r: (r.micros, r.tie)):
+            first, newest = row.micros if first is None else first, row.micros
+            done = done or row.micros - first > self.hold
+            if not done and row.status != last:
+                yield Row(key=key[0], at=row.micros, status=row.status)
+                last, done = row.status, row.status in TERMINAL
+        self.seen.update((last, first, done))
+        for timer in list(self.handle.listTimers()):
+            self.handle.deleteTimer(timer)
+        self.handle.registerTimer(max((newest + self.forget) // 1000, timerValues.getCurrentWatermarkInMs()) + 1)
 
-    def follow(k, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        last, first, done = state.get if state.exists else ("", 0, False)
-        out = []
-        rows = pd.concat(list(batches)).sort_values(["micros", "tie"])
-        for micros, value in zip(rows["micros"], rows["status"]):
-            first = first or micros
-            done = done or micros - first > seconds * 1_000_000
-            if not done and value != last:
-                out.append((k[0], micros, value))
-                last, done = value, value in TERMINAL
-        state.update((last, int(first), bool(done)))
-        yield pd.DataFrame(out, columns=["key", "at", "status"])
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
+        self.seen.clear()
+        return iter(())
 
+    def close(self) -> None:
+        pass
+
+
+def status_changes(
+    updates: DataFrame, key: str, ts: str, status: str, seconds: int = 60, late: str = "10 minutes", tie: str = "event_id", forget_seconds: int = 30 * 86400
+) -> DataFrame:
+    """(key, at, status): changes of each key until a terminal status or ``seconds`` after its first row.
+
+    A key is remembered, also when it is done, until the watermark is ``forget_seconds`` (not less than ``seconds``) past its last row; after that it
+    counts as new. ``tie`` orders rows of one time.
+    """
+    keyed_state(updates.sparkSession)
     rows = updates.withWatermark(ts, late).select(
-        F.col(key).alias("key"), F.unix_micros(F.col(ts)).alias("micros"), F.col("event_id").alias("tie"), F.col(status).alias("status")
-    )
-    out = rows.groupBy("key").applyInPandasWithState(
-        follow, "key long, at long, status string", "last string, first long, done boolean", "append", GroupStateTimeout.NoTimeout
+        F.col(key).alias("key"), F.col(ts), F.unix_micros(F.col(ts)).alias("micros"), F.col(tie).alias("tie"), F.col(status).alias("status")
     )
+    schema = T.StructType([rows.schema["key"], T.StructField("at", T.LongType()), T.StructField("status", T.StringType())])
+    follower = _Follower(seconds * 1_000_000, max(seconds, forget_seconds) * 1_000_000)
+    out = rows.groupBy("key").transformWithState(follower, schema, "append", "eventTime")
     return out.withColumn("at", F.timestamp_micros("at"))
 
 

@@ -88,6 +88,35 @@ def test_lockout_stream_equals_table(spark, login_files):
     assert rows.count() == sum(r.failures - 4 for r in want)
 
 
+def state_rows(spark, checkpoint, name):
+    return spark.read.format("statestore").option("path", checkpoint).option("stateVarName", name).load().count()
+
+
+def run_on(spark, make, first, then, folder):
+    """Checkpoint of a stream that has read its first rows and, twice, rows far later that move the watermark."""
+    path, checkpoint = str(folder / "in"), str(folder / "checkpoint")
+    for rows in (first, then, then):
+        rows.coalesce(1).write.mode("append").parquet(path)
+        stream = spark.readStream.schema(rows.schema).parquet(path)
+        query = make(stream).writeStream.outputMode("append").option("checkpointLocation", checkpoint).trigger(availableNow=True).format("noop").start()
+        query.awaitTermination()
+    return checkpoint
+
+
+def test_no_state_is_left_after_the_last_timer(spark, tmp_path):
+    start = dt.datetime(2024, 1, 1)
+    row = lambda i, user, minutes, ok, status: (i, user, start + dt.timedelta(minutes=minutes), ok, status)
+    schema = "n int, user_id string, ts timestamp, success boolean, status string"
+    early = spark.createDataFrame([row(i, f"u{i % 5}", i, False, "PENDING") for i in range(40)], schema)
+    late = spark.createDataFrame([row(99, "later", 100_000, True, "CONFIRMED")], schema)
+    locks = lambda s: mo.lockouts(s, "user_id", "ts", "success", tie="n")
+    checkpoint = run_on(spark, locks, early, late, tmp_path / "locks")
+    assert state_rows(spark, checkpoint, "run") == 0
+    changes = lambda s: mo.status_changes(s, "user_id", "ts", "status", tie="n", forget_seconds=3600)
+    checkpoint = run_on(spark, changes, early, late, tmp_path / "changes")
+    assert state_rows(spark, checkpoint, "seen") <= 1  # the latest key alone
+
+
 def test_counts_stream_equals_table(spark, login_files):
     path, table = login_files
     stream = spark.readStream.schema(table.schema).option("maxFilesPerTrigger", 1).parquet(path)
