@@ -66,6 +66,22 @@ def quantile_series(requests: DataFrame, keys: list[str], seconds: str, quantile
     return counts.drop("c")
 
 
+def quantile_sketches(requests: DataFrame, keys: list[str], ts: str, seconds: str, window: str = "1 hour") -> DataFrame:
+    """(keys, start, sketch): a KLL sketch of a duration for each key and window, to be kept as a table.
+
+    A sketch has a few kB whatever it has seen, and sketches of shorter windows merge into those of longer ones.
+    """
+    rows = requests.groupBy(*keys, F.window(ts, window).alias("w")).agg(F.kll_sketch_agg_double(F.col(seconds).cast("double")).alias("sketch"))
+    return rows.select(*keys, F.col("w.start").alias("start"), "sketch")
+
+
+def merged_quantiles(sketches: DataFrame, by: list[Column], quantiles: dict[str, float]) -> DataFrame:
+    """(by, n, quantiles) from the merged sketches of each group; the rank of a quantile is off by under 2 % of the rows."""
+    merged = sketches.groupBy(*by).agg(F.kll_merge_agg_double("sketch").alias("sketch"))
+    found = [F.kll_sketch_get_quantile_double("sketch", F.lit(q)).alias(name) for name, q in quantiles.items()]
+    return merged.select(*[c for c in merged.columns if c != "sketch"], F.kll_sketch_get_n_double("sketch").alias("n"), *found)
+
+
 def sustained(points: DataFrame, keys: list[str], at: str, condition: Column, step_seconds: int, hold_seconds: int, bucket: Column) -> DataFrame:
     """(keys, start, end, n): stretches in which the condition held at every step for at least the hold time."""
     true_points = points.filter(condition)

@@ -5,8 +5,10 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 from pyspark.ml.classification import (
-    LogisticRegression, LogisticRegressionModel, RandomForestClassificationModel, RandomForestClassifier,
+    LogisticRegression, LogisticRegressionModel, MultilayerPerceptronClassificationModel, MultilayerPerceptronClassifier,
+    RandomForestClassificationModel, RandomForestClassifier,
 )
+from pyspark.ml.evaluation import BinaryClassificationEvaluator
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import Column, DataFrame
@@ -65,6 +67,32 @@ def fit_pair_classifier(features: DataFrame, iterations: int = 50) -> LogisticRe
     return LogisticRegression(featuresCol="features", labelCol="label", weightCol="weight", maxIter=iterations, regParam=0.01).fit(weighted)
 
 
+def pair_interactions(pairs: DataFrame, vectors: DataFrame, key: str, vector: str) -> DataFrame:
+    """Add ``features``: differences and products of the two vectors' components, the same whichever comes first."""
+    side = lambda n: vectors.select(F.col(key).alias(n), F.col(vector).cast("array<double>").alias(f"v{n}"))
+    both = pairs.join(side("a"), "a").join(side("b"), "b")
+    apart, together = F.zip_with("va", "vb", lambda x, y: F.abs(x - y)), F.zip_with("va", "vb", lambda x, y: x * y)
+    return both.withColumn("features", array_to_vector(F.concat(apart, together))).drop("va", "vb")
+
+
+def fit_pair_network(features: DataFrame, hidden: int = 32, iterations: int = 100, seed: int = 42) -> MultilayerPerceptronClassificationModel:
+    """A network with one hidden layer, shared by all of a pair's components, on `pair_interactions`.
+
+    It takes no weights, so the smaller class is repeated by whole copies to about the size of the larger.
+    """
+    counts = {r.label: r["count"] for r in features.groupBy("label").count().collect()}
+    most = max(counts.values())
+    times = F.coalesce(F.create_map(*(F.lit(v) for label, n in counts.items() for v in (label, round(most / n))))[F.col("label")], F.lit(1))
+    balanced = features.withColumn("copy", F.explode(F.sequence(F.lit(1), times))).drop("copy")
+    size = len(features.select("features").first().features)
+    return MultilayerPerceptronClassifier(featuresCol="features", labelCol="label", layers=[size, hidden, 2], maxIter=iterations, seed=seed).fit(balanced)
+
+
+def area_under_curve(scored: DataFrame, label: str = "label") -> float:
+    """Area under the receiver's curve of rows with ``rawPrediction``."""
+    return BinaryClassificationEvaluator(labelCol=label).evaluate(scored)
+
+
 def positive_probability(scored: DataFrame) -> Column:
     return F.get(vector_to_array(scored["probability"]), F.lit(1))
 

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 
@@ -14,6 +15,67 @@ def search(rows: DataFrame, needle: str, columns: tuple[str, ...] = ("title", "c
     return rows.filter(hit)
 
 
+# -- an index of substrings -----------------------------------------------------------------------
+
+def three_grams(text: Column) -> Column:
+    """Distinct runs of three characters of a lower-cased text; none of shorter texts."""
+    return F.array_distinct(F.regexp_extract_all(F.lower(text), F.lit("(?s)(?=(.{3}))"), F.lit(1)))
+
+
+def build_substring_index(rows: DataFrame, path: str, key: str, columns: list[str], buckets: int = 64) -> None:
+    """Write postings (gram, key) in folders by the gram's hash and sorted by gram, so that a search opens few of them."""
+    grams = rows.select(F.col(key).alias("key"), F.explode(F.array_distinct(F.flatten(F.array(*(F.coalesce(three_grams(F.col(c)), F.array().cast("array<string>")) for c in columns))))).alias("gram"))
+    dealt = grams.withColumn("bucket", F.pmod(F.xxhash64("gram"), F.lit(buckets)).cast("int"))
+    dealt.repartition("bucket", F.pmod(F.xxhash64("key"), F.lit(8))).sortWithinPartitions("bucket", "gram", "key").write.mode("overwrite").partitionBy("bucket").parquet(path)
+
+
+def index_candidates(spark: SparkSession, path: str, needle: str, buckets: int = 64) -> DataFrame | None:
+    """(key): rows that hold every run of three characters of the needle; None for a needle of fewer."""
+    wanted = list(dict.fromkeys(needle.lower()[i : i + 3] for i in range(len(needle) - 2)))
+    if not wanted:
+        return None
+    places = spark.createDataFrame([(w,) for w in wanted], "gram string").select(F.pmod(F.xxhash64("gram"), F.lit(buckets)).cast("int")).distinct()
+    held = spark.read.parquet(path).filter(F.col("bucket").isin([r[0] for r in places.collect()]) & F.col("gram").isin(wanted))
+    return held.groupBy("key").agg(F.count("*").alias("n")).filter(F.col("n") == len(wanted)).select("key")
+
+
+def indexed_search(rows: DataFrame, path: str, key: str, needle: str, columns: tuple[str, ...] = ("title", "content"), buckets: int = 64) -> DataFrame:
+    """`search` over the rows that the index leaves; short needles are searched for in all rows."""
+    found = index_candidates(rows.sparkSession, path, needle, buckets)
+    return search(rows if found is None else rows.join(found.withColumnRenamed("key", key), key, "left_semi"), needle, columns)
+
+
+# -- pages by range -------------------------------------------------------------------------------
+
+def build_pages(rows: DataFrame, path: str, order: list[str], descending: bool = True, ranges: int = 200) -> None:
+    """Write a listing in ranges of its order, and the number of rows before each range.
+
+    ``order`` has to be total. The ranges' sizes are a small table beside the rows, so that any page is found without sorting or skipping others.
+    """
+    by = [F.desc(c) if descending else F.asc(c) for c in order]
+    dealt = rows.repartitionByRange(ranges, *by).withColumn("range", F.spark_partition_id())
+    dealt.sortWithinPartitions(*by).write.mode("overwrite").partitionBy("range").parquet(f"{path}/rows")
+    sizes = rows.sparkSession.read.parquet(f"{path}/rows").groupBy("range").agg(F.count("*").alias("n"))
+    sizes.withColumn("before", F.sum("n").over(W.orderBy("range")) - F.col("n")).coalesce(1).write.mode("overwrite").parquet(f"{path}/sizes")
+
+
+def ranges_of_page(spark: SparkSession, path: str, number: int, size: int) -> list[int]:
+    """The ranges that hold rows of a page, mostly one."""
+    first, last = (number - 1) * size, number * size
+    sizes = spark.read.parquet(f"{path}/sizes").filter((F.col("before") < last) & (F.col("before") + F.col("n") > first))
+    return sorted(r.range for r in sizes.collect())
+
+
+def ranged_page(spark: SparkSession, path: str, order: list[str], number: int = 1, size: int = 20, descending: bool = True) -> DataFrame:
+    """A page of the listing of `build_pages`; reads the ranges of `ranges_of_page` alone."""
+    by = [F.desc(c) if descending else F.asc(c) for c in order]
+    wanted = ranges_of_page(spark, path, number, size)
+    rows = spark.read.parquet(f"{path}/rows").filter(F.col("range").isin(wanted) if wanted else F.lit(False))
+    placed = rows.join(F.broadcast(spark.read.parquet(f"{path}/sizes").select("range", "before")), "range")
+    place = placed["before"] + F.row_number().over(W.partitionBy("range").orderBy(*by))
+    return placed.withColumn("place", place).filter(F.col("place").between((number - 1) * size + 1, number * size)).drop("range", "before", "place")
+
+
 def page(
     rows: DataFrame, order: list[Column], number: int = 1, size: int = 20, owner: tuple[str, object] | None = None,
     status: tuple[str, str] | None = None,

@@ -5,6 +5,8 @@ An event is a request or login (error = failed, signup = success), its value a l
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from ..functions import fixed_values as fixed
@@ -14,11 +16,12 @@ from ..operators import feeds as fd
 from ..operators import ledger as lg
 from ..operators import metrics as mt
 from ..operators import security as se
-from ..sources import exports
+from ..session import ensure_checkpoint_dir, stage
+from ..sources import exports, keyed_table
 from ..sources.tables import table
 from . import records as rec
 from . import sqltext as q
-from .registry import query
+from .registry import ORACLES, query
 from .text_queries import EVENT_AGENT_SQL, EVENT_IP_SQL, event_agent, event_ip
 
 
@@ -172,6 +175,19 @@ def indicator_upsert(spark, d):
     return out.select("indicator_value", F.col("confidence").cast("long").alias("confidence"), at("expires_at").alias("expires_at"))
 
 
+@query("L11_stored_indicators", ORACLES["L11_indicator_upsert"])
+def stored_indicators(spark, d):
+    """The same upsert on a stored table of indicators."""
+    e, keys = events(spark, d), ["indicator_type", "indicator_value"]
+    batch = requests(spark, d).filter("event_type = 'purchase' and value > 200").select(F.col("ip").alias("indicator_value")).distinct()
+    stamped = se.new_indicators(batch.withColumns({"indicator_type": F.lit("ip"), "confidence": F.lit(90)}), latest(e), 30)
+    stamped = stamped.withColumn("seen", F.col("created_at") + F.expr("INTERVAL 1 SECOND"))
+    path = f"{ensure_checkpoint_dir(spark)}/indicators-{uuid.uuid4().hex}"
+    keyed_table.create(indicators(spark, d).withColumns({"seen": F.col("created_at"), "expires_at": F.lit(None).cast("timestamp")}), path, keys)
+    keyed_table.update(spark, path, stamped, keys, lambda old, new: se.upsert_indicators(old, new, keys, "seen"))
+    return keyed_table.read(spark, path).select("indicator_value", F.col("confidence").cast("long").alias("confidence"), at("expires_at").alias("expires_at"))
+
+
 @query("L12_recent_incidents", f"WITH {REF}, {SCREEN} SELECT event_id, {at_sql('ts')} AS at FROM screened JOIN events USING (event_id) CROSS JOIN ref WHERE total_risk >= 70 AND ts >= r - INTERVAL 7 DAY ORDER BY ts DESC, event_id DESC LIMIT 10")
 def recent_incidents(spark, d):
     rows = se.recent_incidents(se.incidents(screened(spark, d), "ip"), "ts", "event_id", latest(events(spark, d)))
@@ -257,6 +273,17 @@ def consent_withdrawal(spark, d):
     return out.select("c_custkey", at("withdrawn_at").alias("withdrawn_at"))
 
 
+@query("M2_stored_consents", ORACLES["M2_consent_withdrawal"])
+def stored_consents(spark, d):
+    """The same withdrawals on a stored table of consents."""
+    asked = table(spark, d, "orders").filter("o_totalprice > 480000").select(F.col("o_custkey").alias("c_custkey"))
+    path = f"{ensure_checkpoint_dir(spark)}/consents-{uuid.uuid4().hex}"
+    keyed_table.create(consents(spark, d), path, ["c_custkey"])
+    when = F.to_timestamp(F.lit("2002-02-02"))
+    keyed_table.update(spark, path, asked, ["c_custkey"], lambda old, new: co.withdraw_consent(old, new, ["c_custkey"], when))
+    return keyed_table.read(spark, path).select("c_custkey", at("withdrawn_at").alias("withdrawn_at"))
+
+
 @query("M3_consent_statistics", f"WITH {CONSENTS} SELECT c_mktsegment, count(*) AS total, count(*) FILTER (given) AS given, count(withdrawn_at) AS withdrawn FROM cons GROUP BY 1")
 def consent_statistics(spark, d):
     return co.consent_statistics(consents(spark, d), "c_mktsegment")
@@ -457,6 +484,17 @@ def quantile_series(spark, d):
     return out.select("day", F.round("p50", 6).alias("p50"), F.round("p95", 6).alias("p95"))
 
 
+@query("O4_merged_sketches", f"""WITH {HTTP} SELECT CAST(CAST(ts AS DATE) AS VARCHAR) AS day, count(*) AS n, true AS p50_within, true AS p95_within FROM http GROUP BY 1""")
+def merged_sketches(spark, d):
+    """Days from hourly sketches; whether the ranks of their quantiles among all of a day's durations are within 2 % of those asked for."""
+    rows = http(spark, d).select("ts", "seconds", F.to_date("ts").cast("string").alias("day"))
+    hourly = stage(mt.quantile_sketches(rows, [], "ts", "seconds"), "sketches")
+    daily = mt.merged_quantiles(hourly, [F.to_date("start").cast("string").alias("day")], {"p50": 0.5, "p95": 0.95})
+    ranked = rows.join(daily, "day").groupBy("day", "n")
+    near = lambda name, q: (F.count_if(F.col("seconds") < F.col(name)) / F.col("n") <= q + 0.02) & (F.count_if(F.col("seconds") <= F.col(name)) / F.col("n") >= q - 0.02)
+    return ranked.agg(near("p50", 0.5).alias("p50_within"), near("p95", 0.95).alias("p95_within"))
+
+
 @query("O5_sustained_alerts", f"""WITH {RATES}, t AS (SELECT "at" AS x FROM rates WHERE server_errors > 0), f AS (SELECT x, CASE WHEN x - lag(x) OVER (ORDER BY x) <= 60 THEN 0 ELSE 1 END AS o FROM t),
 g AS (SELECT x, sum(o) OVER (ORDER BY x) AS grp FROM f)
 SELECT min(x)::BIGINT AS start_at, max(x)::BIGINT AS end_at, count(*) AS n FROM g GROUP BY grp HAVING max(x) - min(x) >= 300""")
@@ -544,6 +582,17 @@ def assignment_upsert(spark, d):
     return fd.newest_per_key(stored, batch, "part", ["l_shipdate", "l_orderkey"]).select("part", "l_orderkey")
 
 
+@query("P6_stored_assignments", ORACLES["P6_assignment_upsert"])
+def stored_assignments(spark, d):
+    """The same upsert on a stored table, of which only the buckets of changed assignments are written."""
+    stored = table(spark, d, "part").select(F.col("p_partkey").alias("part"), F.lit(-1).cast("long").alias("l_orderkey"), F.lit(None).cast("timestamp").alias("l_shipdate"))
+    batch = table(spark, d, "lineitem").filter("l_returnflag = 'A'").select(F.col("l_partkey").alias("part"), "l_orderkey", F.col("l_shipdate").cast("timestamp").alias("l_shipdate"))
+    path = f"{ensure_checkpoint_dir(spark)}/assignments-{uuid.uuid4().hex}"
+    keyed_table.create(stored, path, ["part"])
+    keyed_table.update(spark, path, batch, ["part"], lambda old, new: fd.newest_per_key(old, new, "part", ["l_shipdate", "l_orderkey"]))
+    return keyed_table.read(spark, path).select("part", "l_orderkey")
+
+
 @query("P7_sync_rollup", "SELECT event_type, count(*) AS runs, sum(user_id)::BIGINT AS processed, count(*) FILTER (value > 100) AS failed, round(avg(value), 6) AS mean_seconds FROM events GROUP BY 1")
 def sync_rollup(spark, d):
     logs = events(spark, d).select("event_type", F.col("user_id").alias("processed"), (F.col("value") > 100).cast("int").alias("failed"), F.col("value").alias("seconds"))

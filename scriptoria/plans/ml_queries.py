@@ -12,6 +12,7 @@ from ..operators import stylometry as st
 from ..session import spread
 from ..sources.tables import table
 from . import ailike_queries as aq
+from . import sqltext as q
 from .registry import query
 from .similarity_queries import COS
 
@@ -40,6 +41,18 @@ def pair_classifier(spark, d):
     return scored.select("a", "b", "label", F.round(ml.positive_probability(scored), 6).alias("p"))
 
 
+@query("H2_pair_network", f"""
+WITH {PAIRS} SELECT label::BIGINT AS label, count(*) AS n, true AS probabilities, count(*) AS predicted FROM pairs GROUP BY 1""")
+def pair_network(spark, d):
+    """The pairs by label, whether all have a probability, and how many were scored."""
+    e = embeddings(spark, d)
+    features = ml.pair_interactions(ml.author_pairs(e, "vec_id", "label"), e, "vec_id", "embedding")
+    scored = ml.fit_pair_network(features, iterations=30).transform(features)
+    p = ml.positive_probability(scored)
+    return scored.groupBy(F.col("label").cast("long").alias("label")).agg(
+        F.count("*").alias("n"), F.min(p.between(0, 1)).alias("probabilities"), F.count("prediction").alias("predicted"))
+
+
 @query("H3_training_set", """
 SELECT doc_id, text, 0::BIGINT AS label FROM documents JOIN labels USING (doc_id) WHERE quality = 1
 UNION ALL SELECT doc_id, text, 1 FROM documents JOIN labels USING (doc_id) WHERE quality = 0""")
@@ -82,6 +95,27 @@ def soft_vote(spark, d):
     return out.select("doc_id", "label", "is_train", F.round("p", 6).alias("p"), F.round("confidence", 6).alias("confidence"), "prediction")
 
 
+@query("H5_soft_vote_shares", """
+SELECT 1 - quality AS label, count(*) AS total, round(0.8 * count(*))::BIGINT AS trained, true AS bounded, true AS consistent FROM labels JOIN documents USING (doc_id)
+JOIN embeddings ON vec_id = doc_id GROUP BY 1""")
+def soft_vote_shares(spark, d):
+    """Rows and training rows by class; probabilities within 0 and 1, predictions and confidence that follow from them."""
+    out = ml.predict_soft_vote(*reversed(trained(spark, d)), "embedding")
+    follows = (F.col("prediction") == (F.col("p") > 0.5).cast("int")) & (F.abs(F.col("confidence") - F.abs(2 * F.col("p") - 1)) < 1e-9)
+    return out.groupBy(F.col("label").cast("long").alias("label")).agg(
+        F.count("*").alias("total"), F.count_if("is_train").alias("trained"), F.min(F.col("p").between(0, 1)).alias("bounded"), F.min(follows).alias("consistent"))
+
+
+@query("H6_importance_shares", f"""
+SELECT feature, true AS bounded, true AS whole FROM {q.values([(n,) for n in st.FEATURES], 'feature')}""")
+def importance_shares(spark, d):
+    """Every feature once, with a share between 0 and 1, and the shares add up to 1."""
+    rows, model = trained(spark, d)
+    shares = ml.feature_importance(model, rows)
+    total = shares.agg(F.abs(F.sum("importance") - 1) < 1e-6).scalar()
+    return shares.select("feature", F.col("importance").between(0, 1).alias("bounded"), total.alias("whole"))
+
+
 @query("H6_feature_importance")
 def feature_importance(spark, d):
     rows, model = trained(spark, d)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from ..functions import fixed_values as fixed
@@ -10,7 +12,7 @@ from ..operators import institution as inst
 from ..operators import profiles as pr
 from ..operators import stylometry as st
 from ..operators import submissions as sb
-from ..session import spread
+from ..session import ensure_checkpoint_dir, spread
 from ..sources.tables import table
 from . import records as rec
 from . import sqltext as q
@@ -214,6 +216,15 @@ def paged_listing(spark, d):
     return rows.select("submission_id", "owner", "status", day("submitted_at").alias("submitted_on"))
 
 
+@query("J1_ranged_page", PAGE_SQL)
+def ranged_page(spark, d):
+    """The same page of a listing written in ranges."""
+    rows, order = rec.submissions(spark, d).filter("status = 'FLAGGED'"), ["submitted_at", "submission_id"]
+    path = f"{ensure_checkpoint_dir(spark)}/pages-{uuid.uuid4().hex}"
+    sb.build_pages(rows, path, order, ranges=20)
+    return sb.ranged_page(spark, path, order, 2, 25).select("submission_id", "owner", "status", day("submitted_at").alias("submitted_on"))
+
+
 @query("J1_paged_total", f"WITH {rec.SUBMISSIONS} SELECT count(*) AS total, ceil(count(*) / 25.0)::BIGINT AS pages FROM subs WHERE status = 'FLAGGED'")
 def paged_total(spark, d):
     return sb.page(rec.submissions(spark, d), [F.desc("submitted_at")], 1, 25, status=("status", "FLAGGED"))[1]

@@ -19,7 +19,7 @@ from ..operators import vector_index as vi
 from ..operators import vector_join as vj
 from ..operators import vectors as vs
 from ..session import ensure_checkpoint_dir, spread
-from ..sources import vector_store
+from ..sources import keyed_table, vector_store
 from ..sources.tables import table
 from . import sqltext as q
 from .registry import query
@@ -191,6 +191,17 @@ def insert_and_remove(spark, d):
     return added.unionByName(kept)
 
 
+@query("E11_stored_vectors", "SELECT vec_id, label, len(embedding)::BIGINT AS dimension FROM embeddings WHERE label <> 7")
+def stored_vectors(spark, d):
+    """A stored table of labels 0 to 3, to which the others are added and from which label 7 is then removed."""
+    e = embeddings(spark, d)
+    path = f"{ensure_checkpoint_dir(spark)}/vector-table-{uuid.uuid4().hex}"
+    keyed_table.create(e.filter("label < 4"), path, ["vec_id"])
+    keyed_table.update(spark, path, e, ["vec_id"], lambda old, new: old.unionByName(vector_store.add_missing(old, new, "vec_id")))
+    keyed_table.update(spark, path, e.filter("label = 7"), ["vec_id"], lambda old, new: vector_store.remove(old, new, "vec_id"))
+    return keyed_table.read(spark, path).select("vec_id", "label", F.size("embedding").cast("long").alias("dimension"))
+
+
 @query("E12_vector_statistics", "SELECT label, count(*) AS vectors, max(len(embedding))::BIGINT AS dimension FROM embeddings GROUP BY label")
 def vector_statistics(spark, d):
     return vs.statistics(embeddings(spark, d), "embedding", "label")

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from ..functions import fixed_values as fixed
 from ..functions import text as tx
+from ..session import ensure_checkpoint_dir
 from ..sources import corpus, courseware, event_log, exports, vector_store
 from ..sources.tables import table
 from . import sqltext as q
@@ -395,3 +398,13 @@ def substring_search(spark, d):
     rows = corpus.submissions(documents(spark, d))
     hits = search(rows, "src7").select("submission_id").unionByName(search(rows, "THE then").select("submission_id"))
     return hits.distinct().withColumnRenamed("submission_id", "doc_id")
+
+
+@query("B16_indexed_search", "SELECT doc_id FROM documents WHERE contains(lower(text), 'the then')")
+def indexed_search(spark, d):
+    """The search in texts over a stored index of three-character runs."""
+    from ..operators import submissions as sb
+    rows = documents(spark, d).select("doc_id", "text")
+    path = f"{ensure_checkpoint_dir(spark)}/substrings-{uuid.uuid4().hex}"
+    sb.build_substring_index(rows, path, "doc_id", ["text"])
+    return sb.indexed_search(rows, path, "doc_id", "THE then", ("text",)).select("doc_id")
