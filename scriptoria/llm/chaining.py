@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import heapq
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -181,31 +183,47 @@ def _parts(pieces: list[tuple[int, int, int, int, int]], identity: float) -> lis
     """A chain's parts that reach ``identity``, in order.
 
     Seeds and gaps score what they match beyond the share; the maximal scoring runs are the parts. Neighbours
-    are joined, best first, as long as they reach the share together.
+    are joined, best first, as long as they reach the share together. A heap of neighbours' scores and a stack of runs keep this at
+    n log n for n pieces.
     """
-    runs: list[tuple[float, float, int, int]] = []  # score before and after, first and last piece
+    # score before and after, first and last piece, and the nearest earlier run with less before it
+    runs: list[tuple[float, float, int, int, int]] = []
     total = 0.0
     for n, piece in enumerate(pieces):
         before, total = total, total + _over(piece, identity)
         if total <= before:
             continue
-        low, first = before, n
+        low, first, k = before, n, len(runs) - 1
         while True:  # the nearest run with less before it takes this one in if its score after is smaller
-            k = next((k for k in range(len(runs) - 1, -1, -1) if runs[k][0] < low), None)
-            if k is None or runs[k][1] >= total:
+            while k >= 0 and runs[k][0] >= low:
+                k = runs[k][4]
+            if k < 0 or runs[k][1] >= total:
                 break
-            low, first = runs[k][0], runs[k][2]
+            low, first, above = runs[k][0], runs[k][2], runs[k][4]
             del runs[k:]
-        runs.append((low, total, first, n))
-    spans = [(first, last) for _, _, first, last in runs]
-    score = lambda x, y: _over(_merged(pieces[x[0] : y[1] + 1]), identity)
-    scores = [score(x, y) for x, y in zip(spans, spans[1:])]
-    while scores and max(scores) >= 0:
-        k = scores.index(max(scores))
-        spans[k : k + 2] = [(spans[k][0], spans[k + 1][1])]
-        near = range(max(k - 1, 0), min(k + 1, len(spans) - 1))
-        scores[max(k - 1, 0) : k + 2] = [score(spans[m], spans[m + 1]) for m in near]
-    return [_merged(pieces[first : last + 1]) for first, last in spans]
+            k = above
+        runs.append((low, total, first, n, k))
+
+    matched = np.concatenate([[0], np.cumsum([p[4] for p in pieces])]).tolist()
+    whole = lambda first, last: (pieces[first][0], pieces[last][1], pieces[first][2], pieces[last][3], matched[last + 1] - matched[first])
+    firsts, lasts = [r[2] for r in runs], [r[3] for r in runs]
+    left, right = list(range(-1, len(runs) - 1)), [*range(1, len(runs)), -1]
+    changed, alive = [0] * len(runs), [True] * len(runs)
+    score = lambda x, y: _over(whole(firsts[x], lasts[y]), identity)
+    heap = [(-score(x, x + 1), x, x + 1, 0, 0) for x in range(len(runs) - 1)]
+    heapq.heapify(heap)
+    while heap and heap[0][0] <= 0:
+        _, x, y, at_x, at_y = heapq.heappop(heap)
+        if not (alive[x] and alive[y]) or (changed[x], changed[y]) != (at_x, at_y):
+            continue
+        lasts[x], alive[y], right[x] = lasts[y], False, right[y]
+        changed[x] += 1
+        if right[x] >= 0:
+            left[right[x]] = x
+            heapq.heappush(heap, (-score(x, right[x]), x, right[x], changed[x], changed[right[x]]))
+        if left[x] >= 0:
+            heapq.heappush(heap, (-score(left[x], x), left[x], x, changed[left[x]], changed[x]))
+    return [whole(firsts[x], lasts[x]) for x in range(len(runs)) if alive[x]]
 
 
 def _grown(a: np.ndarray, b: np.ndarray, span: tuple[int, int, int, int, int], identity: float = 0.0) -> tuple[int, int, int, int, int]:
@@ -255,7 +273,7 @@ def repeated_passages(
     Null and short texts have no passages. ``print`` is a hash of the text: rows with equal keys and other texts are
     apart, rows equal in both are one document. Null keys come first. Empty tables give no rows; other columns are not read.
     """
-    rows = docs.select(F.col(key).alias("key"), F.hash(F.col(text)).alias("print"), F.col(text).alias("text"))
+    rows = docs.select(F.col(key).alias("key"), F.xxhash64(F.col(text)).alias("print"), F.col(text).alias("text"))
     key_field = rows.schema["key"]
     seeds_type = T.StructType([T.StructField("seed", T.LongType()), key_field, rows.schema["print"], T.StructField("pos", T.IntegerType())])
 
@@ -273,7 +291,7 @@ def repeated_passages(
                 names=seeds_type.names,
             )
 
-    seeds = rows.mapInArrow(find_seeds, seeds_type)
+    seeds = stage(rows.mapInArrow(find_seeds, seeds_type), "seeds")  # read twice; a text's seeds are found once
     place = F.struct("key", "print", "pos")
     first = seeds.groupBy("seed").agg(F.min(place).alias("first"), F.count("*").alias("n")).filter("n > 1").drop("n")
     first = stage(first, "first-seeds")  # read again, it has an exchange of its own, so that the join can split a hot seed
@@ -410,7 +428,7 @@ def remove_passages(docs: DataFrame, passages: DataFrame, key: str = "doc_id", t
     """``docs`` with the passages of `repeated_passages` cut out of ``text``, and ``n_removed`` words."""
     k, p, s, n = (fresh(x, docs) for x in ("key__", "print__", "spans__", "n_removed"))
     spans = passages.groupBy(F.col("key").alias(k), F.col("print").alias(p)).agg(F.collect_set(F.struct("start", "end")).alias(s))
-    joined = docs.join(spans, [docs[key].eqNullSafe(spans[k]), F.hash(docs[text]) == spans[p]], "left").drop(k, p)
+    joined = docs.join(spans, [docs[key].eqNullSafe(spans[k]), F.xxhash64(docs[text]) == spans[p]], "left").drop(k, p)
     schema = T.StructType([*docs.schema.fields, T.StructField(n, T.LongType())])
     at, width = docs.columns.index(text), len(docs.columns)
 

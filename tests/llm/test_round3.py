@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import time
 from fractions import Fraction
 
 import numpy as np
@@ -10,7 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 from test_operators import brute_top, docs, odd, prose  # noqa: F401
 
-from scriptoria.llm import content_sort, language, packing, tiling, vector_codes, voronoi, whitening
+from scriptoria.llm import chaining, content_sort, language, packing, tiling, vector_codes, voronoi, whitening
 from scriptoria.llm import queries as llm_queries
 
 VECTORS = "vec_id long, embedding array<double>, label int, id int, error double, code string"
@@ -301,3 +302,95 @@ def test_long_clean_texts_are_accepted(spark):
 def test_languages_beyond_the_argument_are_not_learned(spark):
     rows = [(i, english(i, 50), "en") for i in range(30)] + [(100 + i, "wort und satz " * 9, "de") for i in range(20)] + [(200 + i, "tiny", f"x{i}") for i in range(30)]
     assert language.train(spark.createDataFrame(rows, "doc_id long, text string, lang string"), languages=2).languages == ["de", "en"]
+
+
+# 9 ------------------------------------------------------------------------------------------------
+
+
+def slow_parts(pieces, identity):
+    """The parts of a chain by trying all runs and all neighbours each time."""
+    over, merged = chaining._over, chaining._merged
+    runs, total = [], 0.0
+    for n, piece in enumerate(pieces):
+        before, total = total, total + over(piece, identity)
+        if total <= before:
+            continue
+        low, first = before, n
+        while True:
+            smaller = [k for k in range(len(runs)) if runs[k][0] < low]
+            if not smaller or runs[smaller[-1]][1] >= total:
+                break
+            low, first = runs[smaller[-1]][0], runs[smaller[-1]][2]
+            runs = runs[: smaller[-1]]
+        runs.append((low, total, first, n))
+    spans = [r[2:] for r in runs]
+    while len(spans) > 1:
+        scores = [over(merged(pieces[x[0] : y[1] + 1]), identity) for x, y in zip(spans, spans[1:])]
+        if max(scores) < 0:
+            break
+        k = scores.index(max(scores))
+        spans[k : k + 2] = [(spans[k][0], spans[k + 1][1])]
+    return [merged(pieces[a : b + 1]) for a, b in spans]
+
+
+def random_pieces(r, n):
+    pieces, at, source = [], 0, 0
+    for i in range(n):
+        if i:
+            gap, other = r.randrange(14), r.randrange(14)
+            pieces.append((at, at + gap, source, source + other, r.randint(0, min(gap, other))))
+            at, source = at + gap, source + other
+        pieces.append((at, at + 8, source, source + 8, 8))
+        at, source = at + 8, source + 8
+    return pieces
+
+
+def test_parts_of_long_chains_are_those_of_the_slow_way():
+    r = random.Random(21)
+    for _ in range(400):
+        pieces = random_pieces(r, r.randrange(1, 25))
+        assert chaining._parts(pieces, 0.8) == slow_parts(pieces, 0.8)
+    pieces = random_pieces(r, 8000)  # 15,999 seeds and gaps
+    start = time.perf_counter()
+    chaining._parts(pieces, 0.8)
+    assert time.perf_counter() - start < 1
+
+
+def words_in_common(a, b):
+    row = [0] * (len(b) + 1)
+    for x in a:
+        last = row[:]
+        for j, y in enumerate(b):
+            row[j + 1] = last[j] + 1 if x == y else max(row[j], last[j + 1])
+    return row[-1]
+
+
+def test_reported_passages_match_word_by_word(spark):
+    """Planted verbatim and edited passages are found whole, and what is reported matches by as many words as it says."""
+    r = random.Random(33)
+    passages = [prose(700 + i, r.randrange(60, 140)) for i in range(8)]
+    planted, rows = [], []
+    for i in range(40):
+        n = r.randrange(8)
+        words = passages[n].split()
+        for _ in range(r.randrange(3)):
+            words[r.randrange(10, len(words) - 10)] = f"edit{i}"
+        before = prose(3000 + i, r.randrange(20, 60)).split()
+        before = [f"{w}{i}" for w in before]
+        rows.append((i, " ".join(before + words + [f"{w}{i}" for w in prose(4000 + i, 20).split()])))
+        planted.append((n, len(before), len(before) + len(words)))
+    found = chaining.repeated_passages(docs(spark, rows)).collect()
+    texts = {i: t.split() for i, t in rows}
+    first = {}
+    for i, (n, start, end) in enumerate(planted):
+        if n not in first:
+            first[n] = i
+            assert not [f for f in found if f.key == i]
+            continue
+        mine = [f for f in found if f.key == i]
+        # an edited first document leaves the seeds of its edits to later sources, whose parts lie within the passage
+        assert mine and abs(min(f.start for f in mine) - start) <= 3 and abs(max(f.end for f in mine) - end) <= 3, (i, mine)
+        assert {planted[f.source][0] for f in mine} == {n}
+    for f in found:
+        a, b = texts[f.key][f.start : f.end], texts[f.source][f.source_start : f.source_end]
+        assert 0.8 * len(b) <= f.matched <= words_in_common(a, b)  # a part of the passage may have a source of its own
