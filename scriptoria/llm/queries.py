@@ -142,8 +142,15 @@ def _sql_matches(kind: str, pattern: str, group: int, least: int) -> str:
 
 def _sql_entropy(kind: str, letters: str, bits: float) -> str:
     w = secret_scan.WINDOW
-    allowed = "".join(f" AND NOT regexp_matches(value, '{p}')" for p in secret_scan.ALLOWED if "\\1" not in p)
-    repeated = " AND len(list_filter(range(1, length(value) - 6), lambda i: value[i:i + 7] = repeat(value[i], 8))) = 0"
+
+    def hits(p: str) -> str:
+        found, gaps, size = f"regexp_extract_all(value, '{p}')", f"regexp_split_to_array(value, '{p}')", "lambda x: length(x)"
+        start = f"(coalesce(list_sum(list_transform({gaps}[1:i], {size})), 0) + coalesce(list_sum(list_transform({found}[1:i - 1], {size})), 0))::BIGINT"
+        return f"list_transform(range(1, len({found}) + 1), lambda i: {{'s': {start}, 'n': length({found}[i])::BIGINT}})"
+
+    # runs of one character: RE2 has no references back, so eight equal ones from each place on
+    equal = "list_transform(list_filter(range(1, length(value) - 6), lambda i: value[i:i + 7] = repeat(value[i], 8)), lambda i: {'s': (i - 1)::BIGINT, 'n': 8::BIGINT})"
+    allowed = " || ".join([equal, *(hits(p) for p in secret_scan.ALLOWED if "\\1" not in p)])
     return f"""
       SELECT doc_id, kind, min(p) AS pos, max(p) + {w} AS stop FROM (
         SELECT *, sum(fresh) OVER (PARTITION BY doc_id, kind, pos ORDER BY p) AS island FROM (
@@ -152,8 +159,8 @@ def _sql_entropy(kind: str, letters: str, bits: float) -> str:
               CASE WHEN w[c + 1] > 0 THEN CAST(round(w[c + 1] * log2(w[c + 1]) * {secret_scan.SCALE}) AS BIGINT) ELSE 0 END)) AS s
             FROM (
               SELECT doc_id, kind, pos, k, list_transform(range(0, 128), lambda c: {w} - length(replace(substr(value, k + 1, {w}), chr(CAST(c AS INT)), ''))) AS w
-              FROM ({_sql_matches(kind, f"[{letters}]{{{w},}}", 0, w)}) c, unnest(generate_series(0, length(value) - {w})) AS u(k)
-              WHERE regexp_matches(value, '[0-9]') AND regexp_matches(value, '[A-Za-z]'){allowed}{repeated}
+              FROM (SELECT *, {allowed} AS hits FROM ({_sql_matches(kind, f"[{letters}]{{{w},}}", 0, w)})) c, unnest(generate_series(0, length(value) - {w})) AS u(k)
+              WHERE regexp_matches(value, '[0-9]') AND regexp_matches(value, '[A-Za-z]') AND len(list_filter(hits, lambda h: k < h.s + h.n AND k + {w} > h.s)) = 0
             )
           ) WHERE s <= {secret_scan.limit(bits, w)}
         )

@@ -3,8 +3,6 @@
 from __future__ import annotations
 
 import math
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -25,11 +23,11 @@ GATES = {
 #: Character classes of candidate strings, with the entropy in bits that a window must reach.
 ENTROPY_KINDS = {"hex_entropy": ("0-9A-Fa-f", 3.0), "base64_entropy": ("A-Za-z0-9+/_=-", 3.8)}
 WINDOW = 20
-#: Candidates with one of these are no secrets: UUIDs, placeholders, one character over and over.
+#: Windows that overlap one of these are no secrets: UUIDs, placeholders, one character over and over.
 ALLOWED = (
     r"[0-9A-Fa-f]{8}-[0-9A-Fa-f]{4}-[0-9A-Fa-f]{4}-[0-9A-Fa-f]{4}-[0-9A-Fa-f]{12}",
     r"(?i)example|placeholder|changeme|your[_-]|dummy|lorem",
-    r"(.)\1{7}",
+    r"(.)\1{7,}",
     r"(?i)0123456789|abcdefghij",
 )
 #: Windows whose states are counted in one run, and the scale at which c * log2(c) is held as an integer.
@@ -108,20 +106,24 @@ def _high_windows(value: Column, bits: float, window: int) -> Column:
 
 
 def entropy_spans(text: Column, kind: str, allowed: tuple[str, ...] = ALLOWED, window: int = WINDOW) -> Column:
-    """Array of (start, kind, end): overlapping or touching windows of high entropy, joined, within a candidate."""
+    """Array of (start, kind, end): overlapping or touching windows of high entropy, joined, within a candidate.
+
+    Windows that overlap a match of an ``allowed`` pattern are left out; the rest of the candidate is looked at.
+    """
     letters, bits = ENTROPY_KINDS[kind]
     rank = len(BASE_KINDS) + list(ENTROPY_KINDS).index(kind)
     found = _matches(text, f"[{letters}]{{{window},}}", f"[{letters}]{{{window}}}")
 
-    def is_suspect(m: Column) -> Column:
-        held = m["value"].rlike("[0-9]") & m["value"].rlike("[A-Za-z]")
-        return reduce(lambda so_far, pattern: so_far & ~m["value"].rlike(pattern), allowed, held)
-
-    suspect = F.filter(found, is_suspect)
+    suspect = F.filter(found, lambda m: m["value"].rlike("[0-9]") & m["value"].rlike("[A-Za-z]"))
     none = F.array().cast("array<struct<start:bigint,rank:int,end:bigint>>")
 
+    def free(value: Column, at: Column) -> Column:
+        hits = F.concat(*(_matches(value, pattern, pattern) for pattern in allowed)) if allowed else F.array()
+        return let(hits, lambda held: F.filter(at, lambda x: ~F.exists(held, lambda h: (x < h["start"] + h["len"]) & (x + window > h["start"])))) if allowed else at
+
     def joined(m: Column) -> Column:
-        return let(_high_windows(m["value"], bits, window), lambda at: F.zip_with(
+        high = let(_high_windows(m["value"], bits, window), lambda at: F.when(F.size(at) > 0, free(m["value"], at)).otherwise(at))
+        return let(high, lambda at: F.zip_with(
             F.filter(at, lambda x, i: (i == 0) | (x > F.get(at, i - 1) + window)),
             F.filter(at, lambda x, i: (i == F.size(at) - 1) | (F.get(at, i + 1) > x + window)),
             lambda a, b: F.struct((m["start"] + a).alias("start"), F.lit(rank).alias("rank"), (m["start"] + b + window).alias("end")),
@@ -144,7 +146,7 @@ def find_secrets(
 
     ``base`` and ``spans`` are ``kind:start:end`` joined by commas, by start and then kind, in code points with
     the end exclusive; ``spans`` has those of ``base`` and the windows of high entropy. Base kinds
-    match as their patterns say, the allow-list holds for entropy only. Candidates need a digit and a letter.
+    match as their patterns say, the allow-list holds for windows of high entropy that overlap its matches. Candidates need a digit and a letter.
     Null texts are empty; empty texts have no spans. Null and repeated keys stay; other columns are not read.
     """
     t = F.coalesce(F.col(text), F.lit(""))

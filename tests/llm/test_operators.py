@@ -264,9 +264,10 @@ def brute_secrets(text):
     for rank, (kind, (letters, bits)) in enumerate(secret_scan.ENTROPY_KINDS.items(), len(secret_scan.BASE_KINDS)):
         for m in re.finditer(f"[{letters}]{{{w},}}", text):
             value = m[0]
-            if not re.search("[0-9]", value) or not re.search("[A-Za-z]", value) or any(re.search(p, value) for p in secret_scan.ALLOWED):
+            if not re.search("[0-9]", value) or not re.search("[A-Za-z]", value):
                 continue
-            high = [i for i in range(len(value) - w + 1) if sum(map(secret_scan.weight, Counter(value[i : i + w]).values())) <= secret_scan.limit(bits, w)]
+            hits = [h.span() for p in secret_scan.ALLOWED for h in re.finditer(p, value)]
+            high = [i for i in range(len(value) - w + 1) if not any(i < b and i + w > a for a, b in hits) and sum(map(secret_scan.weight, Counter(value[i : i + w]).values())) <= secret_scan.limit(bits, w)]
             for i, p in enumerate(high):
                 if i == 0 or p > high[i - 1] + w:
                     end = next(q for q, n in zip(high[i:], [*high[i + 1 :], 10**9]) if n > q + w)

@@ -11,7 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 from test_operators import brute_top, docs, odd, prose  # noqa: F401
 
-from scriptoria.llm import chaining, content_sort, language, packing, tiling, vector_codes, voronoi, whitening
+from scriptoria.llm import chaining, content_sort, language, packing, secret_scan, tiling, vector_codes, voronoi, whitening
 from scriptoria.llm import queries as llm_queries
 
 VECTORS = "vec_id long, embedding array<double>, label int, id int, error double, code string"
@@ -394,3 +394,14 @@ def test_reported_passages_match_word_by_word(spark):
     for f in found:
         a, b = texts[f.key][f.start : f.end], texts[f.source][f.source_start : f.source_end]
         assert 0.8 * len(b) <= f.matched <= words_in_common(a, b)  # a part of the passage may have a source of its own
+
+
+# 7 ------------------------------------------------------------------------------------------------
+
+
+def test_a_placeholder_hides_only_the_windows_that_overlap_it(spark):
+    secret = "q7Zt1VbX9mK4cR2wLp8sD0fH"
+    rows = [(1, f"config/example/paths/that/go/on/{secret}"), (2, f"AAAAAAAAAAAAAAAA{secret}"), (3, "550e8400-e29b-41d4-a716-446655440000"), (4, f"example{secret[:12]}")]
+    found = {r.key: r.spans for r in secret_scan.find_secrets(docs(spark, rows)).collect()}
+    assert found[1].endswith(f":{len(rows[0][1])}") and found[2] == f"base64_entropy:16:{16 + len(secret)}"
+    assert found[3] == "" and found[4] == ""
