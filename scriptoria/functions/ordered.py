@@ -105,16 +105,25 @@ def newest(df: DataFrame, keys: list[str], order: list[Column], k: int) -> DataF
     return df.withColumn("__rank", rank).filter(F.col("__rank") <= k).withColumnRenamed("__rank", "rank")
 
 
-def order_statistic(df: DataFrame, column: str, rank: int) -> float:
-    """Exact value at a 0-based rank of the sorted column, without sorting it in one task.
+def order_statistics(df: DataFrame, column: str, ranks: list[int]) -> list[float | None]:
+    """Exact values at 0-based ranks of the sorted column, without sorting it in one task; None beyond its end.
 
     Values are counted, the counts dealt out by ranges of the value and summed per range; the sums before each
-    range are a row per range, and only within a range is a running sum taken.
+    range are a row per range, and only within a range is a running sum taken. The counts are made once for all ranks.
     """
     counts = df.select(F.col(column).alias("v")).filter("v is not null").groupBy("v").agg(F.count("*").alias("n"))
     dealt = stage(counts.repartitionByRange("v").withColumn("range", F.spark_partition_id()), "ranges")
     totals = dealt.groupBy("range").agg(F.sum("n").alias("total"))
     before = totals.select("range", (F.sum("total").over(W.orderBy("range")) - F.col("total")).alias("before"), "total")
-    hit = before.filter((F.col("before") <= rank) & (F.col("before") + F.col("total") > rank))
+    wanted = F.array(*(F.lit(r).cast("long") for r in ranks))
+    inside = F.filter(wanted, lambda r: (F.col("before") <= r) & (F.col("before") + F.col("total") > r))
+    hit = before.withColumn("inside", inside).filter(F.size("inside") > 0)
     running = F.sum("n").over(W.partitionBy("range").orderBy("v")) + F.col("before")
-    return dealt.join(hit, "range").withColumn("c", running).filter(F.col("c") > rank).agg(F.min("v")).head()[0]
+    rows = dealt.join(hit, "range").withColumn("c", running).withColumn("r", F.explode("inside")).filter(F.col("c") > F.col("r"))
+    found = {r.r: r.v for r in rows.groupBy("r").agg(F.min("v").alias("v")).collect()}
+    return [found.get(r) for r in ranks]
+
+
+def order_statistic(df: DataFrame, column: str, rank: int) -> float | None:
+    """Exact value at a 0-based rank of the sorted column."""
+    return order_statistics(df, column, [rank])[0]

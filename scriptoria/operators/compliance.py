@@ -55,6 +55,24 @@ def request_queue(requests: DataFrame, created: str, key: str, ref_ts: Column, d
     return out.withColumn("overdue", F.col("days_left") < 0).orderBy("deadline", key)
 
 
+def compliance_report(queue: DataFrame, consents: DataFrame, policies: DataFrame, consent_type: str) -> DataFrame:
+    """(section, name, value): pending and overdue requests of `request_queue`, consents by type, number of active policies.
+
+    A null type is a type of its own, named without a prefix; empty tables give zeros, and no rows for consents.
+    """
+    requests = queue.agg(F.count("*").alias("pending"), F.count_if("overdue").alias("overdue"))
+    requests = requests.select(F.lit("requests").alias("section"), F.inline(_named(["pending", "overdue"])))
+    given = consent_statistics(consents, consent_type)
+    kinds = [F.struct(F.concat_ws(":", F.col(consent_type).cast("string"), F.lit(c)).alias("name"), F.col(c).alias("value")) for c in ("total", "given", "withdrawn")]
+    given = given.select(F.lit("consents").alias("section"), F.inline(F.array(*kinds)))
+    active = policies.agg(F.count_if("is_active").alias("active")).select(F.lit("policies").alias("section"), F.inline(_named(["active"])))
+    return requests.unionByName(given).unionByName(active)
+
+
+def _named(columns: list[str]) -> Column:
+    return F.array(*[F.struct(F.lit(c).alias("name"), F.col(c).alias("value")) for c in columns])
+
+
 def subject_records(user_tables: dict[str, tuple[DataFrame, str, str]], users: DataFrame, user: str) -> DataFrame:
     """(user, record_id, kind, record): rows of the requesting users from every table as JSON.
 

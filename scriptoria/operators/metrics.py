@@ -92,7 +92,7 @@ def sustained(points: DataFrame, keys: list[str], at: str, condition: Column, st
 def load_summary(requests: DataFrame, seconds: str, status: Column, ts: str) -> DataFrame:
     """One row: totals, latency statistics, p95 and p99 by rank, requests per second, success rate."""
     n = requests.filter(F.col(seconds).isNotNull()).count()
-    p95, p99 = (ordered.order_statistic(requests, seconds, int(n * q)) if n else 0.0 for q in (0.95, 0.99))
+    p95, p99 = ordered.order_statistics(requests, seconds, [int(n * q) for q in (0.95, 0.99)]) if n else (0.0, 0.0)
     ok = F.count_if(status.between(200, 299))
     span = F.unix_micros(F.max(ts).cast("timestamp")) - F.unix_micros(F.min(ts).cast("timestamp"))
     return requests.agg(

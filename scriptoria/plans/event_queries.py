@@ -294,11 +294,27 @@ WITH r AS (SELECT CAST(max(o_orderdate) AS DATE) - 20 AS r FROM orders)
 SELECT o_orderkey, CAST(CAST(o_orderdate AS DATE) + 30 AS VARCHAR) AS deadline, date_diff('day', r, CAST(o_orderdate AS DATE) + 30) AS days_left, date_diff('day', r, CAST(o_orderdate AS DATE) + 30) < 0 AS overdue
 FROM orders CROSS JOIN r WHERE o_orderstatus = 'P'""")
 def request_queue(spark, d):
+    out = queue(spark, d)
+    return out.select("o_orderkey", F.col("deadline").cast("string").alias("deadline"), F.col("days_left").cast("long").alias("days_left"), "overdue")
+
+
+def queue(spark, d):
     o = table(spark, d, "orders")
     rows = o.withColumn("status", F.when(F.col("o_orderstatus") == "P", "PENDING").otherwise("DONE"))
     ref = o.agg(F.max(F.col("o_orderdate") - F.expr("INTERVAL 20 DAYS"))).scalar()
-    out = co.request_queue(rows, "o_orderdate", "o_orderkey", ref)
-    return out.select("o_orderkey", F.col("deadline").cast("string").alias("deadline"), F.col("days_left").cast("long").alias("days_left"), "overdue")
+    return co.request_queue(rows, "o_orderdate", "o_orderkey", ref)
+
+
+@query("M3_compliance_report", f"""
+WITH {CONSENTS}, req AS ({ORACLES["M4_request_queue"]}), c AS ({ORACLES["M3_consent_statistics"]})
+SELECT 'requests' AS section, 'pending' AS name, count(*) AS value FROM req
+UNION ALL SELECT 'requests', 'overdue', count(*) FILTER (overdue) FROM req
+UNION ALL SELECT 'consents', c_mktsegment || ':total', total FROM c
+UNION ALL SELECT 'consents', c_mktsegment || ':given', given FROM c
+UNION ALL SELECT 'consents', c_mktsegment || ':withdrawn', withdrawn FROM c
+UNION ALL SELECT 'policies', 'active', {len(fixed.RETENTION_POLICIES)}""")
+def compliance_report(spark, d):
+    return co.compliance_report(queue(spark, d), consents(spark, d), co.default_policies(spark), "c_mktsegment")
 
 
 @query("M5_subject_access", """

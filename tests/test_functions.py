@@ -12,6 +12,7 @@ from scriptoria.functions import text as tx
 from scriptoria.functions import vectors as vx
 from scriptoria.operators import ailike as ai
 from scriptoria.operators import authorship as au
+from scriptoria.operators import compliance as co
 from scriptoria.operators import feeds as fd
 from scriptoria.operators import profiles as pr
 from scriptoria.operators import security as se
@@ -151,3 +152,14 @@ def test_attestation_table_keeps_records_without_an_outcome(spark):
         (2, timestamp'2024-01-01 00:10:01', 'FAILED') AS t(k, updated_at, status)""")
     got = monitors.attestation_table(pending, updates, "k", "ts").collect()
     assert sorted((str(r.k), r.status) for r in got) == [("1", "CONFIRMED"), ("2", None), ("None", None)]
+
+
+def test_compliance_report_counts_requests_consents_and_policies(spark):
+    queue = spark.createDataFrame([(1, True), (2, False), (3, None)], "id long, overdue boolean")
+    consents = spark.createDataFrame([("a", True, None), ("a", False, "2020"), (None, None, None)], "kind string, given boolean, withdrawn_at string")
+    policies = spark.createDataFrame([(True,), (False,), (None,)], "is_active boolean")
+    want = {("requests", "pending"): 3, ("requests", "overdue"): 1, ("policies", "active"): 1, ("consents", "a:total"): 2, ("consents", "a:given"): 1,
+            ("consents", "a:withdrawn"): 1, ("consents", "total"): 1, ("consents", "given"): 0, ("consents", "withdrawn"): 0}
+    assert {(r.section, r.name): r.value for r in co.compliance_report(queue, consents, policies, "kind").collect()} == want
+    empty = co.compliance_report(queue.limit(0), consents.limit(0), policies.limit(0), "kind")
+    assert {(r.section, r.name, r.value) for r in empty.collect()} == {("requests", "pending", 0), ("requests", "overdue", 0), ("policies", "active", 0)}

@@ -183,6 +183,8 @@ def test_order_statistic_is_exact(spark):
     values = sorted(r.v for r in df.collect())
     for rank in (0, 100, 35_000, 69_299, 69_999):
         assert ordered.order_statistic(df, "v", rank) == values[rank]
+    assert ordered.order_statistics(df, "v", [69_999, 3, 3, 70_000]) == [values[69_999], values[3], values[3], None]
+    assert ordered.order_statistics(df.limit(0), "v", [0, 1]) == [None, None]
 
 
 def test_quantiles_from_buckets(spark):
