@@ -19,6 +19,8 @@ from .components import connected_components
 PIVOT_STEP, PIVOT_START = 0x9E3779B97F4A7C15, 0x243F6A8885A308D3
 #: Fingerprints that one task compares with each other or with as many others.
 BLOCK = 4096
+#: Fingerprints that share a band key at most, on average, if their bits are evenly spread.
+PER_KEY = 64
 #: Shingles whose bits are counted at once.
 CHUNK = 1 << 16
 
@@ -69,6 +71,19 @@ def _distance(fp: Column, pivot: int) -> Column:
     return F.bit_count(fp.bitwiseXOR(F.lit(int(np.uint64(pivot).view(np.int64)))))
 
 
+def blocks_for(n: int, most: int = 3) -> int:
+    """Blocks of bits by which ``n`` distinct fingerprints are cut into bands.
+
+    With b blocks a band key holds b - most of them, so more blocks give longer keys and more bands. The pairs
+    within a key would grow with the square of ``n`` if its length stayed, so the fewest blocks are taken that leave `PER_KEY`
+    rows to a key. The links found connect the same fingerprints whatever the number.
+    """
+    blocks = most + 1
+    while blocks < 2 * most + 2 and n > PER_KEY * 2 ** (64 * (blocks - most) // blocks):
+        blocks += 1
+    return blocks
+
+
 def _bands(fp: Column, most: int, blocks: int) -> Column:
     """Keys of which two fingerprints within ``most`` bits share one: all choices of ``blocks - most`` of the blocks."""
     edges = [round(64 * i / blocks) for i in range(blocks + 1)]
@@ -120,15 +135,17 @@ def _forest(left: np.ndarray, right: np.ndarray | None, most: int, pivots: np.nd
     return links
 
 
-def links(distinct: DataFrame, most: int = 3, blocks: int = 4, pivots: int = 16) -> DataFrame:
+def links(distinct: DataFrame, most: int = 3, blocks: int | None = None, pivots: int = 16) -> DataFrame:
     """(a, b): links that connect exactly the fingerprints (column ``fp``) that pairs within ``most`` bits connect.
 
     Two fingerprints within ``most`` bits agree in one of the band keys, and their distances to any
     reference differ by ``most`` at most. So a row goes to (band key, cell of the distance to the first
     reference), and as a guest to the neighbouring cell that it is within ``most`` of. In a cell the
     full pivot table decides which pairs are verified. A cell of more than `BLOCK` fingerprints is split into
-    blocks that meet in a grid, so no task gets a whole hot cell and no pair is lost.
+    blocks that meet in a grid, so no task gets a whole hot cell and no pair is lost. ``blocks`` of bits follow from the number of
+    rows unless they are given.
     """
+    blocks = blocks or blocks_for(distinct.count(), most)
     refs = references(pivots)
     width = 2 * most + 1
     d = _distance(F.col("fp"), int(refs[0]))
@@ -164,7 +181,7 @@ def links(distinct: DataFrame, most: int = 3, blocks: int = 4, pivots: int = 16)
 
 
 def near_duplicates(
-    docs: DataFrame, key: str = "doc_id", text: str = "text", words: int = 3, most: int = 3, blocks: int = 4, pivots: int = 16
+    docs: DataFrame, key: str = "doc_id", text: str = "text", words: int = 3, most: int = 3, blocks: int | None = None, pivots: int = 16
 ) -> DataFrame:
     """(key, fingerprint, component_id) of every row of ``docs``.
 

@@ -501,8 +501,13 @@ def test_near_duplicates_equal_brute_force(spark, odd):
     assert simhash.near_duplicates(table.limit(0)).count() == simhash.keep_first(table.limit(0)).count() == 0
 
 
-@pytest.mark.parametrize("block", [16, 4096])
-def test_links_in_hot_cells(spark, monkeypatch, block):
+def test_blocks_follow_from_the_number_of_fingerprints():
+    assert [simhash.blocks_for(n) for n in (0, 10**6, 10**7, 10**9, 10**10, 10**30)] == [4, 4, 5, 5, 6, 8]
+    assert simhash.blocks_for(10**30, 1) == 4
+
+
+@pytest.mark.parametrize("block, blocks", [(16, None), (4096, 4), (4096, 5), (64, 6)])
+def test_links_in_hot_cells(spark, monkeypatch, block, blocks):
     monkeypatch.setattr(simhash, "BLOCK", block)
     r = random.Random(8)
     fps = [r.getrandbits(64) for _ in range(150)]
@@ -510,7 +515,7 @@ def test_links_in_hot_cells(spark, monkeypatch, block):
     fps += [fps[0] ^ 1 << a ^ 1 << b for a in range(14) for b in range(a)]
     fps = sorted(set(fps))
     table = spark.createDataFrame([(f - 2**64 if f >> 63 else f,) for f in fps], "fp long")
-    got = {r.node % 2**64: r.part % 2**64 for r in connected_components(simhash.links(table)).collect()}
+    got = {r.node % 2**64: r.part % 2**64 for r in connected_components(simhash.links(table, blocks=blocks)).collect()}
     expected = brute_components(fps)
     groups = lambda p: sorted(sorted(f for f in fps if p(f) == x) for x in {p(f) for f in fps})
     assert groups(lambda f: got.get(f, f)) == groups(lambda f: expected[f])
