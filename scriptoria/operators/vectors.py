@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import vectors as vx
-from ..session import stage
+from ..session import small, stage
 from . import vector_join as vj
 
 
@@ -70,13 +70,12 @@ def similar_pairs(store: DataFrame, key: str, vector: str, threshold: float) ->
     Equal vectors are one entry with a count; a vector stored more than once is paired with itself.
     """
     groups, _ = vj.distinct_vectors(store, key, vector)
-    copies = groups.select("rep", "copies")
     pairs = vj.pairs_above(vj.unit_rows(groups, "rep", "vector"), threshold)
-    repeated = copies.filter("copies > 1").select(F.col("rep").alias("a"), F.col("rep").alias("b"), F.lit(1.0).alias("score"))
+    repeated = groups.filter("copies > 1").select(F.col("rep").alias("a"), F.col("rep").alias("b"), F.lit(1.0).alias("score"))
     return (
         pairs.unionByName(repeated)
-        .join(copies.select(F.col("rep").alias("a"), F.col("copies").alias("copies_a")), "a")
-        .join(copies.select(F.col("rep").alias("b"), F.col("copies").alias("copies_b")), "b")
+        .join(small(groups.select(F.col("rep").alias("a"), F.col("copies").alias("copies_a"))), "a")
+        .join(small(groups.select(F.col("rep").alias("b"), F.col("copies").alias("copies_b"))), "b")
     )
 
 
@@ -111,7 +110,7 @@ def duplicate_vectors(
     meta = F.col(exclude_same) if exclude_same else F.lit(1)
     v = store.select(F.col(key).alias("key"), F.col(vector).alias("vector"), meta.alias("meta"))
     groups = stage(v.groupBy("vector", "meta").agg(F.min("key").alias("rep"), F.count("*").alias("copies")), "vector_groups")
-    side = lambda n: groups.select(F.col("rep").alias(n), F.col("meta").alias(f"meta_{n}"), F.col("copies").alias(f"copies_{n}"))
+    side = lambda n: small(groups.select(F.col("rep").alias(n), F.col("meta").alias(f"meta_{n}"), F.col("copies").alias(f"copies_{n}")))
     met = vj.pairs_above(vj.unit_rows(groups, "rep", "vector"), threshold).join(side("a"), "a").join(side("b"), "b")
     own = groups.filter("copies > 1").select(
         F.col("rep").alias("a"), F.col("rep").alias("b"), F.lit(1.0).alias("score"), F.col("meta").alias("meta_a"), F.col("copies").alias("copies_a"),

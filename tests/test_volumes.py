@@ -4,8 +4,12 @@ import math
 import re
 from collections import Counter
 
+import numpy as np
+
 from scriptoria.operators import ailike as ai
 from scriptoria.operators import bigrams as bg
+from scriptoria.operators import plagiarism as pl
+from scriptoria.operators import vector_join as vj
 
 TEXTS = ["a b a b c", "a b d", "c a b", "x", None, "d d d d"]
 
@@ -54,3 +58,38 @@ def test_perplexity_sends_no_pairs_by_text(spark):
     for i, ps in pairs.items():
         logs = [math.log((every[p] + 1) / (sum(c for (a, _), c in every.items() if a == p[0]) + vocabulary)) for p in ps]
         assert math.isclose(got[i], math.exp(-sum(logs) / len(ps)))
+
+
+def vectors_without_clusters(spark, n=900):
+    m = np.random.default_rng(5).normal(size=(n, 24))
+    return spark.createDataFrame([(i, [float(x) for x in v], i % 3) for i, v in enumerate(m)], "id long, v array<double>, label int"), m / np.linalg.norm(m, axis=1, keepdims=True)
+
+
+def test_vector_pairs_send_a_vector_once(spark, monkeypatch):
+    """Every block meets every other; the vectors are dealt into blocks once and then read."""
+    monkeypatch.setattr(vj, "BLOCK_ROWS", 100)
+    df, unit = vectors_without_clusters(spark)
+    pairs = vj.pairs_above(vj.unit_rows(df, "id", "v"), 0.4)
+    assert "CoGroups" not in plan(pairs) and re.search("CartesianProduct|BroadcastNestedLoopJoin", plan(pairs))
+    scores = unit @ unit.T
+    assert {(r.a, r.b) for r in pairs.collect()} == {(int(a), int(b)) for a, b in zip(*np.nonzero(np.triu(scores, 1) >= 0.4))}
+
+
+def test_nearest_hands_on_the_best_of_a_task(spark, monkeypatch):
+    """The ranking gets a query's best of a task, not of every block."""
+    monkeypatch.setattr(vj, "BLOCK_ROWS", 50)
+    df, unit = vectors_without_clusters(spark)
+    units = vj.unit_rows(df, "id", "v")
+    near = vj.nearest(units, units, 3, -1.0, exclude_self=True)
+    assert "CoGroups" not in plan(near)
+    scores = unit @ unit.T
+    np.fill_diagonal(scores, -np.inf)
+    best = np.argsort(-scores, axis=1)[:, :3]
+    assert {(r["query"], r.neighbour, r["rank"]) for r in near.collect()} == {(q, int(i), k + 1) for q in range(len(unit)) for k, i in enumerate(best[q])}
+
+
+def test_owners_of_pairs_are_looked_up_without_a_shuffle_of_pairs(spark):
+    df, _ = vectors_without_clusters(spark, 300)
+    found = pl.cross_owner_vectors(df, "id", "v", "label", 0.4)
+    assert "SortMergeJoin" not in plan(found) and "hashpartitioning" not in plan(found).split("mapInPandas")[0].split("MapInPandas")[0]
+    assert found.count() > 0
