@@ -9,6 +9,7 @@ import numpy as np
 from scriptoria.operators import ailike as ai
 from scriptoria.operators import bigrams as bg
 from scriptoria.operators import plagiarism as pl
+from scriptoria.operators import vector_index as vi
 from scriptoria.operators import vector_join as vj
 
 TEXTS = ["a b a b c", "a b d", "c a b", "x", None, "d d d d"]
@@ -93,3 +94,29 @@ def test_owners_of_pairs_are_looked_up_without_a_shuffle_of_pairs(spark):
     found = pl.cross_owner_vectors(df, "id", "v", "label", 0.4)
     assert "SortMergeJoin" not in plan(found) and "hashpartitioning" not in plan(found).split("mapInPandas")[0].split("MapInPandas")[0]
     assert found.count() > 0
+
+
+def test_membership_names_every_pair_of_documents(spark):
+    """Class rows and text rows, expanded by the membership, give each pair of flagged documents."""
+    rows = [(0, "red fox runs"), (1, "red fox runs"), (2, "blue whale sings"), (3, "old stone bridge")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    vectors = spark.createDataFrame([(i, [1.0, 0.0]) for i in (0, 1, 2)], "vec_id long, embedding array<double>")
+    pairs, members = pl.detect(docs, "doc_id", "text", vectors)
+    held = pl.membership(members, "doc_id").collect()
+    text = {r.a: r.b for r in held if r.kind == "member"}
+    kind = {r.a: r.b for r in held if r.kind == "class"}
+    assert text == {0: 0, 1: 0, 2: 2, 3: 3} and kind == {0: 0, 2: 0}
+    named = set()
+    for p in pairs.collect():
+        side = lambda x: [i for i in text if (text[i] if p.kind == "text" else kind.get(text[i])) == x]  # noqa: B023, E731
+        named |= {(i, j) for i in side(p.a) for j in side(p.b) if i < j}
+    assert named == {(0, 1), (0, 2), (1, 2)}
+
+
+def test_index_search_sends_no_vectors_with_pairs(spark, tmp_path):
+    df, _ = vectors_without_clusters(spark, 200)
+    index = vi.HashIndex.create(df, str(tmp_path / "index"), "id", "v", tables=4, projections=1)
+    found = index.search(df.filter("id % 50 = 0"), "id", "v", 3)
+    # the pairs meet the stored vectors as ids, the queries' vectors are sent to every task
+    assert re.search(r"BroadcastHashJoin \[query", plan(found)) and found.count() > 0
+    assert not re.search(r"Exchange hashpartitioning\(id[^\n]*\n[^\n]*uq#", plan(found))
