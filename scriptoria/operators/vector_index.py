@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..session import small
 from . import vector_join as vj
 
 #: Unit vectors on which the projections are drawn; only their dimension matters to them.
@@ -84,7 +85,8 @@ class HashIndex:
         asked = vj.unit_rows(queries, key, vector)
         pairs = self.candidates(asked)
         pairs = pairs.filter("query <> id") if exclude_self else pairs
-        both = pairs.join(asked.select(F.col("id").alias("query"), F.col("u").alias("uq")), "query").join(self.units(), "id")
+        # pairs are sent as ids to the stored vectors; the queries' vectors go to every task, or follow where they are many
+        both = pairs.join(self.units(), "id").join(small(asked.select(F.col("id").alias("query"), F.col("u").alias("uq"))), "query")
         score = F.aggregate(F.zip_with("uq", "u", lambda x, y: x * y), F.lit(0.0), lambda a, x: a + x)
         scored = both.select("query", F.col("id").alias("neighbour"), F.greatest(F.lit(0.0), F.least(F.lit(1.0), score)).alias("score")).filter(F.col("score") >= threshold)
         ranked = scored.withColumn("rank", F.row_number().over(W.partitionBy("query").orderBy(F.desc("score"), "neighbour")))
