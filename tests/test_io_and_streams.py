@@ -156,3 +156,14 @@ def test_feature_matrix_has_no_limit_on_names(spark):
     assert [r.pos for r in got] == list(range(20000))
     row = matrix.filter("k = 3").first()
     assert row.size == 20000 and row.pos == list(range(3, 20000, 7)) and row["values"] == [float(i) for i in range(3, 20000, 7)]
+
+
+def test_streams_read_tables_of_several_files_and_none(spark, tmp_path):
+    spark.range(10).repartition(3).write.parquet(str(tmp_path / "many.parquet"))
+    spark.range(0).write.parquet(str(tmp_path / "other.parquet"))
+    rows = so.drain(so.stream_table(spark, str(tmp_path), "many"), "many", "append")
+    assert sorted(r.id for r in rows.collect()) == list(range(10))
+    (tmp_path / "none.parquet").mkdir()
+    none = spark.readStream.schema("id long").parquet(str(tmp_path / "none.parquet"))
+    got = so.drain(none, "none", "append", lambda batch, batch_id: batch.withColumn("twice", batch["id"] * 2))
+    assert got.columns[:2] == ["id", "twice"] and got.count() == 0
