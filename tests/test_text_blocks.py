@@ -5,6 +5,7 @@ import re
 
 from scriptoria.operators import lexical as lx
 from scriptoria.operators import plagiarism as pl
+from scriptoria.plans import QUERIES
 
 
 def plan(df):
@@ -61,3 +62,24 @@ def test_matches_are_not_written_again(spark, monkeypatch):
     assert not {"text_matches", "class_matches", "flagged_pairs"} & set(staged)
     found = [(p.a, p.b) for p in pairs.collect()]
     assert any(report.values()) and report == {i: sum(i in p and p[0] % 3 != p[1] % 3 for p in found) for i in report}
+
+
+def copies(spark, folder):
+    """Texts 0 and 1 are copies, 2 and 3 others of the same vector, 4 stands alone; rows of two owners."""
+    rows = [(0, "red fox runs", "x"), (1, "red fox runs", "y"), (2, "blue whale sings", "y"), (3, "grey owl waits", "y"), (4, "old stone bridge", "x")]
+    spark.createDataFrame(rows, "doc_id long, text string, source string").write.parquet(f"{folder}/documents.parquet")
+    vectors = [(i, 0, [1.0, 0.0] if i < 4 else [0.0, 1.0]) for i in range(5)]
+    spark.createDataFrame(vectors, "vec_id long, label int, embedding array<double>").write.parquet(f"{folder}/embeddings.parquet")
+    return str(folder)
+
+
+def test_confidence_rows_say_how_many_pairs_of_texts_they_stand_for(spark, tmp_path):
+    rows = {(r.kind, r.a, r.b): r.n_texts for r in QUERIES["F5_confidence_labels"](spark, copies(spark, tmp_path)).collect()}
+    assert rows["text", 0, 0] == 1 and rows["vector", 0, 0] == 3 and rows["member", 1, 0] == 1
+
+
+def test_alerts_say_whose_submissions_match(spark, tmp_path):
+    rows = [r for r in QUERIES["F9_alerts"](spark, copies(spark, tmp_path)).collect() if r.kind in ("text", "vector")]
+    found = {(r.kind, r.owner): (r.own, r.others, r.doc_pairs) for r in rows}
+    # the copies' own pair is a row of texts, so it is taken off the pairs of the class, not off its submissions
+    assert found == {("text", "x"): (1, 1, 1), ("text", "y"): (1, 1, 1), ("vector", "x"): (1, 3, 2), ("vector", "y"): (3, 1, 2)}
