@@ -83,3 +83,24 @@ def test_alerts_say_whose_submissions_match(spark, tmp_path):
     found = {(r.kind, r.owner): (r.own, r.others, r.doc_pairs) for r in rows}
     # the copies' own pair is a row of texts, so it is taken off the pairs of the class, not off its submissions
     assert found == {("text", "x"): (1, 1, 1), ("text", "y"): (1, 1, 1), ("vector", "x"): (1, 3, 2), ("vector", "y"): (3, 1, 2)}
+
+
+def test_few_pairs_make_few_groups(spark, monkeypatch):
+    """Each text with the next one: groups of about as many pairs as a block has texts, not one for each pair of blocks."""
+    monkeypatch.setattr(lx, "BLOCK_TEXTS", 5)
+    docs = corpus(spark)
+    grams = lx.gram_vectors(docs.select(docs.doc_id.alias("rep"), lx.content_tokens(docs.text).alias("tokens")))
+    plain = lx._Block
+    pairs = docs.selectExpr("doc_id AS a", "doc_id + 1 AS b").filter("b < 120")
+    groups = spark.sparkContext.accumulator(0)
+
+    class Counted(plain):
+        def __init__(self, texts):
+            groups.add(1)
+            super().__init__(texts)
+
+    monkeypatch.setattr(lx, "_Block", Counted)
+    held = {(r.a, r.b): r.lexical for r in lx.score_pairs(pairs, grams).collect()}
+    assert len(held) == 119 and groups.value <= 24
+    monkeypatch.setattr(lx, "BLOCK_TEXTS", 1000)
+    assert held == {(r.a, r.b): r.lexical for r in lx.score_pairs(pairs, grams).collect()}
