@@ -162,3 +162,13 @@ def test_words_are_sent_to_the_blocks_of_texts(spark, monkeypatch):
     assert "Exchange" in plans[0] and "xxhash64" in plans[0].split("Exchange")[0]
     assert "hashpartitioning(guest_block" not in plan(found)
     assert rows(found) == rows(lx.pairs_above(grams, 0.1, units)) and found.count() > 20
+
+
+def test_blocks_keep_large_ids(spark):
+    """Ids beyond the whole numbers of a double stay as they are where some texts have no vector."""
+    first = 2**60 + 1
+    docs = spark.createDataFrame([(first + i, "red fox runs over old stone bridges " + w) for i, w in enumerate(["now", "then", "here"])], "rep long, text string")
+    texts = docs.select("rep", lx.content_tokens(F.col("text")).alias("tokens"))
+    units = docs.filter(f"rep < {first + 2}").selectExpr("rep", "rep AS vector_class", "array(1.0D, 0.0D) AS u")
+    found = {(r.a - first, r.b - first, r.class_a - first, r.class_b - first, r.semantic) for r in lx.pairs_above(texts, 0.1, units).collect()}
+    assert found == {(0, 1, 0, 1, 1.0), (0, 2, 0, 2, None), (1, 2, 1, 2, None)}
