@@ -80,18 +80,21 @@ def similar_pairs(store: DataFrame, key: str, vector: str, threshold: float) ->
 
 
 def similarity_matrix(store: DataFrame, key: str, vector: str, threshold: float) -> DataFrame:
-    """Sparse symmetric similarity matrix of distinct vectors: entries >= threshold and the diagonal.
+    """Sparse symmetric similarity matrix of the stored vectors: entries >= threshold and the diagonal.
 
-    The dense matrix grows with the square of the table, so only entries that can be used are kept.
+    The dense matrix grows with the square of the table, so only entries that can be used are kept. Equal vectors are compared
+    once; every two keys that hold them have an entry.
     """
-    groups, _ = vj.distinct_vectors(store, key, vector)
+    groups, members = vj.distinct_vectors(store.filter(F.col(vector).isNotNull()), key, vector)
     units = vj.unit_rows(groups, "rep", "vector")
-    upper = vj.pairs_above(units, threshold).select(F.col("a").alias("i"), F.col("b").alias("j"), "score")
+    expanded = vj.for_every_key(groups, members)
+    upper = expanded(vj.pairs_above(units, threshold))
     # One pass over the upper triangle gives both halves.
     both = upper.select(
         F.inline(F.array(F.struct(F.col("i"), F.col("j"), "score"), F.struct(F.col("j").alias("i"), F.col("i").alias("j"), "score")))
     )
-    return both.unionByName(units.select(F.col("id").alias("i"), F.col("id").alias("j"), F.lit(1.0).alias("score")))
+    equal = groups.select(F.col("rep").alias("a"), F.col("rep").alias("b"), F.lit(1.0).alias("score"))
+    return both.unionByName(expanded(equal))
 
 
 def statistics(store: DataFrame, vector: str, by: str) -> DataFrame:

@@ -5,10 +5,13 @@ import os
 import random
 from collections import Counter
 
+import duckdb
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+import __spark_entry__ as entry
+from compare import compare
 from scriptoria.functions import ordered
 from scriptoria.operators import lexical as lx
 from scriptoria.operators import metrics as mt
@@ -86,6 +89,24 @@ def test_copied_vectors_are_one_entry(spark):
     assert rows == {(0, 0): (50, 50), (0, 50): (50, 1)}
 
 
+def test_matrix_has_an_entry_for_every_key_of_equal_vectors(spark, tmp_path, monkeypatch):
+    """Copies, some of them beyond a row of keys, and vectors of one direction, as the query's SQL has them; none for a row without a vector."""
+    monkeypatch.setattr(vj, "PART_KEYS", 4)
+    rng = np.random.default_rng(12)
+    m = rng.normal(size=(12, 4))
+    which = [0] * 11 + [1] * 3 + list(range(2, 12)) + [0, 5]
+    rows = [(1000 - 7 * i, [float(x) for x in m[w]], 1) for i, w in enumerate(which)]
+    rows.append((5000, [2.0 * float(x) for x in m[3]], 1))
+    folder = str(tmp_path / "embeddings.parquet")
+    table = spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int")
+    table.write.parquet(folder)
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW embeddings AS SELECT * FROM '{folder}/*.parquet'")
+    assert compare(spark, con, str(tmp_path), entry.queries()["E5_similarity_matrix"], entry.oracle_sql()["E5_similarity_matrix"]) == ""
+    missing = table.unionByName(spark.createDataFrame([(6000, None, 1)], table.schema))
+    assert vs.similarity_matrix(missing, "vec_id", "embedding", 0.3).count() == vs.similarity_matrix(table, "vec_id", "embedding", 0.3).count()
+
+
 def brute_lexical(a, b):
     def grams(text):
         t = [w for w in text.split() if len(w) > 1 and w not in lx.fixed.STOP_WORDS]
