@@ -120,3 +120,24 @@ def test_index_search_sends_no_vectors_with_pairs(spark, tmp_path):
     # the pairs meet the stored vectors as ids, the queries' vectors are sent to every task
     assert re.search(r"BroadcastHashJoin \[query", plan(found)) and found.count() > 0
     assert not re.search(r"Exchange hashpartitioning\(id[^\n]*\n[^\n]*uq#", plan(found))
+
+
+def test_index_search_sends_no_candidates(spark, tmp_path, monkeypatch):
+    """A query's candidates are compared where the blocks meet, in several steps; only the best are sent, and they are the best of all that share a bucket."""
+    monkeypatch.setattr(vj, "BLOCK_ROWS", 60)
+    monkeypatch.setattr(vi, "PAIRS_AT_ONCE", 50)
+    df, unit = vectors_without_clusters(spark, 300)
+    index = vi.HashIndex.create(df.filter("id % 2 = 0"), str(tmp_path / "index"), "id", "v", tables=6, projections=2)
+    index.add(df, "id", "v")
+    queries = df.filter("id % 3 = 0")
+    found = index.search(queries, "id", "v", 4, 0.05, exclude_self=True)
+    assert not re.search(r"Exchange hashpartitioning\(query#\d+L?, id", plan(found))
+    shared = {}
+    for r in index.candidates(vj.unit_rows(queries, "id", "v")).collect():
+        shared.setdefault(r["query"], set()).add(r.id)
+    scores, best = unit @ unit.T, set()
+    for q, ids in shared.items():
+        near = sorted((i for i in ids if i != q and scores[q, i] >= 0.05), key=lambda i: (-scores[q, i], i))[:4]
+        best |= {(q, i, rank + 1) for rank, i in enumerate(near)}
+    assert any(len(ids) < 300 for ids in shared.values())
+    assert best and {(r["query"], r.neighbour, r["rank"]) for r in found.collect()} == best
